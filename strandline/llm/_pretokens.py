@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 OTHER, LETTER, DIGIT, SPACE = range(4)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 #: Characters that are worked on at once; a longer text is one piece of work.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 @lru_cache(1)
@@ -132,7 +132,7 @@ class Batch:
 class Store:
     """Ids of the words met so far; forgets all when it holds more than its bounds."""
 
-    def __init__(self, encode, most_words: int = 1_000_000, most_ids: int = 8_000_000) -> None:
+    def __init__(self, encode, most_words: int = 400_000, most_ids: int = 3_000_000) -> None:
         self.encode, self.most_words, self.most_ids = encode, most_words, most_ids
         self._clear()
 
