@@ -67,8 +67,8 @@ def _merge(cells: list[np.ndarray], many: list[np.ndarray]) -> tuple[np.ndarray,
 
 def _rows(cells: np.ndarray, twice: np.ndarray, group: int) -> Iterator[tuple]:
     block = cells // _BLOCK
-    edges = np.flatnonzero(np.diff(block, prepend=-1))
-    for a, b in zip(edges, np.append(edges[1:], len(cells)), strict=True):
+    edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(cells))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield int(block[a]), group, (cells[a:b] % _BLOCK).astype("<u2").tobytes(), np.packbits(twice[a:b]).tobytes()
 
 
