@@ -1,14 +1,68 @@
-"""The corpus pipeline: documents to packed training sequences, a stage at a time."""
+"""The corpus pipeline: documents to packed training sequences, a stage at a time.
+
+Every stage works on all rows that its predecessor kept. All but the last return the columns of documents.
+
+Defined results: a null text has no words, so the quality rules reject it; rows with a null id are never copies of others
+and stay; of rows with one id, or linked to each other, one stays; columns beyond those of documents are handed on by the
+filtering stages; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CAPACITY = 1024
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighed rules keep (operator 4)."""
+    from strandline.llm.quality_rules import judge
+
+    # One struct holds the columns of documents, so that none clashes with the measures.
+    held = docs.withColumn("_row", F.struct(*docs.columns))
+    return judge(held, keep=("_row",)).where("kept").select("_row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents, that of the smallest id (operator 10)."""
+    from strandline.llm.ngram_join import classify
+
+    first = classify(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the windows of 50 words that an earlier one has; a document of which nothing is left goes (operator 5)."""
+    from strandline.llm.substring_dedup import remove_repeats
+
+    clean = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    changed = clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return changed.withColumn("text", text).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their ids and their places in sequences of CAPACITY (operator 6)."""
+    from strandline.llm.packing import pack_documents
+
+    return pack_documents(docs, CAPACITY)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Tokenising can't be said in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the last stage makes of documents: doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset."""
     from strandline.llm._spark import stored
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
