@@ -37,7 +37,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: later steps neither recompute it nor depend on the executors that did."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    # The driver lets go of the query's shuffle files when it collects its own garbage, which may not be for long.
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out

@@ -6,14 +6,15 @@ n - ceil(percent * n / 100) + 1 n-grams (prefix filter). The steps:
 1. Each task hashes its documents' n-grams, and counts in how many documents they are in a table of CELLS counters.
    The merged table, one byte a cell, fixes the order: class of frequency, then hash. Any order that all documents
    share is right; the table's size bounds how well rare and frequent n-grams are told apart. Documents with equal sets are one node, the smallest id among them.
-2. The prefix n-grams are grouped; an n-gram in the prefix of one node alone joins nothing.
-3. Nodes that share a prefix n-gram are candidates if their lengths, the n-gram's positions (positional filter) and the
-   counts of n-grams by hash range (suffix filter) still allow the similarity. N-grams of at most SMALL nodes give
-   pairs, made distinct; first each node is verified with its smallest candidate, then the pairs that these links have not
-   already put into one component, once each.
-4. An n-gram of more nodes is dealt out as blocks: its nodes go into groups of about BLOCK, a task gets two groups at a
-   time, skips pairs that share an earlier prefix n-gram (their block has verified them), and returns a spanning forest
-   of its links, not the pairs.
+2. An n-gram in the prefix of one node alone joins nothing: a count-min sketch of all prefixes leaves out most of these,
+   and the rest go when the others are grouped.
+3. Nodes that share a prefix n-gram are candidates if their lengths and the n-gram's positions (positional filter) still
+   allow the similarity, and are verified if the counts of n-grams by hash range (suffix filter) do. First each node is
+   held against one hub, the first node of one of its n-grams, which ties most copies together; n-grams whose nodes are
+   all in one component need nothing more. HUB_ROUNDS such rounds take a pair a node each.
+4. Of the n-grams left, those of at most SMALL nodes give the pairs not yet in one component, made distinct and verified
+   once. The nodes of others go into groups of about BLOCK; a task gets two groups at a time, skips pairs that share an
+   earlier prefix n-gram (they are verified there), and returns a spanning forest of its links, not the pairs.
 5. Connected components of the links.
 
 Sets are of 64-bit hashes, and equal sets are found by 128 bits.
@@ -33,13 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pretokens import chunks
+from ._sketch import met_twice, passes
 from ._spark import drop_stored, ready, stored
 from ._words import Words, mixed, rolling, signed, windows
 from .components import components
 
 CELLS, _BLOCK_CELLS = 1 << 22, 1 << 16
-SMALL, BLOCK, RANGES = 32, 384, 16
-_NODE_BITS = 1 << 24
+SMALL, BLOCK, RANGES, HUB_ROUNDS = 32, 384, 16, 2
+_NODE_BITS, SKETCHED = 1 << 24, 1 << 26
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,12 +126,21 @@ def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
 
-def _prefixes(docs: DataFrame, size: int, percent: int, classes) -> DataFrame:
-    """(doc_id, n, s1, keys): the prefix of each document."""
+def _some(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose cell, the third column, is in a bit set."""
+    cell = batch.column(2).to_numpy()
+    return batch.filter(pa.array((bits[cell >> 5] >> (cell & 31).astype(np.uint32) & 1).astype(bool)))
+
+
+def _prefixes(docs: DataFrame, size: int, percent: int, classes, nodes: DataFrame) -> DataFrame:
+    """(doc_id, n, s1, keys): the prefix of each document of nodes, and of few others."""
     import hashlib
 
+    bits = docs.sparkSession.sparkContext.broadcast(_node_bits(nodes))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _some(batch, bits.value)
             for a, b in chunks(batch.column(1)):
                 grams, n = shingles(batch.column(1).slice(a, b - a), size)
                 keys, begin, k = _ordered(grams, n, classes.value), np.cumsum(n) - n, _prefix_length(n, percent)
@@ -139,13 +150,34 @@ def _prefixes(docs: DataFrame, size: int, percent: int, classes) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(k)).astype(np.int32), pa.array(signed(keys[take])))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n": n, "s1": s1, "keys": lists})
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, keys array<long>")
+    return _marked(docs).mapInArrow(run, "doc_id long, n long, s1 long, keys array<long>")
+
+
+def _members(prefixes: DataFrame) -> DataFrame:
+    """(gram, a, sa, n, pos): the prefix n-grams that a sketch of all prefixes says two documents or more may have."""
+    tables = lambda batch: iter([np.asarray(batch.column(0).flatten()).view(np.uint64)])
+    bits = prefixes.sparkSession.sparkContext.broadcast(met_twice(prefixes.select("keys"), tables, SKETCHED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(3)
+            gram, k = np.asarray(keys.flatten()), np.diff(np.asarray(keys.offsets))
+            row, pos = np.repeat(np.arange(len(k)), k), np.arange(len(gram)) - np.repeat(np.cumsum(k) - k, k)
+            keep = np.flatnonzero(passes(gram.view(np.uint64), bits.value, SKETCHED))
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), batch.column(0).take(at), batch.column(2).take(at), batch.column(1).take(at), pa.array(pos[keep].astype(np.int32))], ["gram", "a", "sa", "n", "pos"])
+
+    return prefixes.select("doc_id", "n", "s1", "keys").mapInArrow(run, "gram long, a long, sa long, n long, pos int")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_NODE_BITS)).alias("cell"))
 
 
 def _node_bits(nodes: DataFrame) -> np.ndarray:
     """A bit set that has all nodes' ids, of _NODE_BITS bits whatever their number."""
     cell = F.pmod(F.xxhash64("a"), F.lit(_NODE_BITS))
-    words = nodes.select(F.expr("cast(pmod(xxhash64(a), %d) div 32 as int)" % _NODE_BITS).alias("word"), F.pmod(cell, F.lit(32)).alias("bit"))
+    words = nodes.select(F.expr(f"cast(pmod(xxhash64(a), {_NODE_BITS}) div 32 as int)").alias("word"), F.pmod(cell, F.lit(32)).alias("bit"))
     words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
     out = np.zeros(_NODE_BITS // 32, np.uint32)
     for r in words.toLocalIterator():
@@ -156,17 +188,15 @@ def _node_bits(nodes: DataFrame) -> np.ndarray:
 def _sets(docs: DataFrame, size: int, classes, nodes: DataFrame) -> DataFrame:
     """(a, sa, n, ranges, keys) for the nodes: all n-grams in order, and how many fall in each of RANGES hash ranges.
 
-    A bit set of fixed size keeps most other documents from being worked on again; the join then keeps the nodes alone.
+    A bit set of fixed size keeps most other documents from being worked on again. Rows with one id and text come as often as they are there.
     """
     import hashlib
 
     bits = docs.sparkSession.sparkContext.broadcast(_node_bits(nodes))
-    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_NODE_BITS)).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = batch.column(2).to_numpy()
-            some = batch.filter(pa.array((bits.value[cell >> 5] >> (cell & 31).astype(np.uint32) & 1).astype(bool)))
+            some = _some(batch, bits.value)
             for a, b in chunks(some.column(1)):
                 grams, n = shingles(some.column(1).slice(a, b - a), size)
                 keys, begin = _ordered(grams, n, classes.value), np.cumsum(n) - n
@@ -177,8 +207,21 @@ def _sets(docs: DataFrame, size: int, classes, nodes: DataFrame) -> DataFrame:
                 s1 = np.array([int.from_bytes(hashlib.blake2b(data[s:e], digest_size=16).digest()[:8], "little", signed=True) for s, e in spans], np.int64)
                 yield pa.RecordBatch.from_pydict({"a": some.column(0).slice(a, b - a), "sa": s1, "n": n, "ranges": pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * RANGES, pa.array(ranges)), "keys": pa.array([raw[s:e] for s, e in spans], pa.binary())})
 
-    every = marked.mapInArrow(run, "a long, sa long, n long, ranges array<int>, keys binary")
-    return every.join(nodes.select("a", "sa").distinct(), ["a", "sa"], "left_semi").dropDuplicates(["a", "sa"])
+    return _marked(docs).mapInArrow(run, "a long, sa long, n long, ranges array<int>, keys binary")
+
+
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, sa, keys) of the nodes, once each. A bit set keeps most others out of the exchange that all later steps share."""
+    bits = sets.sparkSession.sparkContext.broadcast(_node_bits(nodes))
+    marked = sets.select("a", "sa", F.pmod(F.xxhash64("a"), F.lit(_NODE_BITS)).alias("cell"), "keys")
+    names = ["a", "sa", "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _some(batch, bits.value).select(names)
+
+    some = marked.mapInArrow(run, "a long, sa long, keys binary")
+    return some.join(nodes.select("a", "sa").distinct(), ["a", "sa"], "left_semi").dropDuplicates(["a", "sa"])
 
 
 def _linked(inter, na, nb, percent: int):
@@ -187,12 +230,14 @@ def _linked(inter, na, nb, percent: int):
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, sa, b, sb) that link. The suffix filter comes before the n-grams are fetched and intersected."""
-    short = sets.select("a", "sa", "n", "ranges")
+    short = sets.select("a", "sa", "n", "ranges").dropDuplicates(["a", "sa"])
     other = short.select(F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("n").alias("nb"), F.col("ranges").alias("ranges_b"))
     bound = F.expr("aggregate(zip_with(ranges, ranges_b, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
     some = pairs.join(short, ["a", "sa"]).join(other, ["b", "sb"]).where(_linked(bound, F.col("n"), F.col("nb"), percent)).select("a", "sa", "b", "sb")
-    keys = sets.select("a", "sa", "keys")
-    both = some.join(keys, ["a", "sa"]).join(keys.select(F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("keys").alias("keys_b")), ["b", "sb"])
+    some = stored(some, "surviving")
+    hubs = _only(sets, some)
+    rest = _only(sets, some.select(F.col("b").alias("a"), F.col("sb").alias("sa"))).select(F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("keys").alias("keys_b"))
+    both = some.join(rest, ["b", "sb"]).join(hubs, ["a", "sa"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,8 +251,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "keys", "keys_b").mapInArrow(run, "a long, b long")
 
 
-def block_links(ids: np.ndarray, group: np.ndarray, keys: list[np.ndarray], gram: int, within: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between nodes of two groups (or within one) that share n-gram `gram` first."""
+def block_links(ids: np.ndarray, group: np.ndarray, known: np.ndarray, keys: list[np.ndarray], gram: int, within: bool, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between nodes of two groups (or within one) that share n-gram `gram` first and are not known to be in one component."""
     m = len(ids)
     n = np.array([len(k) for k in keys])
     prefix = [k[:p] for k, p in zip(keys, _prefix_length(n, percent).tolist(), strict=True)]
@@ -233,6 +278,7 @@ def block_links(ids: np.ndarray, group: np.ndarray, keys: list[np.ndarray], gram
     todo &= _linked(1 + np.minimum.outer(n - position - 1, n - position - 1), n[:, None], n[None, :], percent)
     todo &= _linked(np.minimum.outer(n, n), n[:, None], n[None, :], percent)
     todo &= np.triu(np.ones((m, m), bool), 1)
+    todo &= known[:, None] != known[None, :]
     if not within:
         todo &= group[:, None] != group[None, :]
     if not todo.any():
@@ -257,21 +303,60 @@ def block_links(ids: np.ndarray, group: np.ndarray, keys: list[np.ndarray], gram
 
 
 def _block_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the nodes of frequent prefix n-grams. hot: (gram, a, sa, groups)."""
-    own = F.pmod(F.xxhash64("a", "sa"), F.col("groups"))
-    dealt = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    dealt = dealt.select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "a", "sa")
-    rows = dealt.join(sets.select("a", "sa", "keys"), ["a", "sa"])
+    """Links among the nodes of frequent prefix n-grams. hot: (gram, a, sa, comp).
+
+    The nodes of an n-gram's largest known component need no comparison with each other: they are dealt into groups of
+    their own, which meet those of the other nodes alone.
+    """
+    by_part = hot.groupBy("gram", "comp").agg(F.count("*").alias("k"))
+    main = by_part.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("c"))
+    main = main.select("gram", F.col("m.comp").alias("main"), F.ceil(F.col("m.k") / BLOCK).alias("lg"), F.ceil((F.col("c") - F.col("m.k")) / BLOCK).alias("rg"))
+    dealt = hot.join(main, "gram").withColumn("inside", F.col("comp") == F.col("main"))
+    spread = F.xxhash64("a", "sa")
+    dealt = dealt.withColumn("own", F.when(F.col("inside"), F.pmod(spread, F.col("lg"))).otherwise(F.col("lg") + F.pmod(spread, F.col("rg"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("inside"), F.col("lg")).otherwise(F.lit(0).cast("long")), F.col("lg") + F.col("rg") - 1)))
+    dealt = dealt.select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "comp", "a", "sa")
+    rows = dealt.join(_only(sets, hot), ["a", "sa"])
 
     def run(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]
         low, high, gram = (table[c][0].as_py() for c in ("low", "high", "gram"))
-        found = block_links(table["a"].to_numpy(), table["own"].to_numpy(), keys, gram & 0xFFFFFFFFFFFFFFFF, low == high, percent)
+        found = block_links(table["a"].to_numpy(), table["own"].to_numpy(), table["comp"].to_numpy(), keys, gram & 0xFFFFFFFFFFFFFFFF, low == high, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return rows.groupBy("gram", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def _open(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """members (gram, a, sa, n, pos) with comp, the component known so far, c, and hub, of the n-grams whose nodes are not all in one component.
+
+    hub is the first node of the smallest component.
+    """
+    members = members.select("gram", "a", "sa", "n", "pos")
+    if found is None:
+        members = members.withColumn("comp", F.col("a"))
+    else:
+        members = members.join(found.select(F.col("node").alias("a"), F.col("component").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    sizes = members.groupBy("gram").agg(F.count("*").alias("c"), F.max("comp").alias("top"), F.min(F.struct("comp", "a", "sa", "n", "pos")).alias("hub"))
+    sizes = sizes.where(F.col("top") > F.col("hub.comp")).select("gram", "c", "hub")
+    return members.join(sizes, "gram")
+
+
+def _possible(n, pos, nb, pos_b, percent: int):
+    """Length filter and positional filter."""
+    return _linked(F.least(n - pos, nb - pos_b), n, nb, percent) & _linked(F.least(n, nb), n, nb, percent)
+
+
+def _hub_pairs(members: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """For each node outside its n-grams' smallest components one hub, the smallest that it has not been held against."""
+    h = F.col("hub")
+    far = members.where((F.col("comp") != h["comp"]) & _possible(F.col("n"), F.col("pos"), h["n"], h["pos"], percent))
+    pairs = far.select(h["a"].alias("a"), h["sa"].alias("sa"), F.col("a").alias("b"), F.col("sa").alias("sb"))
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "sa", "b", "sb"], "left_anti")
+    return pairs.groupBy("b", "sb").agg(F.min(F.struct("a", "sa")).alias("to")).select("to.a", "to.sa", "b", "sb")
+
+
 def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
@@ -283,37 +368,34 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     named = rows.where("n > 0 and doc_id is not null")
     same = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
 
-    prefixes = stored(_prefixes(docs.where("doc_id is not null"), size, percent, classes).where("n > 0"), "prefixes")
-    spread = prefixes.select("doc_id", "n", "s1", F.posexplode("keys").alias("pos", "gram"))
-    shared = spread.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    members = spread.join(shared, "gram")
     # Of documents with equal sets the node alone stays.
-    alone = same.select(F.col("node").alias("doc_id"), "s1")
-    members = stored(members.join(alone, ["doc_id", "s1"], "left_semi").select("gram", F.col("doc_id").alias("a"), F.col("s1").alias("sa"), "n", "pos").distinct(), "members")
+    alone = same.select(F.col("node").alias("a"), F.col("s1").alias("sa"))
+    prefixes = stored(_prefixes(docs.where("doc_id is not null"), size, percent, classes, alone).where("n > 0"), "prefixes")
+    spread = stored(_members(prefixes).join(alone, ["a", "sa"], "left_semi").distinct(), "members")
     drop_stored(prefixes)
-    sizes = members.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    members = stored(members.join(sizes, "gram"), "joinable")
-
-    few = members.where(F.col("c") <= SMALL)
-    other = few.select("gram", F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("n").alias("nb"), F.col("pos").alias("pos_b"))
-    left = F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pos_b"))
-    first = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("sa") < F.col("sb")))
-    pairs = few.join(other, "gram").where(first & _linked(left, F.col("n"), F.col("nb"), percent) & _linked(F.least("n", "nb"), F.col("n"), F.col("nb"), percent))
-    pairs = stored(pairs.select("a", "sa", "b", "sb").distinct(), "pairs")
-    many = members.where(F.col("c") > SMALL).select("gram", "a", "sa", F.ceil(F.col("c") / BLOCK).alias("groups"))
-    nodes = pairs.select("a", "sa").union(pairs.select("b", "sb")).union(many.select("a", "sa"))
-    sets = stored(_sets(docs, size, classes, nodes), "sets")
+    members = stored(_open(spread, None), "open")
+    drop_stored(spread)
+    sets = stored(_sets(docs, size, classes, members.select("a", "sa")), "sets")
 
     # One row can have several sets under one id; they are one node of the graph.
     together = named.join(same, ["s1", "s2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    hot = _block_links(many, sets, percent)
-    best = pairs.groupBy("b", "sb").agg(F.min(F.struct("a", "sa")).alias("to")).select("to.a", "to.sa", "b", "sb")
-    links = stored(_verify(best, sets, percent).union(hot).union(together), "links")
-    half = stored(components(links), "half")
-    of_a, of_b = half.select(F.col("node").alias("a"), F.col("component").alias("ca")), half.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = pairs.join(best, ["a", "sa", "b", "sb"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "sa", "b", "sb")
-    links = stored(links.union(_verify(rest, sets, percent)), "links")
+    links, tried = stored(together, "links"), None
+    for _ in range(HUB_ROUNDS):
+        pairs = stored(_hub_pairs(members, tried, percent), "hubs")
+        tried = pairs if tried is None else stored(tried.union(pairs), "tried")
+        links = stored(links.union(_verify(pairs, sets, percent)), "links")
+        found = stored(components(links), "components")
+        less = stored(_open(members, found), "open")
+        drop_stored(members)
+        members = less
+
+    few = members.where(F.col("c") <= SMALL).select("gram", "a", "sa", "n", "pos", "comp")
+    other = few.select("gram", F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("n").alias("nb"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
+    pairs = few.join(other, "gram").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _possible(F.col("n"), F.col("pos"), F.col("nb"), F.col("pos_b"), percent))
+    swapped = tried.select(F.col("b").alias("a"), F.col("sb").alias("sa"), F.col("a").alias("b"), F.col("sa").alias("sb"))
+    pairs = stored(pairs.select("a", "sa", "b", "sb").distinct().join(tried.union(swapped), ["a", "sa", "b", "sb"], "left_anti"), "pairs")
+    many = members.where(F.col("c") > SMALL).select("gram", "a", "sa", "comp")
+    links = stored(links.union(_verify(pairs, sets, percent)).union(_block_links(many, sets, percent)), "links")
     found = stored(components(links), "components")
     for x in (members, pairs, sets):
         drop_stored(x)

@@ -24,16 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._pretokens import chunks
+from ._sketch import CELLS, met_twice, passes
 from ._spark import ready
 from ._words import Words, mixed, rolling, signed, windows
 
-GRAM, DEPTH, CELLS = 8, 2, 1 << 26
-_BLOCK = 1 << 16
+GRAM = 8
 #: Candidate windows that a task holds before it settles and sends them.
 HELD = 1_500_000
 
@@ -52,63 +51,21 @@ def anchors(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, low[at]
 
 
-def cells_of(anchor: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (mixed(anchor + np.uint64(row * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(cells - 1)).astype(np.int64) + row * cells
-
-
-def _merge(cells: list[np.ndarray], many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of partial sketches and whether each was counted twice: the same for all of them."""
-    every, twice = np.concatenate(cells), np.concatenate(many)
-    found, back, n = np.unique(every, return_inverse=True, return_counts=True)
-    out = n > 1
-    out[back[twice]] = True
-    return found, out
-
-
-def _rows(cells: np.ndarray, twice: np.ndarray, group: int) -> Iterator[tuple]:
-    block = cells // _BLOCK
-    edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(cells))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(block[a]), group, (cells[a:b] % _BLOCK).astype("<u2").tobytes(), np.packbits(twice[a:b]).tobytes()
-
-
-_SKETCH = "block int, part int, cells binary, twice binary"
-
-
 def sketch(docs: DataFrame, size: int, cells: int) -> np.ndarray:
-    """One bit for each cell: whether two documents or more fall into it. docs: (doc_id, text)."""
-    tasks = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
+    """One bit for each cell: whether two documents or more have an anchor in it. docs: (doc_id, text)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, twice = np.zeros(0, np.int64), np.zeros(0, bool)
-        for batch in batches:
-            for a, b in chunks(batch.column(1)):
-                words = Words(batch.column(1).slice(a, b - a))
-                at, anchor = anchors(words, size)
-                doc = np.searchsorted(words.ends, at, "right").astype(np.uint64)
-                change = np.ones(len(at), bool)
-                change[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                anchor, doc = anchor[change], doc[change]
-                _, once = np.unique(mixed(anchor ^ mixed(doc + np.uint64(1))), return_index=True)
-                new = np.concatenate([cells_of(anchor[once], row, cells) for row in range(DEPTH)])
-                found, twice = _merge([found, new], [twice, np.zeros(len(new), bool)])
-        rows = list(_rows(found, twice, TaskContext.get().partitionId() % tasks))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "part", "cells", "twice"]) if rows else pa.RecordBatch.from_pydict({"block": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "cells": pa.array([], pa.binary()), "twice": pa.array([], pa.binary())})
-
-    def merge(table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x, "<u2").astype(np.int64) for x in table["cells"].to_pylist()]
-        many = [np.unpackbits(np.frombuffer(y, np.uint8), count=len(x)).astype(bool) for x, y in zip(own, table["twice"].to_pylist(), strict=True)]
-        found, twice = _merge(own, many)
-        return pa.table({"block": table["block"][:1], "part": table["part"][:1], "cells": [found.astype("<u2").tobytes()], "twice": [np.packbits(twice).tobytes()]}, pa.schema([("block", pa.int32()), ("part", pa.int32()), ("cells", pa.binary()), ("twice", pa.binary())]))
-
-    merged = docs.mapInArrow(count, _SKETCH).groupBy("block", "part").applyInArrow(merge, _SKETCH).groupBy("block").applyInArrow(merge, _SKETCH)
-    bits = np.zeros(DEPTH * cells // 8, np.uint8)
-    # Only the cells that are twice in use come to the driver: DEPTH x cells bits at most.
-    for block, own, twice in merged.select("block", "cells", "twice").toLocalIterator():
-        at = np.frombuffer(own, "<u2").astype(np.int64)
-        at = at[np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at)).astype(bool)] + block * _BLOCK
-        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    return bits
+    def once_a_document(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for a, b in chunks(batch.column(1)):
+            words = Words(batch.column(1).slice(a, b - a))
+            at, anchor = anchors(words, size)
+            doc = np.searchsorted(words.ends, at, "right").astype(np.uint64)
+            change = np.ones(len(at), bool)
+            change[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+            anchor, doc = anchor[change], doc[change]
+            _, once = np.unique(mixed(anchor ^ mixed(doc + np.uint64(1))), return_index=True)
+            yield anchor[once]
+
+    return met_twice(docs, once_a_document, cells)
 
 
 _FOUND = "k1 long, k2 long, doc_id long, mark int, start int, stop int, lost boolean"
@@ -148,11 +105,7 @@ def repeated_spans(docs: DataFrame, size: int, cells: int = CELLS) -> DataFrame:
             for a, b in chunks(batch.column(2)):
                 words = Words(batch.column(2).slice(a, b - a))
                 at, anchor = anchors(words, size)
-                repeated = np.ones(len(at), bool)
-                for row in range(DEPTH):
-                    cell = cells_of(anchor, row, cells)
-                    repeated &= (seen[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-                at = at[repeated]
+                at = at[passes(anchor, seen, cells)]
                 doc = np.searchsorted(words.ends, at, "right")
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
                 marks = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
