@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import days, sequences
+
+QUERIES: dict = sequences.QUERIES | days.QUERIES
+ORACLES: dict[str, str] = sequences.ORACLES | days.ORACLES
