@@ -162,6 +162,8 @@ def test_segment_tree_encodes_as_the_library(spark, docs):
     want = sorted((str(r.doc_id), len(ids := own.encode_ordinary(r.text or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), (r.text or "").encode()) for r in docs.collect())
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, bytes(r.decoded)) for r in byte_bpe.decode(byte_bpe.encode(docs, path), path).collect())
     assert got == want
+    trip = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.round_trip(docs, path).collect())
+    assert trip == sorted((a, n, x, hashlib.sha256(t).hexdigest()) for a, n, x, t in want)
     assert byte_bpe.encode(docs.limit(0), path).count() == 0
     words = [bytes(random.Random(k).choices(b"ab thein", k=k + 1)) for k in range(120)]
     loaded = byte_bpe.load_ranks(path)
