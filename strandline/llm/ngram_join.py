@@ -9,7 +9,8 @@ n - ceil(percent * n / 100) + 1 n-grams (prefix filter). The steps:
 2. An n-gram in the prefix of one node alone joins nothing: a count-min sketch of all prefixes leaves out most of these,
    and the rest go when the others are grouped.
 3. Nodes that share a prefix n-gram are candidates if their lengths and the n-gram's positions (positional filter) still
-   allow the similarity, and are verified if the counts of n-grams by hash range (suffix filter) do. First each node is
+   allow the similarity, and are verified if the counts of n-grams by hash range (suffix filter; the ranges are about a
+   fifth as many as the n-grams) do: only then are their n-grams fetched. First each node is
    held against one hub, the first node of one of its n-grams, which ties most copies together; n-grams whose nodes are
    all in one component need nothing more. HUB_ROUNDS such rounds take a pair a node each.
 4. Of the n-grams left, those of at most SMALL nodes give the pairs not yet in one component, made distinct and verified
@@ -40,7 +41,9 @@ from ._words import Words, mixed, rolling, signed, windows
 from .components import components
 
 CELLS, _BLOCK_CELLS = 1 << 22, 1 << 16
-SMALL, BLOCK, RANGES, HUB_ROUNDS = 32, 384, 16, 2
+SMALL, BLOCK, HUB_ROUNDS = 32, 384, 2
+#: n-grams a hash range has on average, at most twice as many; every set has RANGES ranges at least.
+IN_RANGE, RANGES = 4, 16
 _NODE_BITS, SKETCHED = 1 << 24, 1 << 26
 
 
@@ -61,12 +64,29 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return whole[new], np.bincount(doc[new], minlength=len(texts))
 
 
+def _ranges(grams: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """How many n-grams of each text fall in each of its hash ranges, a power of two of them; 255 stands for more as well."""
+    size = np.maximum(RANGES, 1 << np.floor(np.log2(np.maximum(n / IN_RANGE, 1))).astype(np.int64))
+    begin = np.cumsum(size) - size
+    at = np.repeat(begin, n) + (grams >> np.uint64(20)).astype(np.int64) % np.repeat(size, n)
+    counts = np.minimum(np.bincount(at, minlength=int(size.sum())), 255).astype(np.uint8).tobytes()
+    return [counts[a : a + k] for a, k in zip(begin.tolist(), size.tolist(), strict=True)]
+
+
+def shared_at_most(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of the n-grams that two sets share, by their ranges; the finer ranges are added up to the coarser."""
+    if max(x.max(), y.max()) == 255:
+        return 1 << 40
+    x, y = (y, x) if len(x) > len(y) else (x, y)
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
+
+
 def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(7) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, n, s1, s2) for documents, and rows (block, counts) of the table of frequencies."""
+    """Rows (doc_id, n, s1, s2, ranges) for documents, and rows (block, counts) of the table of frequencies."""
     import hashlib
 
     import zstandard
@@ -81,14 +101,14 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
                 names = [hashlib.blake2b(data[8 * (s - k) : 8 * s], digest_size=16).digest() for s, k in zip(stops.tolist(), n.tolist(), strict=True)]
                 sign = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
                 m = b - a
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, m), "n": n, "s1": np.ascontiguousarray(sign[:, 0]), "s2": np.ascontiguousarray(sign[:, 1]), "block": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, m), "n": n, "s1": np.ascontiguousarray(sign[:, 0]), "s2": np.ascontiguousarray(sign[:, 1]), "ranges": pa.array(_ranges(grams, n), pa.binary()), "block": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary())})
         press = zstandard.ZstdCompressor(level=1)
         for k in range(CELLS // _BLOCK_CELLS):
             own = table[k * _BLOCK_CELLS : (k + 1) * _BLOCK_CELLS]
             if own.any():
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "s1": pa.nulls(1, pa.int64()), "s2": pa.nulls(1, pa.int64()), "block": pa.array([k], pa.int32()), "counts": pa.array([press.compress(own.tobytes())], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "s1": pa.nulls(1, pa.int64()), "s2": pa.nulls(1, pa.int64()), "ranges": pa.nulls(1, pa.binary()), "block": pa.array([k], pa.int32()), "counts": pa.array([press.compress(own.tobytes())], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, ranges binary, block int, counts binary")
 
 
 def _classes_of_frequency(profile: DataFrame) -> np.ndarray:
@@ -133,7 +153,7 @@ def _some(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, classes, nodes: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, keys): the prefix of each document of nodes, and of few others."""
+    """(doc_id, n, s1, keys): the prefix of each document of nodes, and of few others. Rows with one id and text come as often as they are there."""
     import hashlib
 
     bits = docs.sparkSession.sparkContext.broadcast(_node_bits(nodes))
@@ -186,9 +206,9 @@ def _node_bits(nodes: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int, classes, nodes: DataFrame) -> DataFrame:
-    """(a, sa, n, ranges, keys) for the nodes: all n-grams in order, and how many fall in each of RANGES hash ranges.
+    """(a, sa, keys) for the nodes, once each: all n-grams in order.
 
-    A bit set of fixed size keeps most other documents from being worked on again. Rows with one id and text come as often as they are there.
+    A bit set of fixed size keeps most other documents from being worked on again.
     """
     import hashlib
 
@@ -200,44 +220,45 @@ def _sets(docs: DataFrame, size: int, classes, nodes: DataFrame) -> DataFrame:
             for a, b in chunks(some.column(1)):
                 grams, n = shingles(some.column(1).slice(a, b - a), size)
                 keys, begin = _ordered(grams, n, classes.value), np.cumsum(n) - n
-                doc = np.repeat(np.arange(len(n)), n)
-                ranges = np.bincount(doc * RANGES + (keys >> np.uint64(44) & np.uint64(RANGES - 1)).astype(np.int64), minlength=len(n) * RANGES).astype(np.int32)
                 data, raw = memoryview(grams.tobytes()), memoryview(keys.tobytes())
                 spans = [(8 * s, 8 * (s + m)) for s, m in zip(begin.tolist(), n.tolist(), strict=True)]
                 s1 = np.array([int.from_bytes(hashlib.blake2b(data[s:e], digest_size=16).digest()[:8], "little", signed=True) for s, e in spans], np.int64)
-                yield pa.RecordBatch.from_pydict({"a": some.column(0).slice(a, b - a), "sa": s1, "n": n, "ranges": pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * RANGES, pa.array(ranges)), "keys": pa.array([raw[s:e] for s, e in spans], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"a": some.column(0).slice(a, b - a), "sa": s1, "keys": pa.array([raw[s:e] for s, e in spans], pa.binary())})
 
-    return _marked(docs).mapInArrow(run, "a long, sa long, n long, ranges array<int>, keys binary")
+    every = _marked(docs).mapInArrow(run, "a long, sa long, keys binary")
+    return every.dropDuplicates(["a", "sa"]).join(nodes.select("a", "sa").distinct(), ["a", "sa"], "left_semi")
 
 
-def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, sa, keys) of the nodes, once each. A bit set keeps most others out of the exchange that all later steps share."""
-    bits = sets.sparkSession.sparkContext.broadcast(_node_bits(nodes))
-    marked = sets.select("a", "sa", F.pmod(F.xxhash64("a"), F.lit(_NODE_BITS)).alias("cell"), "keys")
-    names = ["a", "sa", "keys"]
+def _other(nodes: DataFrame, *more: str) -> DataFrame:
+    """nodes (a, sa, ...) under the names of a pair's second node."""
+    return nodes.select(F.col("a").alias("b"), F.col("sa").alias("sb"), *(F.col(c).alias(f"{c}_b") for c in more))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _some(batch, bits.value).select(names)
 
-    some = marked.mapInArrow(run, "a long, sa long, keys binary")
-    return some.join(nodes.select("a", "sa").distinct(), ["a", "sa"], "left_semi").dropDuplicates(["a", "sa"])
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "sa").union(pairs.select("b", "sb")).distinct()
 
 
 def _linked(inter, na, nb, percent: int):
     return (100 + percent) * inter >= percent * (na + nb)
 
 
+def _surviving(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, sa, b, sb) that the suffix filter leaves. short: (a, sa, n, ranges)."""
+    both = pairs.join(short, ["a", "sa"]).join(_other(short, "n", "ranges"), ["b", "sb"])
+    names = ["a", "sa", "b", "sb"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            bound = [shared_at_most(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(6), batch.column(7), strict=True)]
+            yield batch.select(names).filter(pa.array(_linked(np.array(bound, np.int64), *n, percent), pa.bool_()))
+
+    return both.select(*names, "n", "n_b", "ranges", "ranges_b").mapInArrow(run, "a long, sa long, b long, sb long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, sa, b, sb) that link. The suffix filter comes before the n-grams are fetched and intersected."""
-    short = sets.select("a", "sa", "n", "ranges").dropDuplicates(["a", "sa"])
-    other = short.select(F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("n").alias("nb"), F.col("ranges").alias("ranges_b"))
-    bound = F.expr("aggregate(zip_with(ranges, ranges_b, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-    some = pairs.join(short, ["a", "sa"]).join(other, ["b", "sb"]).where(_linked(bound, F.col("n"), F.col("nb"), percent)).select("a", "sa", "b", "sb")
-    some = stored(some, "surviving")
-    hubs = _only(sets, some)
-    rest = _only(sets, some.select(F.col("b").alias("a"), F.col("sb").alias("sa"))).select(F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("keys").alias("keys_b"))
-    both = some.join(rest, ["b", "sb"]).join(hubs, ["a", "sa"])
+    """The pairs (a, b) that link, by their n-grams."""
+    both = pairs.join(_other(sets, "keys"), ["b", "sb"]).join(sets, ["a", "sa"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +337,7 @@ def _block_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("own", F.when(F.col("inside"), F.pmod(spread, F.col("lg"))).otherwise(F.col("lg") + F.pmod(spread, F.col("rg"))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("inside"), F.col("lg")).otherwise(F.lit(0).cast("long")), F.col("lg") + F.col("rg") - 1)))
     dealt = dealt.select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "comp", "a", "sa")
-    rows = dealt.join(_only(sets, hot), ["a", "sa"])
+    rows = dealt.join(sets, ["a", "sa"])
 
     def run(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]
@@ -364,18 +385,21 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = stored(_profile(docs, size), "profile")
     classes = spark.sparkContext.broadcast(_classes_of_frequency(profile))
-    rows = profile.where("block is null").select("doc_id", "n", "s1", "s2")
+    rows = profile.where("block is null").select("doc_id", "n", "s1", "s2", "ranges")
     named = rows.where("n > 0 and doc_id is not null")
     same = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
 
     # Of documents with equal sets the node alone stays.
-    alone = same.select(F.col("node").alias("a"), F.col("s1").alias("sa"))
-    prefixes = stored(_prefixes(docs.where("doc_id is not null"), size, percent, classes, alone).where("n > 0"), "prefixes")
-    spread = stored(_members(prefixes).join(alone, ["a", "sa"], "left_semi").distinct(), "members")
+    alone = same.select(F.col("node").alias("doc_id"), "s1")
+    prefixes = _prefixes(docs.where("doc_id is not null"), size, percent, classes, alone.withColumnRenamed("doc_id", "a")).where("n > 0")
+    prefixes = stored(prefixes.dropDuplicates(["doc_id", "s1"]).join(alone, ["doc_id", "s1"], "left_semi"), "prefixes")
+    spread = stored(_members(prefixes), "members")
     drop_stored(prefixes)
     members = stored(_open(spread, None), "open")
     drop_stored(spread)
-    sets = stored(_sets(docs, size, classes, members.select("a", "sa")), "sets")
+    nodes = members.select("a", "sa").distinct()
+    short = named.select(F.col("doc_id").alias("a"), F.col("s1").alias("sa"), "n", "ranges").dropDuplicates(["a", "sa"])
+    short = stored(short.join(nodes, ["a", "sa"], "left_semi"), "short")
 
     # One row can have several sets under one id; they are one node of the graph.
     together = named.join(same, ["s1", "s2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
@@ -383,7 +407,10 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     for _ in range(HUB_ROUNDS):
         pairs = stored(_hub_pairs(members, tried, percent), "hubs")
         tried = pairs if tried is None else stored(tried.union(pairs), "tried")
-        links = stored(links.union(_verify(pairs, sets, percent)), "links")
+        some = stored(_surviving(pairs, short, percent), "surviving")
+        sets = stored(_sets(docs, size, classes, _ends(some)), "sets")
+        links = stored(links.union(_verify(some, sets, percent)), "links")
+        drop_stored(sets)
         found = stored(components(links), "components")
         less = stored(_open(members, found), "open")
         drop_stored(members)
@@ -393,11 +420,13 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     other = few.select("gram", F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("n").alias("nb"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
     pairs = few.join(other, "gram").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _possible(F.col("n"), F.col("pos"), F.col("nb"), F.col("pos_b"), percent))
     swapped = tried.select(F.col("b").alias("a"), F.col("sb").alias("sa"), F.col("a").alias("b"), F.col("sa").alias("sb"))
-    pairs = stored(pairs.select("a", "sa", "b", "sb").distinct().join(tried.union(swapped), ["a", "sa", "b", "sb"], "left_anti"), "pairs")
+    pairs = pairs.select("a", "sa", "b", "sb").distinct().join(tried.union(swapped), ["a", "sa", "b", "sb"], "left_anti")
+    pairs = stored(_surviving(pairs, short, percent), "surviving")
     many = members.where(F.col("c") > SMALL).select("gram", "a", "sa", "comp")
+    sets = stored(_sets(docs, size, classes, _ends(pairs).union(many.select("a", "sa"))), "sets")
     links = stored(links.union(_verify(pairs, sets, percent)).union(_block_links(many, sets, percent)), "links")
     found = stored(components(links), "components")
-    for x in (members, pairs, sets):
+    for x in (members, sets, short):
         drop_stored(x)
     by_set = same.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     out = rows.join(by_set, ["s1", "s2"], "left")
