@@ -112,6 +112,20 @@ def test_ngram_join(spark, docs, monkeypatch, small, block):
         assert ngram_join.classify(docs.limit(0)).count() == 0
 
 
+def test_ranges_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        every = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+        a, b = np.unique(rng.choice(every, rng.integers(1, 900))), np.unique(rng.choice(every, rng.integers(1, 900)))
+        x, y = ngram_join._ranges(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        bound = ngram_join.shared_at_most(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+        assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+    heap = np.arange(300, dtype=np.uint64)  # all in one range
+    x = np.frombuffer(ngram_join._ranges(heap, np.array([300]))[0], np.uint8)
+    assert ngram_join.shared_at_most(x, x) >= 300
+    assert [len(r) for r in ngram_join._ranges(heap[:0], np.array([0, 0]))] == [16, 16]
+
+
 def test_ngram_join_on_many_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 40)
     rng = random.Random(4)
