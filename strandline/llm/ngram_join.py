@@ -14,8 +14,9 @@ n - ceil(percent * n / 100) + 1 n-grams (prefix filter). The steps:
    held against one hub, the first node of one of its n-grams, which ties most copies together; n-grams whose nodes are
    all in one component need nothing more. HUB_ROUNDS such rounds take a pair a node each.
 4. Of the n-grams left, those of at most SMALL nodes give the pairs not yet in one component, made distinct and verified
-   once. The nodes of others go into groups of about BLOCK; a task gets two groups at a time, skips pairs that share an
-   earlier prefix n-gram (they are verified there), and returns a spanning forest of its links, not the pairs.
+   once. The nodes of others go into groups of about BLOCK; a task gets two groups at a time, first with the counts by
+   hash range alone. For the nodes that still have a partner the n-grams are fetched: the task skips pairs that share
+   an earlier prefix n-gram (they are verified there), and returns a spanning forest of its links, not the pairs.
 5. Connected components of the links.
 
 Sets are of 64-bit hashes, and equal sets are found by 128 bits.
@@ -323,11 +324,37 @@ def block_links(ids: np.ndarray, group: np.ndarray, known: np.ndarray, keys: lis
     return out
 
 
-def _block_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the nodes of frequent prefix n-grams. hot: (gram, a, sa, comp).
+def promising(group: np.ndarray, known: np.ndarray, n: np.ndarray, position: np.ndarray, ranges: list[np.ndarray], within: bool, percent: int) -> np.ndarray:
+    """Which nodes of two groups (or of one) have a partner that length, positional and suffix filter leave, and that is not known to be in one component with them."""
+    m = len(n)
+    todo = _linked(1 + np.minimum.outer(n - position - 1, n - position - 1), n[:, None], n[None, :], percent)
+    todo &= _linked(np.minimum.outer(n, n), n[:, None], n[None, :], percent)
+    todo &= known[:, None] != known[None, :]
+    if not within:
+        todo &= group[:, None] != group[None, :]
+    out, size, full = np.zeros(m, bool), np.array([len(r) for r in ranges]), np.array([r.max() == 255 for r in ranges])
+    of_size = {int(k): np.flatnonzero(size == k) for k in np.unique(size)}
+    for fine, places in of_size.items():
+        counts = np.stack([ranges[k] for k in places]).astype(np.uint16)
+        for coarse in (k for k in of_size if k <= fine):
+            if not todo[np.ix_(of_size[coarse], places)].any():
+                continue
+            added = counts.reshape(len(places), -1, coarse).sum(axis=1, dtype=np.uint16)
+            for i in of_size[coarse].tolist():
+                at = np.flatnonzero(todo[i, places])
+                if len(at):
+                    shared = np.minimum(ranges[i], added[at]).sum(axis=1, dtype=np.int64)
+                    good = places[at][_linked(shared, n[i], n[places[at]], percent) | full[i] | full[places[at]]]
+                    out[good] = True
+                    out[i] |= len(good) > 0
+    return out
+
 
-    The nodes of an n-gram's largest known component need no comparison with each other: they are dealt into groups of
-    their own, which meet those of the other nodes alone.
+def _promising(hot: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """(gram, low, high, own, comp, a, sa): the nodes of frequent prefix n-grams, dealt into groups, that have a partner there which the filters leave.
+
+    hot: (gram, a, sa, n, pos, comp). The nodes of an n-gram's largest known component need no comparison with each
+    other: they are dealt into groups of their own, which meet those of the other nodes alone.
     """
     by_part = hot.groupBy("gram", "comp").agg(F.count("*").alias("k"))
     main = by_part.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("c"))
@@ -336,8 +363,21 @@ def _block_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spread = F.xxhash64("a", "sa")
     dealt = dealt.withColumn("own", F.when(F.col("inside"), F.pmod(spread, F.col("lg"))).otherwise(F.col("lg") + F.pmod(spread, F.col("rg"))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("inside"), F.col("lg")).otherwise(F.lit(0).cast("long")), F.col("lg") + F.col("rg") - 1)))
-    dealt = dealt.select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "comp", "a", "sa")
-    rows = dealt.join(sets, ["a", "sa"])
+    dealt = dealt.select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "comp", "a", "sa", "n", "pos")
+    rows = dealt.join(short.select("a", "sa", "ranges"), ["a", "sa"])
+    names = ["gram", "low", "high", "own", "comp", "a", "sa"]
+
+    def run(table: pa.Table) -> pa.Table:
+        ranges = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["ranges"]]
+        within = table["low"][0].as_py() == table["high"][0].as_py()
+        keep = promising(*(table[c].to_numpy() for c in ("own", "comp", "n", "pos")), ranges, within, percent)
+        return table.select(names).filter(pa.array(keep))
+
+    return rows.select(*names, "n", "pos", "ranges").groupBy("gram", "low", "high").applyInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _block_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the nodes of frequent prefix n-grams, as _promising deals them."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]
@@ -345,7 +385,7 @@ def _block_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         found = block_links(table["a"].to_numpy(), table["own"].to_numpy(), table["comp"].to_numpy(), keys, gram & 0xFFFFFFFFFFFFFFFF, low == high, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("gram", "low", "high").applyInArrow(run, "a long, b long")
+    return dealt.join(sets, ["a", "sa"]).groupBy("gram", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def _open(members: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -422,7 +462,7 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     swapped = tried.select(F.col("b").alias("a"), F.col("sb").alias("sa"), F.col("a").alias("b"), F.col("sa").alias("sb"))
     pairs = pairs.select("a", "sa", "b", "sb").distinct().join(tried.union(swapped), ["a", "sa", "b", "sb"], "left_anti")
     pairs = stored(_surviving(pairs, short, percent), "surviving")
-    many = members.where(F.col("c") > SMALL).select("gram", "a", "sa", "comp")
+    many = stored(_promising(members.where(F.col("c") > SMALL).select("gram", "a", "sa", "n", "pos", "comp"), short, percent), "promising")
     sets = stored(_sets(docs, size, classes, _ends(pairs).union(many.select("a", "sa"))), "sets")
     links = stored(links.union(_verify(pairs, sets, percent)).union(_block_links(many, sets, percent)), "links")
     found = stored(components(links), "components")

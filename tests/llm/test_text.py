@@ -126,6 +126,26 @@ def test_ranges_bound_what_sets_share():
     assert [len(r) for r in ngram_join._ranges(heap[:0], np.array([0, 0]))] == [16, 16]
 
 
+@pytest.mark.parametrize("within", [True, False])
+def test_promising_nodes_are_those_that_some_pair_leaves(within):
+    rng = np.random.default_rng(5)
+    every = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(every, k, replace=False)) for k in rng.integers(30, 80, 20)]
+    sets += [np.unique(np.append(s[: len(s) - 3], rng.choice(every, rng.integers(1, 20)))) for s in sets] + [np.arange(300, dtype=np.uint64)] * 2
+    n, m = np.array([len(s) for s in sets]), len(sets)
+    ranges = [np.frombuffer(r, np.uint8) for r in ngram_join._ranges(np.concatenate(sets), n)]
+    group, known, position = np.arange(m) // 20 % 2 * (not within), rng.integers(0, 30, m), rng.integers(0, 4, m)
+    want = set()
+    for i in range(m):
+        for j in range(m):
+            apart = i != j and known[i] != known[j] and (within or group[i] != group[j])
+            most = min(min(n[i] - position[i], n[j] - position[j]), ngram_join.shared_at_most(ranges[i], ranges[j]))
+            if apart and 180 * most >= 80 * (n[i] + n[j]):
+                want |= {i, j}
+    got = ngram_join.promising(group, known, n, position, ranges, within, 80)
+    assert 2 < len(want) < m and set(np.flatnonzero(got).tolist()) == want
+
+
 def test_ngram_join_on_many_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 40)
     rng = random.Random(4)
