@@ -1,19 +1,25 @@
 """License scans by patience alignment (operator 3).
 
-A text is cut into overlapping windows of twice a template's length. Within a window the words that occur once in both
-window and template are anchors; the longest increasing subsequence of their places is kept, and the gaps between
-neighbouring anchors are aligned the same way. Equal words right beside an anchor or a gap's end count as well.
-Coverage is the share of the template's words that are aligned. Only windows with enough of the template's words to
-reach `least` are aligned, as no other can; the upper bound is the number of the template's words that are there.
+Of a text the words that a template has (its hits) are looked at. A run of hits ends where over SLACK times the template's
+length of other words follow each other (at least LEAST_SLACK). Within a run every stretch of up to REACH times the
+template's length of hits that can hold enough of its words is a window: it begins at a hit that can be the first aligned
+one and ends at one that can be the last, so what stands before a notice or between its words cuts nothing. Within a
+window the words that occur once in both window and template are anchors; the longest increasing subsequence of their
+places is kept, and the gaps between neighbouring anchors are aligned the same way. Equal hits right beside an anchor or a
+gap's end count as well. Coverage is the share of the template's words that are aligned.
+
+For a template of over SHORT words, windows with one beginning end at up to about 20 places, ever further apart, and the
+best alignment is made again between its own ends.
 
 Words are [a-z0-9]+ of the lower-cased text. Defined results: a null or empty text has no words and no license; ties go
-to the template listed first, then to the earlier window; rows with one id each stay a row.
+to the template listed first, then to the window that begins first; rows with one id each stay a row.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +38,9 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
 }
 _WORD = re.compile(r"[a-z0-9]+")
+#: Foreign words in a row that don't end a run of hits, and hits of a window, in template lengths.
+SLACK, LEAST_SLACK, REACH = 2, 8, 4
+SHORT = 32
 
 
 def words_of(text: str | None) -> list[str]:
@@ -89,6 +98,15 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def spread(places: list[int]) -> list[int]:
+    """Some of places: the first ones, then ever fewer, and the last."""
+    out, k = [], 0
+    while k < len(places):
+        out.append(places[k])
+        k += 1 + k // 3
+    return out if not places or out[-1] == places[-1] else [*out, places[-1]]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float) -> None:
         self.least = least
@@ -96,9 +114,56 @@ class Scanner:
         self.templates = [words_of(t) for t in templates.values()]
         self.ids = {w: k for k, w in enumerate(dict.fromkeys(w for t in self.templates for w in t))}
         self.coded = [[self.ids[w] for w in t] for t in self.templates]
-        self.has = np.zeros((len(self.templates), len(self.ids) + 1), bool)
-        for k, t in enumerate(self.coded):
-            self.has[k, t] = True
+        self.need = np.array([max(1, int(np.ceil(least * len(t) - 1e-9))) for t in self.templates], np.int64)
+        self.counts = np.array([np.bincount(t, minlength=len(self.ids)) for t in self.coded], np.int64).reshape(len(self.coded), -1)
+
+    def _windows(self, k: int, words: list[int], a: int, b: int) -> list[tuple[int, int, int, int]]:
+        """For each place in words[a:b] where an occurrence can begin: the least place where it can end, the place itself, where its window stops, and how many words can be aligned in that."""
+        template, need = self.coded[k], int(self.need[k])
+        reach, heads = REACH * len(template), set(template[: len(template) - need + 1])
+        limit = Counter(template)
+
+        def slide(most: int) -> list[tuple[int, int]]:
+            """For each begin the end at which `most` words can be aligned, or as far as a window goes, and how many can."""
+            left, able, end, out = dict(limit), 0, a, []
+            for begin in range(a, b):
+                while end < min(b, begin + reach) and able < most:
+                    able += left[words[end]] > 0
+                    left[words[end]] -= 1
+                    end += 1
+                out.append((end, able))
+                left[words[begin]] += 1
+                able -= left[words[begin]] > 0
+            return out
+
+        fewest, most = slide(need), slide(len(template))
+        return [(fewest[i - a][0] - 1 - i, i, min(b, i + reach), most[i - a][1]) for i in range(a, b) if fewest[i - a][1] >= need and words[i] in heads]
+
+    def _find(self, k: int, words: list[int], at: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs (place in words, place in the template) of the best occurrence, none if it has too few."""
+        template, need = self.coded[k], int(self.need[k])
+        m = len(template)
+        tails = set(template[need - 1 :])
+        cuts = [0, *(np.flatnonzero(np.diff(at) - 1 > max(LEAST_SLACK, SLACK * m)) + 1).tolist(), len(words)]
+        windows = [w for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a >= need for w in self._windows(k, words, a, b)]
+        best: list[tuple[int, int]] = []
+        for extent, i, stop, able in sorted(windows):  # the densest first: fewer of the others can be better then
+            if best and (able, -i) <= (len(best), -best[0][0]):
+                continue
+            ends = [j for j in range(i + extent, stop) if words[j] in tails]
+            for j in ends if m <= SHORT else spread(ends):
+                pairs = [(i + p, q) for p, q in align(words[i : j + 1], template)]
+                while m > SHORT and len(pairs) >= need:
+                    first = pairs[0][0]
+                    again = [(first + p, q) for p, q in align(words[first : pairs[-1][0] + 1], template)]
+                    if len(again) <= len(pairs):
+                        break
+                    pairs = again
+                if len(pairs) >= need and (not best or (len(pairs), -pairs[0][0]) > (len(best), -best[0][0])):
+                    best = pairs
+                if len(pairs) == m:
+                    break
+        return best
 
     def scan(self, text: str | None) -> tuple[str | None, float, int, int]:
         """The template best covered, its coverage, and the span of the words that cover it."""
@@ -106,23 +171,16 @@ class Scanner:
         coded = np.array([known.get(w, none) for w in words_of(text)], np.int64)
         hits = np.flatnonzero(coded < none)
         best: tuple[str | None, float, int, int] = (None, 0.0, 0, 0)
-        for k, template in enumerate(self.coded):
-            own = hits[self.has[k, coded[hits]]]
-            m = len(template)
-            need = max(1, int(np.ceil(self.least * m - 1e-9)))
-            if len(own) < need:
-                continue
-            begins = np.arange(0, max(1, len(coded) - m + 1), m)
-            inside = np.searchsorted(own, begins + 2 * m) - np.searchsorted(own, begins)
-            for begin in begins[inside >= need].tolist():
-                window = coded[begin : begin + 2 * m].tolist()
-                # How often each word is in both bounds what can be aligned.
-                if sum(min(window.count(w), template.count(w)) for w in set(window) if w != none) < need:
-                    continue
-                pairs = align(window, template)
-                coverage = len(pairs) / m
-                if len(pairs) >= need and coverage > best[1]:
-                    best = (self.names[k], coverage, begin + pairs[0][0], begin + pairs[-1][0] + 1)
+        if not len(hits) or not len(self.need) or len(hits) < self.need.min():
+            return best
+        # How often each word is in both bounds what can be aligned.
+        able = np.minimum(self.counts, np.bincount(coded[hits], minlength=none)).sum(axis=1)
+        for k in np.flatnonzero(able >= self.need).tolist():
+            at = hits[self.counts[k, coded[hits]] > 0]
+            pairs = self._find(k, coded[at].tolist(), at)
+            coverage = len(pairs) / len(self.coded[k])
+            if coverage > best[1]:
+                best = (self.names[k], coverage, int(at[pairs[0][0]]), int(at[pairs[-1][0]]) + 1)
         return best
 
 

@@ -264,6 +264,27 @@ def test_license_alignment(spark):
         assert kept == sorted(kept) and len(kept) == max(best)
 
 
+def test_edited_notices_are_found_at_every_offset():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    gpl = license_scan.TEMPLATES["GPL-3.0-notice"].split()
+    mit = license_scan.TEMPLATES["MIT"].split()
+    long = [*mit[:30], *(f"more{k}" for k in range(90)), *mit[30:70], *(f"word{k}" for k in range(90)), *mit[74:]]
+    cases = (("MIT-notice", "Released under the terms of the popular MIT License".split()), ("GPL-3.0-notice", [*gpl[:6], *"a b c d e f".split(), *gpl[6:]]), ("MIT", long))
+    for name, notice in cases:
+        template = license_scan.words_of(license_scan.TEMPLATES[name])
+        for offset in range(3 * len(template)):
+            text = [f"q{k}" for k in range(offset)] + notice + ["z"] * 50
+            pairs = license_scan.align(license_scan.words_of(" ".join(text)), template)
+            got = scanner.scan(" ".join(text))
+            assert got[0] == name and got[1] >= len(pairs) / len(template) >= 0.8, (name, offset, got)
+            assert got[2:] == (pairs[0][0], pairs[-1][0] + 1)
+    # The template's own words on both sides, as often as they like.
+    for around in ("the ", "license the ", "under the mit "):
+        for times in range(30):
+            got = scanner.scan(around * times + "Released under the terms of the popular MIT License " + around * times)
+            assert got[:2] == ("MIT-notice", 1.0)
+
+
 def test_telephony_tables_and_blocks():
     mu, al = telephony.mulaw_table(), telephony.alaw_table()
     assert (mu[0], mu[0x80], mu[0xFF], mu[0x7F]) == (-32124, 32124, 0, 0)
