@@ -197,9 +197,15 @@ def features(media: DataFrame, to_rate: int = 16000, with_pcm: bool = False) ->
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, schema)
 
 
+def store_pcm(media: DataFrame, to_rate: int = 16000) -> DataFrame:
+    """features() with the resampled samples: a stored table, pcm_bytes and pcm_crc32 taken from what is read back."""
+    whole = features(media, to_rate, with_pcm=True).drop("pcm_bytes", "pcm_crc32")
+    return stored(whole, "pcm").withColumns({"pcm_bytes": F.length("pcm").cast("long"), "pcm_crc32": F.crc32("pcm")})
+
+
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents as a telephony WAV file, read back and expanded."""
-    return features(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Every text of documents as a telephony WAV file, read back and expanded to stored PCM."""
+    return store_pcm(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("pcm")
 
 
 QUERIES = {"op1_telephony": op1_telephony}

@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -313,6 +315,25 @@ def test_telephony_tables_and_blocks():
         telephony.open_wav(b"RIFFxxxx")
 
 
+def test_telephony_query_stores_its_samples(spark, docs, tmp_path):
+    from strandline.llm._spark import shared_dir
+
+    docs.limit(20).write.parquet(f"{tmp_path}/documents.parquet")
+    here = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(here.iterdir())
+    got = sorted(telephony.op1_telephony(spark, str(tmp_path)).select("payload_sha256", "pcm_bytes", "pcm_crc32").collect())
+    new = {x.name.split("-")[0]: x for x in set(here.iterdir()) - before}
+    files = [r.media for r in spark.read.parquet(str(new["media"])).collect()]
+    kept = {r.payload_sha256: r.pcm for r in spark.read.parquet(str(new["pcm"])).collect()}
+    expected = []
+    for _, payload, rate, pcm in telephony.expand(files):
+        raw = telephony.resample(pcm, rate, 16000).astype("<i2").tobytes()
+        name = hashlib.sha256(payload).hexdigest()
+        assert kept[name] == raw
+        expected.append((name, len(raw), zlib.crc32(raw)))
+    assert got == sorted(expected)
+
+
 def test_telephony_round_trip(spark, docs):
     got = telephony.features(telephony.store_media(docs), with_pcm=True).collect()
     texts = {}
