@@ -287,6 +287,21 @@ def test_edited_notices_are_found_at_every_offset():
             assert got[:2] == ("MIT-notice", 1.0)
 
 
+def test_every_license_of_a_text_is_returned(spark):
+    t = license_scan.TEMPLATES
+    scanner = license_scan.Scanner(t, 0.8)
+    for name, text in t.items():
+        assert scanner.scan("q w " + text + " z")[:2] == (name, 1.0)
+        assert [x[0] for x in scanner.matches(text)] == [name]
+    assert all(license_scan.KEYS[n] & set(license_scan.words_of(t[n])) for n in license_scan.KEYS)
+    rows = [(1, "Copyright 2020 A. All rights reserved."), (2, t["MIT"] + " " + t["MIT-warranty"]), (3, t["Apache-2.0-notice"] + " x y z " + t["MIT-notice"]), (4, "All rights reserved. " + t["BSD-3-Clause"]), (5, "Released under the ABC License."), (6, None)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: {x.license for x in r.matches} for k, r in got.items()} == {1: {"All-rights-reserved"}, 2: {"MIT", "MIT-warranty"}, 3: {"Apache-2.0-notice", "MIT-notice"}, 4: {"All-rights-reserved", "BSD-3-Clause"}, 5: set(), 6: set()}
+    assert [got[k].license for k in range(1, 7)] == ["All-rights-reserved", "MIT", "MIT-notice", "BSD-3-Clause", None, None]
+    spans = {x.license: (x.first_word, x.last_word) for x in got[3].matches}
+    assert spans == {"Apache-2.0-notice": (0, 8), "MIT-notice": (11, 16)}
+
+
 def test_telephony_tables_and_blocks():
     mu, al = telephony.mulaw_table(), telephony.alaw_table()
     assert (mu[0], mu[0x80], mu[0xFF], mu[0x7F]) == (-32124, 32124, 0, 0)
