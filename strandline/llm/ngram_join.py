@@ -442,7 +442,9 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     short = stored(short.join(nodes, ["a", "sa"], "left_semi"), "short")
 
     # One row can have several sets under one id; they are one node of the graph.
-    together = named.join(same, ["s1", "s2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
+    of_id = named.join(same, ["s1", "s2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    several = stored(of_id.where("a <> b").select("doc_id", "a"), "several")
+    together = named.join(several, "doc_id").join(same, ["s1", "s2"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links, tried = stored(together, "links"), None
     for _ in range(HUB_ROUNDS):
         pairs = stored(_hub_pairs(members, tried, percent), "hubs")

@@ -114,6 +114,13 @@ def test_ngram_join(spark, docs, monkeypatch, small, block):
         assert ngram_join.classify(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_links_all_texts_of_an_id(spark):
+    text = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    rows = [(1, text[0]), (2, text[1]), (3, text[2]), (4, text[3]), (5, text[0]), (5, text[1]), (5, text[2]), (6, text[1])]
+    got = ngram_join.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute_groups(rows)
+
+
 def test_ranges_bound_what_sets_share():
     rng = np.random.default_rng(2)
     for _ in range(60):
