@@ -142,6 +142,10 @@ class Store:
         self.ends = np.zeros(1 << 15, np.int64)
         self.n, self.used = 0, 0
 
+    def forget(self) -> None:
+        """At the end of a task: an idle worker holds no words."""
+        self._clear()
+
     def _add(self, words: list[str]) -> None:
         flat, lengths = self.encode(words)
         while self.used + len(flat) > len(self.ids):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pretokens import Batch, Store, chunks
-from ._spark import ready
+from ._spark import binaries, ready
 
 LONG = 256
 #: A tree's leaf holds rank << 8 | position at most in 31 bits.
@@ -222,9 +222,8 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
             for a, b in chunks(batch.column(1)):
                 ids, n = store.texts(Batch(batch.column(1).slice(a, b - a)))
                 said = [hashlib.sha256(x).hexdigest() for x in ranks.decimals(ids, n)]
-                raw, ends = memoryview(ids.astype("<u4").tobytes()), (4 * np.append(0, np.cumsum(n))).tolist()
-                own = [raw[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(own, pa.binary()), "ids_sha256": said})
+                own = binaries(ids.astype("<u4").tobytes(), 4 * np.append(0, np.cumsum(n)))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n_tokens": pa.array(n, pa.int64()), "ids": own, "ids_sha256": said})
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_sha256 string")
 

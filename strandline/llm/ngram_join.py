@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._pretokens import chunks
 from ._sketch import met_twice, passes
-from ._spark import drop_stored, ready, stored
+from ._spark import binaries, drop_stored, ready, stored
 from ._words import Words, mixed, rolling, signed, windows
 from .components import components
 
@@ -221,10 +221,10 @@ def _sets(docs: DataFrame, size: int, classes, nodes: DataFrame) -> DataFrame:
             for a, b in chunks(some.column(1)):
                 grams, n = shingles(some.column(1).slice(a, b - a), size)
                 keys, begin = _ordered(grams, n, classes.value), np.cumsum(n) - n
-                data, raw = memoryview(grams.tobytes()), memoryview(keys.tobytes())
+                data = memoryview(grams.tobytes())
                 spans = [(8 * s, 8 * (s + m)) for s, m in zip(begin.tolist(), n.tolist(), strict=True)]
                 s1 = np.array([int.from_bytes(hashlib.blake2b(data[s:e], digest_size=16).digest()[:8], "little", signed=True) for s, e in spans], np.int64)
-                yield pa.RecordBatch.from_pydict({"a": some.column(0).slice(a, b - a), "sa": s1, "keys": pa.array([raw[s:e] for s, e in spans], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"a": some.column(0).slice(a, b - a), "sa": s1, "keys": binaries(keys.tobytes(), 8 * np.append(0, np.cumsum(n)))})
 
     every = _marked(docs).mapInArrow(run, "a long, sa long, keys binary")
     return every.dropDuplicates(["a", "sa"]).join(nodes.select("a", "sa").distinct(), ["a", "sa"], "left_semi")

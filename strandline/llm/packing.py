@@ -6,8 +6,13 @@ where bitset subset-sum dynamic programming finds the multiset of lengths that f
 That pattern is used as often as the remaining counts allow, so the number of patterns is bounded by the capacity, not
 by the documents. Each remainder then takes the place that its rank among its length's remainders has in the patterns.
 
-Defined results: null and empty texts have the end id alone; rows with one id or a null id each are a document; an empty
-table gives no pieces. Extra columns are ignored.
+No rows are sorted for that: the task that cuts a document says which of its own pieces of that length this is (part,
+nth), and the stored pieces keep it. Ranks are nth plus the pieces of the same length in the parts before, which is a
+running sum over the counts by length and part. Whole windows are numbered in the same way, after the others.
+
+Defined results: null and empty texts have the end id alone; rows with one id or a null id each are a document; repeated
+rows are packed as often as they are there; an empty table gives no pieces. Columns other than id and text are ignored
+whatever their names. A text of any length is cut like the others; one task holds a text at a time.
 """
 
 from __future__ import annotations
@@ -17,15 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._pretokens import Batch, chunks, library_store
-from ._spark import ready, stored
+from ._spark import binaries, ready, stored
 
-PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
-#: Ranks within a length are counted apart in so many groups, so that a length with most of the documents is spread.
-SALTS = 64
+PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -70,75 +74,81 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[dict[
     return out
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document: whole windows of `capacity` ids, then what remains; ids are little-endian unsigned 32-bit."""
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """The pieces of every document: whole windows of `capacity` ids, then what remains; ids are little-endian unsigned 32-bit.
+
+    nth tells the pieces of one length and part apart; it depends on the order of rows within the task, so pieces are to
+    be stored before they are packed.
+    """
     ready(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = library_store(tokenizer)
+        store, part = library_store(tokenizer), TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for a, b in chunks(batch.column(1)):
                 flat, per_doc = store.texts(Batch(batch.column(1).slice(a, b - a)))
                 ends = np.cumsum(per_doc)
                 flat = np.insert(flat, ends, end_id).astype("<u4")
                 n = per_doc + 1
-                begin = np.cumsum(n) - n
                 k = -(-n // capacity)
                 row = np.repeat(np.arange(len(n)), k)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)) * capacity
                 length = np.minimum(capacity, n[row] - start)
-                data = memoryview(flat.tobytes())
-                at = (begin[row] + start) * 4
-                ids = [data[p : p + 4 * m] for p, m in zip(at.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a).take(pa.array(row)), "start": start, "length": length.astype(np.int32), "ids_crc32": pa.array(map(zlib.crc32, ids), pa.int64()), "doc_tokens": n[row], "ids": pa.array(ids, pa.binary())})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, PIECES)
+                # Pieces of one length get consecutive numbers in their order.
+                order = np.argsort(length, kind="stable")
+                many = np.bincount(length, minlength=capacity + 1)
+                nth = np.empty(len(row), np.int64)
+                nth[order] = seen[length[order]] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                seen += many
+                # The pieces lie one after another in flat.
+                data, stops = flat.tobytes(), np.append(0, 4 * np.cumsum(length))
+                crc = [zlib.crc32(data[x:y]) for x, y in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+                out = {"doc_id": batch.column(0).slice(a, b - a).take(pa.array(row)), "start": start, "length": length.astype(np.int32), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": n[row], "part": np.full(len(row), part, np.int32), "nth": nth}
+                yield pa.RecordBatch.from_pydict(out | ({"ids": binaries(data, stops)} if with_ids else {}))
+        store.forget()
+
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return plain.mapInArrow(pieces, PIECES + (", ids binary" if with_ids else ""))
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces (a stored table with at least length) with sequence_id and offset.
+    """pieces (a stored table with length, part and nth) with sequence_id and offset.
 
-    The tables that are broadcast have at most `capacity` x SALTS rows (counts) and one row for each pattern and length.
+    To the driver go a row for each length, and one for each part with how many whole windows it has. What is broadcast
+    has a row for each length, with the places of that length in the patterns. Pieces meet the counts before them by
+    length and part, in whatever join the sizes of these counts allow.
     """
     spark = pieces.sparkSession
-    rest = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
-    whole = pieces.where(F.col("length") == capacity)
-    counts = rest.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity x SALTS rows
-    per_length: dict[int, int] = {}
-    base = []
-    for r in sorted(counts):
-        base.append((r["length"], r["salt"], per_length.get(r["length"], 0)))
-        per_length[r["length"]] = per_length.get(r["length"], 0) + r["n"]
-    slots, first_rank, first_sequence = [], dict.fromkeys(per_length, 0), 0
+    counts = pieces.where(F.col("length") < capacity).groupBy("length", "part").agg(F.count("*").alias("n"))
+    # At most `capacity` rows for each part of the stored table.
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    per_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    by_length: dict[int, list] = {length: [] for length in per_length}
+    first_rank, first_sequence = dict.fromkeys(per_length, 0), 0
     for pattern, windows in minimum_bin_slack(per_length, capacity):
         at = 0
         for length, times in sorted(pattern.items(), reverse=True):
-            slots.append((length, first_rank[length], first_rank[length] + times * windows, times, first_sequence, at))
+            low = first_rank[length]
             first_rank[length] += times * windows
+            by_length[length].append((low, first_rank[length], times, first_sequence, at))
             at += times * length
         first_sequence += windows
-    base_df = F.broadcast(spark.createDataFrame(base, "length int, salt long, base long"))
-    by_length: dict[int, list] = {}
-    for length, *slot in slots:
-        by_length.setdefault(length, []).append(tuple(slot))
-    slots_df = F.broadcast(spark.createDataFrame(list(by_length.items()), "length int, slots array<struct<low: long, high: long, times: long, sequence: long, at: long>>"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1
-    ranked = rest.withColumn("rank", rank).join(base_df, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base")).join(slots_df, "length")
+    slots = spark.createDataFrame(list(by_length.items()), "length int, slots array<struct<low: long, high: long, times: long, sequence: long, at: long>>")
+    ranked = pieces.where(F.col("length") < capacity).join(base, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base")).join(F.broadcast(slots), "length")
     slot = F.filter("slots", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["high"]))[0]
     placed = ranked.withColumn("slot", slot).withColumn("k", F.col("rank") - F.col("slot.low"))
     within = F.pmod(F.col("k"), F.col("slot.times"))
     packed = placed.withColumn("sequence_id", F.col("slot.sequence") + F.expr("k div slot.times")).withColumn("offset", F.col("slot.at") + within * F.col("length"))
-    # Whole windows are numbered after the others, by document and place; their numbers need no gap-free order.
-    salted = whole.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
-    n_whole = {r["salt"]: r["n"] for r in salted.groupBy("salt").agg(F.count("*").alias("n")).collect()}
-    before, total = [], first_sequence
-    for salt in range(SALTS):
-        before.append((salt, total))
-        total += n_whole.get(salt, 0)
-    number = F.row_number().over(Window.partitionBy("salt").orderBy("doc_id", "start")) - 1
-    alone = salted.withColumn("number", number).join(F.broadcast(spark.createDataFrame(before, "salt long, before long")), "salt")
-    alone = alone.withColumn("sequence_id", F.col("number") + F.col("before")).withColumn("offset", F.lit(0).cast("long"))
-    columns = [*pieces.columns, "sequence_id", "offset"]
+    whole = pieces.where(F.col("length") == capacity)
+    total, parts = first_sequence, []
+    for r in sorted(whole.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row for each stored part
+        parts.append((r["part"], total))
+        total += r["n"]
+    alone = whole.join(spark.createDataFrame(parts, "part int, first long"), "part")
+    alone = alone.withColumn("sequence_id", F.col("first") + F.col("nth")).withColumn("offset", F.lit(0).cast("long"))
+    columns = [*(c for c in pieces.columns if c not in ("part", "nth")), "sequence_id", "offset"]
     return packed.select(columns).unionByName(alone.select(columns))
 
 
@@ -150,19 +160,17 @@ def sequences(packed: DataFrame, capacity: int, pad_id: int = 0) -> DataFrame:
     return filled.select("sequence_id", "n_tokens", F.unhex(F.concat("x", F.repeat(F.lit(pad), (capacity - F.col("n_tokens")).cast("int")))).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
-    """documents, tokenised, cut and packed: a row for each piece, with its ids."""
+def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+    """documents, tokenised, cut and packed: a row for each piece, with its ids unless they are not wanted."""
     import public_tokenizers
 
-    pieces = stored(cut(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end_id, capacity), "pieces")
+    pieces = stored(cut(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end_id, capacity, with_ids=with_ids), "pieces")
     return pack(pieces, capacity)
 
 
-
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents packed into sequences of at most 1024 ids: a row for each piece."""
-    packed = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return digest(packed)
+    """documents packed into sequences of at most 1024 ids: a row for each piece, by place and checksum."""
+    return digest(pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False))
 
 
 def digest(packed: DataFrame) -> DataFrame:
