@@ -1,18 +1,19 @@
 """From probabilities of windows to clean segments of behaviour.
 
-Two steps depend on all that came before within a sequence and run grouped in pandas: the Viterbi path, and the repeated
-absorption of short runs. All else (bouts, gaps, shakes, thresholds, painting, segments) is window expressions.
+Two steps depend on all that came before within a sequence and run in numpy over many sequences at once: the Viterbi path,
+and the repeated absorption of short runs. All else (bouts, gaps, shakes, thresholds, painting, segments) is window expressions.
 
 A sequence is what `keys` tell apart, as a rule a device's day: 172,800 windows at two a second, so a group is bounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+import heapq
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,84 +41,159 @@ class StableParams:
     candidate_windows: int = 2
     candidate_mean: float = 0.3
     candidate_most: int = 40
+    candidate_spec_min: float = 0.0
     refine_margin_s: float = 1.0
     refine_ratio: float = 0.3
 
 
-def viterbi_path(probs: np.ndarray, switch_cost: float) -> np.ndarray:
-    """States of the best path through (n, classes). Staying wins ties with switching, the first class ties between classes."""
+def viterbi_paths(probs: np.ndarray, begins: np.ndarray, switch_cost: float) -> np.ndarray:
+    """States of the best path through each sequence of (n, classes) probabilities; begins: where sequences begin.
+
+    One step is taken for all sequences at once, the longest ones first in the arrays. Staying wins ties with switching,
+    the first class ties between classes.
+    """
     n, m = probs.shape
-    emit = np.log(np.maximum(probs, 1e-6))
-    back = np.empty((n, m), np.int16)
-    score, own = emit[0].copy(), np.arange(m, dtype=np.int16)
-    for i in range(1, n):
-        best = int(np.argmax(score))
-        switch = score[best] - switch_cost
-        stays = score >= switch
-        back[i] = np.where(stays, own, best)
-        score = np.where(stays, score, switch) + emit[i]
-    path = np.empty(n, np.int16)
-    path[-1] = int(np.argmax(score))
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+    length = np.diff(np.append(begins, n))
+    order = np.argsort(-length, kind="stable")
+    begin, length = begins[order], length[order]
+    emit, own = np.log(np.maximum(probs, 1e-6)), np.arange(m, dtype=np.int16)
+    back, path = np.empty((n, m), np.int16), np.empty(n, np.int16)
+    score = emit[begin]
+    # alive[t]: how many sequences have more than t windows.
+    alive = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
+    for t in range(1, len(alive)):
+        k = alive[t]
+        now, at = score[:k], begin[:k] + t
+        best = now.argmax(axis=1)
+        switch = now[np.arange(k), best] - switch_cost
+        stays = now >= switch[:, None]
+        back[at] = np.where(stays, own, best[:, None])
+        score[:k] = np.where(stays, now, switch[:, None]) + emit[at]
+    state = score.argmax(axis=1)
+    for t in range(len(alive) - 1, -1, -1):
+        k = alive[t]
+        path[begin[:k] + t] = state[:k]
+        if t:
+            state[:k] = back[begin[:k] + t, state[:k]]
     return path
 
 
 def absorb_short(labels: Sequence[str], z0: np.ndarray, z1: np.ndarray, least_ms: int) -> list[str]:
-    """Runs of under least_ms take the label of the longer neighbour (the left one on ties), the shortest first, until none is left."""
-    runs: list[list] = []
-    for label, a, b in zip(labels, z0.tolist(), z1.tolist(), strict=True):
-        if runs and runs[-1][0] == label:
-            runs[-1][2:] = [b, runs[-1][3] + 1]
-        else:
-            runs.append([label, a, b, 1])
-    while len(runs) > 1:
-        lengths = [b - a for _, a, b, _ in runs]
-        k = int(np.argmin(lengths))
-        if lengths[k] >= least_ms:
-            break
-        to = k + 1 if k == 0 or k + 1 < len(runs) and lengths[k + 1] > lengths[k - 1] else k - 1
-        runs[k][0] = runs[to][0]
-        merged: list[list] = []
-        for run in runs:
-            if merged and merged[-1][0] == run[0]:
-                merged[-1][2:] = [run[2], merged[-1][3] + run[3]]
-            else:
-                merged.append(run)
-        runs = merged
-    return [label for label, _, _, n in runs for _ in range(n)]
-
-
-def _grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, labels_of) -> DataFrame:
-    """df with a string column that labels_of(sorted pandas group) gives."""
+    """Runs of under least_ms take the label of the longer neighbour (the left one on ties), the shortest first, until none is left.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        return pdf.assign(**{name: labels_of(pdf)})
+    Runs are a linked list, and a heap gives the next one, so it takes n log n steps.
+    """
+    n = len(labels)
+    if not n:
+        return []
+    change = np.flatnonzero([a != b for a, b in zip(labels[1:], labels[:-1], strict=True)]) + 1
+    first = np.append(0, change)
+    kind, begin, end = [labels[k] for k in first], z0[first].tolist(), z1[np.append(change, n) - 1].tolist()
+    left, right = list(range(-1, len(kind) - 1)), [*range(1, len(kind)), -1]
+    size = lambda k: end[k] - begin[k]
+    heap = [(size(k), k) for k in range(len(kind)) if size(k) < least_ms]
+    heapq.heapify(heap)
+    into = list(range(len(kind)))
+
+    def join(a: int, b: int) -> None:
+        """Run b becomes part of a, the run before it."""
+        into[b], end[a], right[a] = a, end[b], right[b]
+        if right[b] >= 0:
+            left[right[b]] = a
+
+    while heap:
+        length, k = heapq.heappop(heap)
+        if into[k] != k or length != size(k):
+            continue
+        a, b = left[k], right[k]
+        if a < 0 and b < 0:
+            break
+        to = b if a < 0 or b >= 0 and size(b) > size(a) else a
+        kind[k] = kind[to]
+        if b >= 0 and kind[b] == kind[k]:
+            join(k, b)
+        if a >= 0 and kind[a] == kind[k]:
+            join(a, k)
+            k = a
+        if size(k) < least_ms:
+            heapq.heappush(heap, (size(k), k))
+    out, now = [], 0
+    for k, many in enumerate(np.diff(np.append(first, n)).tolist()):
+        now = k if into[k] == k else now
+        out += [kind[now]] * many
+    return out
+
+
+#: Rows of whole sequences that are worked on at once.
+ROWS_AT_ONCE = 50_000
+
+
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, columns: Sequence[str], labels_of) -> DataFrame:
+    """df with a string column that labels_of(batch of `columns`, begins of sequences) gives.
+
+    The window that marks the first row of each sequence deals out and sorts the rows; tasks then get whole sequences one
+    after another, many short ones together. No task holds more than a sequence beyond ROWS_AT_ONCE.
+    """
+    first = F.row_number().over(islands.ordered(keys, order)) == 1
+    names = [f.name for f in df.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            if table.num_rows:
+                labels = labels_of(table.select(columns), np.flatnonzero(table["_first"].to_numpy()))
+                yield from table.select(names).append_column(name, pa.array(labels, pa.string())).to_batches()
+
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+            if len(begins) and rows + begins[-1] >= ROWS_AT_ONCE:
+                yield from done([*held, batch.slice(0, begins[-1])])
+                held, rows, batch = [], 0, batch.slice(begins[-1])
+            held.append(batch)
+            rows += batch.num_rows
+        if held:
+            yield from done(held)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, `{name}` string")
+    return df.withColumn("_first", first).mapInArrow(run, f"{fields}, `{name}` string")
 
 
 def viterbi(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], switch_cost: float = 3.0, probs: str = "probs", name: str = "decoded") -> DataFrame:
+    """The most likely class of each window given its sequence; every row has a probability for each class."""
     names = np.array(classes, object)
-    return _grouped(df, keys, order, name, lambda pdf: names[viterbi_path(np.stack(pdf[probs].to_numpy()).astype(np.float64), switch_cost)])
+
+    def labels_of(table: pa.Table, begins: np.ndarray) -> np.ndarray:
+        values = table[probs].combine_chunks().flatten().to_numpy().astype(np.float64)
+        return names[viterbi_paths(values.reshape(table.num_rows, -1), begins, switch_cost)]
+
+    return _in_order(df, keys, order, name, [probs], labels_of)
 
 
 def absorb_short_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, least_ms: int = 10_000, name: str = "absorbed") -> DataFrame:
-    return _grouped(df, keys, order, name, lambda pdf: absorb_short(pdf[state].tolist(), pdf["z0"].to_numpy(), pdf["z1"].to_numpy(), least_ms))
+    def labels_of(table: pa.Table, begins: np.ndarray) -> list[str]:
+        labels, z0, z1 = table[state].to_pylist(), table["z0"].to_numpy(), table["z1"].to_numpy()
+        ends = np.append(begins[1:], len(labels))
+        return [x for a, b in zip(begins.tolist(), ends.tolist(), strict=True) for x in absorb_short(labels[a:b], z0[a:b], z1[a:b], least_ms)]
+
+    return _in_order(df, keys, order, name, [state, "z0", "z1"], labels_of)
 
 
-def _kept(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, p: Column, params: StableParams, spec: str | None) -> DataFrame:
-    """flag, only for bouts that are long and sure enough, or very sure once."""
-    w = islands.ordered(keys, order)
-    apart = F.coalesce(F.col("z0") - F.lag("z1").over(w), F.lit(0))
-    runs = islands.with_run(df, keys, order, F.col(flag), (apart, F.lit(params.gap_ms)), name="_bout")
-    bout = Window.partitionBy(*keys, "_bout")
-    keep = ((F.count("*").over(bout) >= params.min_windows) & (F.avg(p).over(bout) >= params.min_mean)) | (F.max(p).over(bout) >= params.single)
+def _kept(df: DataFrame, keys: Sequence[str], flag: str, bout: str, p: Column, params: StableParams, spec: str | None) -> DataFrame:
+    """flag, only for bouts whose flagged windows are long and sure enough, or very sure once."""
+    of = Window.partitionBy(*keys, bout)
+    own = lambda c: F.when(F.col(flag), c)
+    keep = ((F.count(own(p)).over(of) >= params.min_windows) & (F.avg(own(p)).over(of) >= params.min_mean)) | (F.max(own(p)).over(of) >= params.single)
     if spec and params.spectral_min > 0:
-        keep = keep & F.coalesce(F.avg(spec).over(bout) >= params.spectral_min, F.lit(True))
-    return runs.withColumn(flag, F.col(flag) & keep).drop("_bout")
+        keep = keep & F.coalesce(F.avg(own(F.col(spec))).over(of) >= params.spectral_min, F.lit(True))
+    return df.withColumn(flag, F.col(flag) & F.coalesce(keep, F.lit(False)))
+
+
+def _bouts(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, name: str, params: StableParams) -> DataFrame:
+    """A number for each bout of flag; windows without it have numbers as well."""
+    apart = F.coalesce(F.col("z0") - F.lag("z1").over(islands.ordered(keys, order)), F.lit(0))
+    return islands.with_run(df, keys, order, F.col(flag), (apart, F.lit(params.gap_ms)), name=name)
 
 
 def stabilise(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], window_ms: int, stride_ms: int, params: StableParams = StableParams(), algo: str = "viterbi", centre: bool = False, spec: str | None = None) -> DataFrame:
@@ -151,11 +227,15 @@ def stabilise(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes:
     for e in events:
         out = islands.fill_gaps(out, keys, order, f"_{e}", params.gap_ms)
     if set(events) == {params.scratch, params.shake}:
+        # A bout of shaking is judged as one, also where scratching takes windows out of its middle.
+        out = _bouts(out, keys, order, f"_{params.shake}", f"_bout_{params.shake}", params)
         out = islands.absorb(out, keys, order, f"_{params.scratch}", F.coalesce(shaken, F.lit(False)))
         out = islands.fill_gaps(out, keys, order, f"_{params.scratch}", params.gap_ms)
         out = out.withColumn(f"_{params.shake}", F.col(f"_{params.shake}") & ~F.col(f"_{params.scratch}"))
     for e in events:
-        out = _kept(out, keys, order, f"_{e}", p[e], replace(params, spectral_min=params.spectral_min if e == params.scratch else 0.0), spec)
+        if f"_bout_{e}" not in out.columns:
+            out = _bouts(out, keys, order, f"_{e}", f"_bout_{e}", params)
+        out = _kept(out, keys, f"_{e}", f"_bout_{e}", p[e], params, spec if e == params.scratch else None)
     final = F.col("state")
     for e in reversed(events):
         final = F.when(F.col(f"_{e}"), e).otherwise(final)
@@ -168,18 +248,30 @@ def segments(stable: DataFrame, keys: Sequence[str], order: Sequence[str], class
     return islands.segments(stable, keys, order, "final", F.element_at("probs", place), spec)
 
 
-def candidates(df: DataFrame, found: DataFrame, keys: Sequence[str], order: Sequence[str], p: Column, params: StableParams = StableParams(), most: int | None = None) -> DataFrame:
-    """Bouts by lower limits that the final segments (start_ms, end_ms) have not taken; the surest first, and `most` a sequence where given."""
-    low = islands.hysteresis(df.withColumn("_p", p), keys, order, F.col("_p"), params.candidate_enter, params.candidate_stay, "_bout")
-    low = islands.fill_gaps(low, keys, order, "_bout", params.gap_ms)
-    low = islands.with_run(low, keys, order, F.col("_bout"), name="_id").where("_bout")
+def candidates(df: DataFrame, found: DataFrame, keys: Sequence[str], order: Sequence[str], p: Column, params: StableParams = StableParams(), most: int | None = None, spec: str | None = None) -> DataFrame:
+    """Bouts that the final segments (start_ms, end_ms) have not taken, for people to look at.
+
+    reason low_conf: by lower limits of the probability p. reason spectral (off unless candidate_spec_min is set): runs of
+    other free windows whose spectral share is high. rank puts the surest first; `most` a sequence stay where it is given.
+    """
+    low = islands.hysteresis(df.withColumn("_p", p), keys, order, F.col("_p"), params.candidate_enter, params.candidate_stay, "_low")
+    low = islands.with_run(islands.fill_gaps(low, keys, order, "_low", params.gap_ms), keys, order, F.col("_low"), name="_id")
+    low = low.withColumn("_spec", F.col(spec).cast("double") if spec else F.lit(None).cast("double"))
     marked = intervals.mark_overlap(low, found, keys, order, ("z0", "z1"), ("start_ms", "end_ms"))
     bout = Window.partitionBy(*keys, "_id")
-    free = F.when(~F.col("taken"), F.col("z0"))
+    free = F.when(F.col("_low") & ~F.col("taken"), F.col("z0"))
     inside = marked.withColumn("_a", F.min(free).over(bout)).withColumn("_b", F.max(free).over(bout)).withColumn("_n", F.count(free).over(bout))
-    inside = inside.where((F.col("_n") >= params.candidate_windows) & F.col("z0").between(F.col("_a"), F.col("_b")))
-    out = inside.groupBy(*keys, "_id").agg(F.min("z0").alias("start_ms"), F.max("z1").alias("end_ms"), F.max("_p").alias("conf_max"), F.avg("_p").alias("conf_mean"), F.count("*").alias("n_windows"))
-    out = out.where(F.col("conf_mean") >= params.candidate_mean).drop("_id")
+
+    def bouts(windows: DataFrame, run: str, reason: str) -> DataFrame:
+        out = windows.groupBy(*keys, run).agg(F.min("z0").alias("start_ms"), F.max("z1").alias("end_ms"), F.max("_p").alias("conf_max"), F.avg("_p").alias("conf_mean"), F.count("*").alias("n_windows"), F.bround(F.avg("_spec"), 3).alias("spec"))
+        return out.drop(run).withColumn("reason", F.lit(reason))
+
+    whole = F.col("_n") >= params.candidate_windows
+    out = bouts(inside.where(whole & F.col("z0").between(F.col("_a"), F.col("_b"))), "_id", "low_conf").where(F.col("conf_mean") >= params.candidate_mean)
+    if params.candidate_spec_min > 0:
+        rest = ~F.col("taken") & ~(F.col("_low") & whole) & F.coalesce(F.col("_spec") >= params.candidate_spec_min, F.lit(False))
+        runs = islands.with_run(inside.withColumn("_rest", rest), keys, order, F.col("_rest"), name="_run")
+        out = out.unionByName(bouts(runs.where("_rest"), "_run", "spectral").where(F.col("n_windows") >= params.candidate_windows))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("conf_mean"), "start_ms"))
     ranked = out.withColumn("rank", rank)
     return ranked.where(F.col("rank") <= most) if most else ranked

@@ -1,7 +1,7 @@
 """Signal kernels: resampling, alignment with gravity, spectra, and the feature vector of a window.
 
-Numpy works on a whole Arrow batch of windows at once; Spark deals the windows out. A sequence to be resampled is a
-device's day or less, which bounds a group.
+Resampling is window expressions; features are numpy on a whole Arrow batch of windows at once, and Spark deals the
+windows out.
 """
 
 from __future__ import annotations
@@ -10,45 +10,42 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHANNELS = ("ax", "ay", "az", "gx", "gy", "gz")
 FLAT = 1e-8
-_STATS = ("mean", "std", "min", "max", "range", "rms", "skew", "kurtosis", "crossings", "iqr", "peaks")
-_SPECTRAL = ("psd_mean", "psd_std", "peak_freq", "entropy", "band_0", "band_1", "band_2", "band_3")
-#: Where the four bands begin and end, in shares of half the rate.
-BANDS = ((0.0, 0.125), (0.125, 0.25), (0.25, 0.5), (0.5, 1.0))
-
-
-def resample_values(x: np.ndarray, source_hz: float, target_hz: float) -> np.ndarray:
-    """(n, channels) at another rate: a box filter over the ratio of the rates, then linear interpolation; the last point is left out."""
-    n = len(x)
-    if n == 0:
-        return x
-    width = max(1, round(source_hz / target_hz))
-    box = np.full(width, 1.0 / width)
-    smooth = np.column_stack([np.convolve(c, box, "same")[:n] for c in x.T]) if width > 1 else x
-    times = np.arange(n) / source_hz
-    at = np.arange(0.0, times[-1], 1.0 / target_hz)
-    return np.column_stack([np.interp(at, times, c) for c in smooth.T]) if len(at) else x[:0]
+#: What models call channels and features, in the order of the vector.
+_AXES = ("acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z", "pitch", "roll")
+_STATS = ("mean", "std", "min", "max", "range", "rms", "skew", "kurtosis", "mcr", "iqr", "peak_count")
+_SPECTRAL = ("spec_mean", "spec_std", "peak_freq", "spec_entropy", "band_energy_0", "band_energy_1", "band_energy_2", "band_energy_3")
+_GLOBAL = ("sma_acc", "sma_gyro", "corr_acc_xy", "corr_acc_yz", "corr_acc_xz", "corr_gyro_xy", "corr_gyro_yz", "corr_gyro_xz")
+#: Where the four bands begin and end, in shares of half the rate; the end is not in a band.
+BANDS = ((0.0, 0.125), (0.125, 0.375), (0.375, 0.75), (0.75, 1.0))
 
 
 def resample(df: DataFrame, keys: Sequence[str], ts: str, source_hz: float, target_hz: float, channels: Sequence[str] = CHANNELS) -> DataFrame:
-    """Each sequence at target_hz: keys, sample, channels. Samples are taken to follow each other at source_hz."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(ts, kind="stable")
-        out = resample_values(own[list(channels)].to_numpy(np.float64), source_hz, target_hz)
-        new = pd.DataFrame(out, columns=list(channels))
-        new.insert(0, "sample", np.arange(len(new)))
-        for k in reversed(keys):
-            new.insert(0, k, own[k].iloc[0])
-        return new
+    """Each sequence at target_hz: keys, sample, channels. Samples are taken to follow each other at source_hz.
 
-    types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "sample long", *(f"`{c}` double" for c in channels)])
-    return df.select(*keys, ts, *channels).groupBy(*keys).applyInPandas(run, schema)
+    A box filter as long as the ratio of the rates (rounded), zeros beyond the ends, then linear interpolation at the
+    multiples of the new step before the last sample's time, in milliseconds; so the last point is left out, at equal
+    rates as well. A sequence of one sample gives none. All of it is windows over one sort, nothing leaves the JVM.
+    """
+    step, dt = 1000.0 / target_hz, 1000.0 / source_hz
+    width = max(1, round(step / dt))
+    after = (width - 1) // 2
+    w = Window.partitionBy(*keys).orderBy(ts)
+    box = w.rowsBetween(after + 1 - width, after)
+    at = F.row_number().over(w) - 1
+    smooth = [(F.sum(F.col(c).cast("double")).over(box) / width if width > 1 else F.col(c).cast("double")).alias(c) for c in channels]
+    own = df.select(*keys, ts, at.alias("_i"), *smooth)
+    own = own.withColumns({f"_next_{c}": F.lead(c).over(w) for c in channels}).withColumn("_last", F.lead(ts).over(w).isNull())
+    time = lambda i: i / F.lit(float(source_hz)) * 1000.0
+    first = lambda i: F.ceil(time(i) / step).cast("long")
+    low, high = first(F.col("_i")), first(F.col("_i") + 1) - 1
+    new = own.where(~F.col("_last") & (low <= high)).withColumn("sample", F.explode(F.sequence(low, high)))
+    share = (F.col("sample") * step - time(F.col("_i"))) / dt
+    return new.select(*keys, "sample", *[(F.col(c) + (F.col(f"_next_{c}") - F.col(c)) * share).alias(c) for c in channels])
 
 
 def align(x: np.ndarray) -> np.ndarray:
@@ -119,12 +116,14 @@ def welch(x: np.ndarray, hz: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spectral_features(x: np.ndarray, hz: float) -> np.ndarray:
-    """(n, 8) of rows (n, T): of the power density, its peak and entropy, and the shares of BANDS."""
+    """(n, 8) of rows (n, T): centroid and spread of the frequencies by power, the strongest one, entropy, the shares of BANDS."""
     freq, power = welch(x, hz)
     share = power / (power.sum(axis=1, keepdims=True) + 1e-8)
+    centre = share @ freq
+    spread = np.sqrt((share * (freq - centre[:, None]) ** 2).sum(axis=1))
     entropy = -(share * np.log(share + 1e-8)).sum(axis=1)
-    bands = [share[:, (freq >= a * hz / 2) & ((freq < b * hz / 2) | (b == 1.0))].sum(axis=1) for a, b in BANDS]
-    return np.column_stack([power.mean(axis=1), power.std(axis=1), freq[power.argmax(axis=1)], entropy, *bands])
+    bands = [share[:, (freq >= a * hz / 2) & (freq < b * hz / 2)].sum(axis=1) for a, b in BANDS]
+    return np.column_stack([centre, spread, freq[power.argmax(axis=1)], entropy, *bands])
 
 
 def _pearson(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,11 +135,9 @@ def _pearson(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def feature_names(tilted: bool) -> list[str]:
     """Names in the order of window_features(): 193 with pitch and roll, 171 without."""
-    channels = [*CHANNELS, *(("pitch", "roll") if tilted else ())]
-    out = [f"{c}_{s}" for c in channels for s in _STATS] + [f"{c}_{s}" for c in CHANNELS for s in _SPECTRAL]
-    out += [f"{g}_{s}" for g in ("acc", "gyro") for s in ("sma", "corr_xy", "corr_yz", "corr_xz")]
-    out += [f"{g}_mag_{s}" for g in ("acc", "gyro") for s in (*_STATS, *_SPECTRAL)]
-    return out + [f"acc_jerk_{s}" for s in _STATS]
+    out = [f"{c}_{s}" for c in _AXES[: 8 if tilted else 6] for s in _STATS] + [f"{c}_{s}" for c in _AXES[:6] for s in _SPECTRAL]
+    out += [*_GLOBAL, *(f"{g}_mag_{s}" for g in ("acc", "gyro") for s in (*_STATS, *_SPECTRAL))]
+    return out + [f"acc_jerk_mag_{s}" for s in _STATS]
 
 
 def window_features(x: np.ndarray, hz: float, tilted: bool = True) -> np.ndarray:
@@ -149,28 +146,30 @@ def window_features(x: np.ndarray, hz: float, tilted: bool = True) -> np.ndarray
     channels = np.concatenate([x, tilt(raw)], axis=2) if tilted else x
     blocks = [time_features(channels[:, :, c]) for c in range(channels.shape[2])]
     blocks += [spectral_features(x[:, :, c], hz) for c in range(6)]
-    acc, gyro = x[:, :, :3], x[:, :, 3:6]
-    for part in (acc, gyro):
-        blocks.append(np.abs(part).sum(axis=2).mean(axis=1)[:, None])
-        blocks.append(np.column_stack([_pearson(part[:, :, i], part[:, :, j]) for i, j in ((0, 1), (1, 2), (0, 2))]))
-    sizes = [np.linalg.norm(part, axis=2) for part in (acc, gyro)]
-    blocks += [np.column_stack([time_features(m), spectral_features(m, hz)]) for m in sizes]
-    jerk = np.linalg.norm(np.diff(acc, axis=1) * hz, axis=2)
+    parts = x[:, :, :3], x[:, :, 3:6]
+    blocks += [np.abs(part).sum(axis=2).mean(axis=1)[:, None] for part in parts]
+    blocks += [_pearson(part[:, :, i], part[:, :, j])[:, None] for part in parts for i, j in ((0, 1), (1, 2), (0, 2))]
+    for part in parts:
+        size = np.linalg.norm(part, axis=2)
+        blocks += [time_features(size), spectral_features(size, hz)]
+    jerk = np.linalg.norm(np.diff(parts[0], axis=1) * hz, axis=2)
     blocks.append(time_features(jerk))
     return np.concatenate(blocks, axis=1)
 
 
 def legacy_features(x: np.ndarray, hz: float) -> np.ndarray:
-    """(n, 78) of windows (n, T, 6): nine statistics over time and four of the spectrum a channel, with crossings of zero."""
-    blocks = []
-    for c in range(6):
-        v = x[:, :, c]
+    """(n, 78) of windows (n, T, 6), aligned with gravity: nine statistics over time a channel, with crossings of zero, then four of the spectrum a channel.
+
+    Skewness and kurtosis of a flat channel are NaN.
+    """
+    x, over_time = align(x), []
+    for v in np.moveaxis(x, 2, 0):
         m, s = v.mean(axis=1), v.std(axis=1)
-        d, safe = v - m[:, None], s + FLAT
-        blocks.append(np.column_stack([m, s, v.min(axis=1), v.max(axis=1), np.ptp(v, axis=1), np.sqrt((v**2).mean(axis=1)), (d**3).mean(axis=1) / safe**3, (d**4).mean(axis=1) / safe**4 - 3, _crossings(v)]))
-    for c in range(6):
-        blocks.append(spectral_features(x[:, :, c], hz)[:, :4])
-    return np.concatenate(blocks, axis=1)
+        d = v - m[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            skew, kurtosis = (d**3).mean(axis=1) / s**3, (d**4).mean(axis=1) / s**4 - 3
+        over_time.append(np.column_stack([m, s, v.min(axis=1), v.max(axis=1), np.ptp(v, axis=1), np.sqrt((v**2).mean(axis=1)), skew, kurtosis, _crossings(v)]))
+    return np.concatenate(over_time + [spectral_features(v, hz)[:, :4] for v in np.moveaxis(x, 2, 0)], axis=1)
 
 
 #: Kinds of feature vectors by how long they are.
@@ -231,13 +230,25 @@ def classify(vectors: DataFrame, model, classes: Sequence[str], minimum: float =
     return out.withColumn("label", F.when(F.col("confidence") >= minimum, label))
 
 
-def geometry(meta: dict, device_hz: float, window_s: float = 2.0, overlap: float = 0.5) -> dict:
-    """Rate, window and step in samples, and whether to resample: the model's own where it says so, else the device's."""
-    hz = float(meta.get("hz") or device_hz)
-    seconds = float(meta.get("window_s") or window_s)
-    stride = float(meta.get("stride_s") or seconds * (1 - overlap))
+def _whole(value: object) -> int | None:
     try:
-        differs = abs(hz - float(device_hz)) > 1e-6
+        return int(value)
     except (TypeError, ValueError):
-        differs = False
-    return {"hz": hz, "window": int(meta.get("window_size") or max(1, round(seconds * hz))), "step": int(meta.get("stride") or max(1, round(stride * hz))), "resample": differs}
+        return None
+
+
+def geometry(meta: dict | None, device_hz: object, window_s: float = 2.0, overlap: float = 0.5) -> dict:
+    """Rate, window and step in samples, and whether to resample.
+
+    What the model's metadata says (hz, window_s or window_size, stride_s or stride) comes first; what they lack follows
+    from the device's rate, window_s and overlap. Rates are whole numbers of hertz; a device whose rate can't be read is
+    not resampled. Without any rate ValueError is raised.
+    """
+    said, own = dict(meta or {}), _whole(device_hz)
+    hz = _whole(said.get("hz")) or own
+    if not hz:
+        raise ValueError(f"neither the model nor the device has a rate: {device_hz!r}")
+    samples = lambda count, seconds: max(1, int(said.get(count) or round(seconds * hz)))
+    window = samples("window_size", float(said.get("window_s") or window_s))
+    step = samples("stride", float(said.get("stride_s") or window_s * (1.0 - overlap)))
+    return {"hz": hz, "device_hz": own, "window": window, "step": step, "resample": own is not None and own != hz}

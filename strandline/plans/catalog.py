@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import days, sequences
+from . import days, sequences, signals
 
-QUERIES: dict = sequences.QUERIES | days.QUERIES
-ORACLES: dict[str, str] = sequences.ORACLES | days.ORACLES
+QUERIES: dict = sequences.QUERIES | days.QUERIES | signals.QUERIES
+ORACLES: dict[str, str] = sequences.ORACLES | days.ORACLES | signals.ORACLES

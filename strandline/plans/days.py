@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, labels, scores, times, units
-from ..operators import assessment, islands, lookups, metrics, rollup, signal, upserts
+from ..operators import assessment, islands, lookups, metrics, rollup, upserts
 from ..sources import readers
 from . import domain
 from .domain import BEHAVIOR_SQL, EV_SQL, READINGS_SQL
@@ -467,30 +467,6 @@ def unit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("vec_id", R6("ax"), F.round("gx", 5).alias("gx"), F.col("f")[0].alias("f5"), F.col("f")[1].alias("f63"))
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six channels of 32 samples out of an embedding."""
-    v = _vectors(spark, sf_dir)
-    return v.select("vec_id", *[F.slice("x", 1 + 6 * k, 32).alias(c) for k, c in enumerate(signal.CHANNELS[:6])])
-
-
-@query()
-def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector of 193 features of each window."""
-    return signal.features(_windows(spark, sf_dir), 16.0, 193)
-
-
-@query()
-def legacy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.features(_windows(spark, sf_dir), 16.0, 78)
-
-
-@query()
-def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values as a signal of 25 Hz a sequence, at 16 Hz."""
-    w = domain.windows(spark, sf_dir).withColumn("v", F.col("value"))
-    return signal.resample(w, domain.SEQ, "idx", 25.0, 16.0, ("v",))
-
-
 @query(f"""with {domain.WINDOWS_SQL} select device_id, stretch, label, count(*) as n from win group by 1, 2, 3 union all select device_id, stretch, 'all', count(*) from win group by 1, 2""")
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows by label, and of all labels: two lists joined to one."""

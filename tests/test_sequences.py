@@ -64,11 +64,14 @@ def test_viterbi_path_against_all_paths():
     rng = np.random.default_rng(1)
     import itertools
 
-    for _ in range(20):
-        probs = rng.dirichlet([1, 1, 1], 6)
+    every = [rng.dirichlet([1, 1, 1], n) for n in (6, 1, 6, 3, 5, 2, 6, 6)]
+    begins = np.cumsum([0, *map(len, every[:-1])])
+    paths = np.split(decode.viterbi_paths(np.concatenate(every), begins, 3.0), begins[1:])
+    for probs, path in zip(every, paths, strict=True):
         value = lambda path, probs=probs: sum(np.log(probs[k, c]) for k, c in enumerate(path)) - 3.0 * sum(a != b for a, b in zip(path, path[1:], strict=False))
-        best = max(map(value, itertools.product(range(3), repeat=6)))
-        assert value(decode.viterbi_path(probs, 3.0)) == pytest.approx(best)
+        best = max(map(value, itertools.product(range(3), repeat=len(probs))))
+        assert value(path) == pytest.approx(best)
+    assert len(decode.viterbi_paths(np.zeros((0, 3)), np.zeros(0, np.int64), 3.0)) == 0
 
 
 def test_short_runs_are_absorbed_by_the_longer_neighbour():
@@ -77,6 +80,61 @@ def test_short_runs_are_absorbed_by_the_longer_neighbour():
     assert decode.absorb_short(labels, z, z + 1000, 3000) == ["a"] * 6 + ["c"] * 6
     assert decode.absorb_short(["a", "b"], z[:2], z[:2] + 1000, 500) == ["a", "b"]
     assert decode.absorb_short([], z[:0], z[:0], 500) == []
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        labels = list(rng.choice(list("abc"), rng.integers(1, 40)))
+        z = np.cumsum(rng.integers(1, 4, len(labels) + 1)) * 1000
+        assert decode.absorb_short(labels, z[:-1], z[1:], 5000) == plain_absorb(labels, z[:-1].tolist(), z[1:].tolist(), 5000)
+
+
+def plain_absorb(labels, z0, z1, least):
+    labels = list(labels)
+    while True:
+        edges = [0] + [k for k in range(1, len(labels)) if labels[k] != labels[k - 1]] + [len(labels)]
+        runs = list(zip(edges, edges[1:], strict=False))
+        size = [z1[b - 1] - z0[a] for a, b in runs]
+        k = min(range(len(runs)), key=size.__getitem__)
+        if len(runs) == 1 or size[k] >= least:
+            return labels
+        near = [j for j in (k - 1, k + 1) if 0 <= j < len(runs)]
+        to = max(near, key=lambda j: (size[j], -j))
+        for i in range(*runs[k]):
+            labels[i] = labels[runs[to][0]]
+
+
+def test_sequences_are_whole_in_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(d, k, BASE + k * 1000, [float(x) for x in rng.dirichlet([1, 1, 1])]) for d in range(30) for k in range(int(rng.integers(1, 60)))]
+    df = spark.createDataFrame(rows, "d long, idx long, z0 long, probs array<double>").withColumn("z1", F.col("z0") + 1000)
+    whole = sorted(map(tuple, decode.viterbi(df, ["d"], ["idx"], SMALL).select("d", "idx", "decoded").collect()))
+    monkeypatch.setattr(decode, "ROWS_AT_ONCE", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    assert sorted(map(tuple, decode.viterbi(df, ["d"], ["idx"], SMALL).select("d", "idx", "decoded").collect())) == whole
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole) == len(rows)
+    assert decode.viterbi(df.limit(0), ["d"], ["idx"], SMALL).count() == 0
+
+
+def test_a_split_bout_of_shaking_is_judged_as_one(spark):
+    """Two shakes on both sides of a scratch: gaps tie the shakes together; each alone is too short to stay."""
+    classes = ("active", "sleep", "scratch", "not_worn", "shake")
+    # The scratch takes the shakes that touch it; those further off stay one bout with two windows.
+    parts = [(0, 20), (4, 1, 0.6), (0, 2), (2, 6), (0, 2), (4, 1, 0.6), (0, 20)]
+    w = windows(spark, parts, classes, step=1000)
+    p = {c: F.col("probs")[k] for k, c in enumerate(classes)}
+    marked = w.withColumn("z0", F.col("ts_ms")).withColumn("z1", F.col("ts_ms") + 1000).withColumn("_shake", F.col("idx").between(20, 31))
+    marked = decode._bouts(marked, ["device_id"], ["idx"], "_shake", "_bout_shake", decode.StableParams()).withColumn("_shake", F.col("_shake") & (F.col("label") == "shake"))
+    kept = decode._kept(marked, ["device_id"], "_shake", "_bout_shake", p["shake"], decode.StableParams(), None)
+    assert sorted(r.idx for r in kept.where("_shake").collect()) == [20, 31]
+
+
+def test_candidates_by_probability_and_by_spectrum(spark):
+    parts = [(1, 5), (0, 1, 0.4), (0, 2, 0.35), (1, 6), (1, 3), (1, 5), (0, 4, 0.9), (1, 5)]
+    w = windows(spark, parts, SMALL).withColumn("spec", F.when(F.col("idx").between(14, 16), 0.9).otherwise(0.1)).withColumn("z0", F.col("ts_ms")).withColumn("z1", F.col("ts_ms") + 1000)
+    found = spark.createDataFrame([(1, BASE + 22_000, BASE + 26_000)], "device_id long, start_ms long, end_ms long")
+    run = lambda **kw: sorted((r.start_ms - BASE, r.end_ms - BASE, r.n_windows, r.spec, r.reason) for r in decode.candidates(w, found, ["device_id"], ["idx"], F.col("probs")[0], spec="spec", **kw).collect())
+    assert run() == [(5000, 8000, 3, 0.1, "low_conf")]
+    assert run(params=decode.StableParams(candidate_spec_min=0.5)) == [(5000, 8000, 3, 0.1, "low_conf"), (14_000, 17_000, 3, 0.9, "spectral")]
 
 
 def test_majority_and_gaps(spark):
@@ -151,9 +209,45 @@ def test_array_statistics(spark):
     assert list(got.values()) == pytest.approx(want.tolist(), rel=1e-9)
 
 
+def plain_resample(x, source, target):
+    """One channel in plain numpy, counted in milliseconds."""
+    step, times = 1000.0 / target, np.arange(len(x)) / source * 1000.0
+    width = max(1, round(step / (1000.0 / source)))
+    smooth = np.convolve(x, np.full(width, 1.0 / width), "same")[: len(x)]
+    return np.interp(np.arange(times[0], times[-1], step), times, smooth)
+
+
+def test_resampling(spark):
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 7, 50, 249, 250, 251, 1000]
+    rows = [(n, k, float(v)) for n in sizes for k, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "n long, k long, v double")
+    for source, target in ((25.0, 16.0), (25.0, 25.0), (50.0, 25.0), (16.0, 25.0), (104.0, 26.0)):
+        got = {}
+        for r in signal.resample(df, ["n"], "k", source, target, ("v",)).orderBy("n", "sample").collect():
+            got.setdefault(r.n, []).append((r.sample, r.v))
+        for n in sizes:
+            want = plain_resample(np.array([v for m, _, v in rows if m == n]), source, target)
+            assert [k for k, _ in got.get(n, [])] == list(range(len(want)))
+            if n >= source / target:
+                assert [v for _, v in got.get(n, [])] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_resampled_lengths(spark):
+    """The number of samples for every length up to 4,000, from the places of the new samples alone."""
+    for source, target in ((25.0, 16.0), (25.0, 25.0), (50.0, 25.0), (104.0, 26.0), (16.0, 25.0), (50.0, 16.0)):
+        one = spark.range(4000).select(F.lit(1).alias("d"), F.col("id").alias("k"), F.lit(1.0).alias("v"))
+        # Sample j lies after input k: so many samples there are for the sequence of k + 2 inputs at most.
+        places = signal.resample(one, ["d"], "k", source, target, ("v",)).select("sample").orderBy("sample").collect()
+        assert [r.sample for r in places] == list(range(len(places)))
+        for n in range(2, 4000, 1 if (source, target) == (25.0, 16.0) else 37):
+            times = np.arange(n) / source * 1000.0
+            step = 1000.0 / target
+            assert int(np.ceil(times[-1] / step)) == len(np.arange(0.0, times[-1], step))
+        assert len(places) == len(np.arange(0.0, 3999 / source * 1000.0, 1000.0 / target))
+
+
 def test_signal_kernels():
-    zeros = np.zeros((250, 6))
-    assert signal.resample_values(zeros, 25, 16).shape == (160, 6) and signal.resample_values(zeros, 16, 16).shape == (249, 6)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4, 50, 6))
     assert signal.window_features(x, 25.0).shape == (4, 193) and signal.window_features(x, 25.0, False).shape == (4, 171) and signal.legacy_features(x, 25.0).shape == (4, 78)
@@ -174,8 +268,24 @@ def test_signal_kernels():
             part = (part - part.mean()) * hann
             plain.append([abs(sum(part * np.exp(-2j * np.pi * k * np.arange(size) / size))) ** 2 / (25 * (hann**2).sum()) * (2 if 0 < k < 16 else 1) for k in range(17)])
     assert np.allclose(power[0], np.mean(plain, axis=0))
-    assert signal.geometry({"hz": 16, "window_s": 1.0, "stride_s": 0.5}, 25.0) == {"hz": 16.0, "window": 16, "step": 8, "resample": True}
-    assert signal.geometry({}, 25.0) == {"hz": 25.0, "window": 50, "step": 25, "resample": False}
+    assert signal.feature_names(True)[136:146] == ["sma_acc", "sma_gyro", "corr_acc_xy", "corr_acc_yz", "corr_acc_xz", "corr_gyro_xy", "corr_gyro_yz", "corr_gyro_xz", "acc_mag_mean", "acc_mag_std"]
+    tone = np.sin(2 * np.pi * 4 * np.arange(64) / 16)[None, :]  # at half of 8 Hz: the second and third band meet at 3 and 6 Hz
+    centre, spread, peak, _, *bands = signal.spectral_features(tone, 16.0)[0]
+    assert peak == 4.0 and centre == pytest.approx(4.0, abs=0.05) and spread < 0.5 and bands[2] > 0.99
+
+
+def test_geometry():
+    keys = ("hz", "window", "step", "resample")
+    of = lambda *a: tuple(signal.geometry(*a)[k] for k in keys)
+    assert of({"hz": 16, "window_s": 1.0, "stride_s": 0.5}, 25) == (16, 16, 8, True)
+    assert of({}, 25, 2.0, 0.5) == of(None, 25) == (25, 50, 25, False)
+    assert of({"hz": 16, "window_s": 2.0, "stride_s": 1.0}, 25) == (16, 32, 16, True)
+    assert of({"hz": 16, "window_s": 1.0}, 25, 2.0, 0.5) == (16, 16, 16, True)  # the step follows from the general window
+    assert of({"hz": 16}, "unknown") == (16, 32, 16, False) and of({"hz": 16}, None) == (16, 32, 16, False)
+    assert of({"hz": 16, "window_size": 20, "stride": 5}, 16) == (16, 20, 5, False)
+    assert of({"hz": 1, "window_s": 0.1, "stride_s": 0.1}, 1) == (1, 1, 1, False)
+    with pytest.raises(ValueError, match="rate"):
+        signal.geometry({}, "unknown")
 
 
 def test_classifier_columns_are_put_in_order(spark):
