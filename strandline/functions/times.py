@@ -1,42 +1,51 @@
 """Time zones, local days and timestamps, on milliseconds since the epoch.
 
-Names of zones are resolved before Spark sees them, as Spark reads CST, EST and MST in its own way and refuses aliases.
-Defined results: a null or empty zone is the default one; a name that nothing matches is the default one as well.
+Names of zones are resolved before Spark sees them, as Spark reads CST, EST and MST in its own way and fails on names that
+it does not know. Defined results: a null or empty zone is the default one; a name that nothing matches is as well.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import literal_map
 
 DEFAULT_ZONE = "UTC"
 DAY_MS = 86_400_000
-#: Abbreviations and old names of zones.
+#: Abbreviations and common names that are no zones of the tz database, or mean others there.
 ALIASES = {
-    "UTC": "UTC", "GMT": "UTC", "Z": "UTC",
+    "PRC": "Asia/Shanghai", "ASIA/BEIJING": "Asia/Shanghai", "ASIA/CHONGQING": "Asia/Shanghai", "BEIJING": "Asia/Shanghai", "CHINA": "Asia/Shanghai",
+    "GMT": "UTC", "Z": "UTC",
     "EST": "America/New_York", "EDT": "America/New_York",
-    "CDT": "America/Chicago",
-    "MST": "America/Denver", "MDT": "America/Denver",
     "PST": "America/Los_Angeles", "PDT": "America/Los_Angeles",
-    "JST": "Asia/Tokyo", "KST": "Asia/Seoul", "HKT": "Asia/Hong_Kong",
-    "ASIA/BEIJING": "Asia/Shanghai",
+    "MST": "America/Denver", "MDT": "America/Denver",
 }
-_OFFSET = r"^(?:UTC|GMT)?([+-])(\d{1,2})(?::?(\d{2}))?$"
-_REGION = r"^[A-Za-z]+(?:_[A-Za-z]+)*(?:/[A-Za-z0-9+-]+(?:_[A-Za-z0-9+-]+)*)+$"
+#: A fixed offset: sign, hours and minutes, with a prefix that changes nothing.
+_OFFSET = r"^(?:UTC|GMT|CST)?\s*([+-])\s*(\d{1,2})(?::?(\d{2}))?$"
+MOST_HOURS = 14
+
+
+@lru_cache(1)
+def known_zones() -> tuple[str, ...]:
+    """The names of the tz database, written as it writes them, that Spark reads (about 600)."""
+    ids = SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds()
+    return tuple(sorted({*ids.toArray(), "HST"}))
 
 
 def resolve_zone(name: Column, cst: str = "America/New_York", default: str = DEFAULT_ZONE) -> Column:
-    """A zone name or a fixed offset (+08:00) that Spark reads as meant. Alias table, then region names, then offsets up to 14 hours."""
+    """A zone name or a fixed offset (+08:00) that Spark reads as meant: CST as configured, aliases in any case, names of the tz database, then offsets."""
     plain = F.trim(F.coalesce(name, F.lit("")))
-    known = F.try_element_at(literal_map(ALIASES | {"CST": cst}), F.upper(plain))
-    sign, hours = F.regexp_extract(F.upper(plain), _OFFSET, 1), F.regexp_extract(F.upper(plain), _OFFSET, 2)
-    minutes = F.coalesce(F.nullif(F.regexp_extract(F.upper(plain), _OFFSET, 3), F.lit("")), F.lit("00"))
-    total = F.try_to_number(F.concat(F.lit("0"), hours), F.lit("999")) * 60 + F.try_to_number(minutes, F.lit("99"))
-    offset = F.when((sign != "") & (total <= 14 * 60) & (minutes < "60"), F.concat(sign, F.lpad(hours, 2, "0"), F.lit(":"), minutes))
-    region = F.when(plain.rlike(_REGION), plain)
-    return F.coalesce(known, region, offset, F.lit(default))
+    upper = F.upper(plain)
+    known = F.try_element_at(literal_map(ALIASES | {"CST": cst}), upper)
+    zone = F.when(plain.isin(*known_zones()), plain)
+    part = lambda k: F.nullif(F.regexp_extract(upper, _OFFSET, k), F.lit(""))
+    hours, minutes = part(2).cast("int"), F.coalesce(part(3), F.lit("00")).cast("int")
+    total = hours * 60 + minutes
+    offset = F.when(hours <= MOST_HOURS, F.format_string("%s%02d:%02d", part(1), F.floor(total / 60).cast("int"), F.pmod(total, F.lit(60))))
+    return F.coalesce(known, zone, offset, F.lit(default))
 
 
 def millis(ts: Column) -> Column:

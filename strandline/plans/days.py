@@ -87,10 +87,7 @@ def json_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Times
 
 
-_ZONE_SQL = """z as (select *, case device_id % 8 when 0 then 'UTC' when 1 then 'America/New_York' when 2 then 'America/New_York' when 3 then 'Asia/Shanghai' when 4 then 'Asia/Kolkata' when 5 then 'America/Los_Angeles' else 'UTC' end as zone from ev)"""
-
-
-@query(f"""with {EV_SQL}, {_ZONE_SQL}, l as (select *, timezone(zone, timezone('UTC', make_timestamp(ts_ms * 1000))) as local from z)
+@query(f"""with {EV_SQL}, l as (select *, timezone(zone, timezone('UTC', make_timestamp(ts_ms * 1000))) as local from ev)
 select event_id, strftime(local, '%Y-%m-%d') as local_day, strftime(local, '%Y-%m-%d %H:%M:%S') as local_text, epoch_ms(timezone('UTC', timezone(zone, date_trunc('day', local)))) as midnight_ms from l""")
 def timezone_day_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local day, clock and midnight of each event in its device's zone."""

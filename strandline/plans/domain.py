@@ -15,7 +15,12 @@ CODES = {"signup": 0, "click": 1, "view": 2, "error": 3, "purchase": 4}
 CLASSES = ("scratch", "active", "sleep", "shake")
 CLASS_OF = {"error": "scratch", "click": "active", "purchase": "active", "view": "sleep", "signup": "shake"}
 SEQ = ("device_id", "stretch")
-ZONES = ("UTC", "EST", "CST", "Asia/Shanghai", "+05:30", "PDT", "nonsense", "")
+#: Zones as users write them, and what they mean in names that any database knows.
+ZONES = {
+    "UTC": "UTC", "EST": "America/New_York", "CST": "America/New_York", "Asia/Shanghai": "Asia/Shanghai", "+05:30": "Asia/Kolkata", "PDT": "America/Los_Angeles", "nonsense": "UTC", "": "UTC",
+    "Foo/Bar": "UTC", "America/NewYork": "UTC", "america/new_york": "UTC", "ASIA/CHONGQING": "Asia/Shanghai", "PRC": "Asia/Shanghai", "China": "Asia/Shanghai", "beijing": "Asia/Shanghai",
+    "Japan": "Asia/Tokyo", "Singapore": "Asia/Singapore", "EST5EDT": "America/New_York", "CST-8": "Etc/GMT+8", "UTC + 8": "Etc/GMT-8", " gmt+5:45 ": "Asia/Kathmandu", "+15:00": "UTC", "MDT": "America/Denver", "Etc/GMT-3": "Etc/GMT-3",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by device; day_ts is the midnight at which the day of the device's zone began."""
     e = table(spark, sf_dir, "events")
     ts = times.millis(F.col("ts"))
-    return e.select("event_id", F.col("user_id").alias("device_id"), ts.alias("ts_ms"), times.utc_midnight(ts).alias("day_ts"), (ts - F.pmod(ts, F.lit(STRETCH_MS))).alias("stretch"), "event_type", "value", "props")
+    zone = times.resolve_zone(zone_of(F.col("user_id")))
+    return e.select("event_id", F.col("user_id").alias("device_id"), ts.alias("ts_ms"), times.local_midnight(ts, zone).alias("day_ts"), (ts - F.pmod(ts, F.lit(STRETCH_MS))).alias("stretch"), "event_type", "value", "props")
 
 
 def behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +69,13 @@ def zone_of(device: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, ZONES)), (F.pmod(device, F.lit(len(ZONES))) + 1).cast("int"))
 
 
+ZONE_SQL = "case device_id % " + str(len(ZONES)) + " " + " ".join(f"when {k} then '{zone}'" for k, zone in enumerate(ZONES.values())) + " end"
 EV_SQL = f"""ev as (
-  select event_id, user_id as device_id, epoch_us(ts) // 1000 as ts_ms, epoch_us(ts) // 1000 - epoch_us(ts) // 1000 % {times.DAY_MS} as day_ts,
-    epoch_us(ts) // 1000 - epoch_us(ts) // 1000 % {STRETCH_MS} as stretch, event_type, value, props,
-    case event_type when 'click' then 1 when 'view' then 2 when 'error' then 3 when 'purchase' then 4 else 0 end as code
-  from events)"""
+  select *, epoch_ms(timezone('UTC', timezone(zone, date_trunc('day', timezone(zone, timezone('UTC', make_timestamp(ts_ms * 1000))))))) as day_ts from (
+    select *, {ZONE_SQL} as zone from (
+      select event_id, user_id as device_id, epoch_us(ts) // 1000 as ts_ms, epoch_us(ts) // 1000 - epoch_us(ts) // 1000 % {STRETCH_MS} as stretch, event_type, value, props,
+        case event_type when 'click' then 1 when 'view' then 2 when 'error' then 3 when 'purchase' then 4 else 0 end as code
+      from events)))"""
 BEHAVIOR_SQL = f"""{EV_SQL}, behavior as (
   select device_id, day_ts, event_id, ts_ms as ts_start, code as behavior, least(value / 100, 1.0) as confidence,
     least(coalesce(lead(ts_ms) over (partition by device_id, day_ts order by ts_ms, event_id), ts_ms + {HOUR_MS}), ts_ms + {HOUR_MS}) as ts_end

@@ -171,6 +171,10 @@ def test_intervals_against_brute_force(spark):
 
 
 def test_zones_resolve(spark):
+    others = {"Foo/Bar": "UTC", "America/NewYork": "UTC", "america/new_york": "UTC", "ASIA/CHONGQING": "Asia/Shanghai", "PRC": "Asia/Shanghai", "China": "Asia/Shanghai", "BEIJING": "Asia/Shanghai", "Japan": "Japan", "Singapore": "Singapore", "EST5EDT": "EST5EDT", "CST-8": "-08:00", "UTC + 8": "+08:00", "gmt+5:45": "+05:45", "Etc/GMT-3": "Etc/GMT-3", "ETC/GMT+3": "UTC", "+14:30": "+14:30", "+9:75": "+10:15", "HST": "HST", "JST": "UTC"}
+    both = spark.createDataFrame(list(others.items()), "n string, want string").select("n", "want", times.resolve_zone(F.col("n")).alias("z"))
+    both = both.withColumn("clock", times.local_text(F.lit(BASE), F.col("z")))
+    assert {r.n: r.z for r in both.where("clock is not null").collect()} == others
     names = ["UTC", " est ", "CST", "Asia/Shanghai", "+05:30", "UTC+8", "GMT+08", "", None, "nonsense", "+15:00", "Asia/Beijing", "America/Argentina/Buenos_Aires"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r.z for r in df.select(times.resolve_zone(F.col("n")).alias("z")).collect()]
