@@ -7,6 +7,7 @@ left to what follows. A text's tokens depend only on its pre-tokens, so encoders
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -186,17 +187,14 @@ def byte_letters() -> dict[int, str]:
 
 
 def library_encoder(path: str):
-    """encode(words) with the tokenizers library; their special strings are ordinary text.
+    """encode(words) with the tokenizers library for words that are pre-tokens already and hold no added token.
 
-    The words are pre-tokens already, so the library gets them in its byte letters with blanks between, and the byte
-    lengths of the ids tell where each word's ids end.
+    The library gets them in its byte letters with blanks between, and the byte lengths of the ids tell where each word's
+    ids end.
     """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, pre_tokenizers
+    from tokenizers import pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = _library(path)
     tokenizer.encode_special_tokens = True
     tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     vocabulary = tokenizer.get_vocab(with_added_tokens=False)
@@ -216,6 +214,44 @@ def library_encoder(path: str):
     return encode
 
 
+def _library(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+class LibraryStore(Store):
+    """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them: the strings of added tokens are tokens in a text."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(library_encoder(path))
+        self.path, self.plain = path, None
+        added = _library(path).get_added_tokens_decoder()
+        self.added = "|".join(re.escape(t.content) for t in added.values())
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has. Texts with an added token go to the library as they are."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        if not odd.any():
+            return self.texts(Batch(texts))
+        if self.plain is None:
+            self.plain = _library(self.path)
+        flat, per_doc = self.texts(Batch(texts.filter(pa.array(~odd))))
+        parts = iter(np.split(flat, np.cumsum(per_doc)[:-1]))
+        own = [np.array(self.plain.encode(t, add_special_tokens=False).ids, np.uint32) if o else next(parts) for t, o in zip(texts.to_pylist(), odd.tolist(), strict=True)]
+        return np.concatenate(own), np.array([len(x) for x in own], np.int64)
+
+
 @lru_cache(2)
-def library_store(path: str) -> Store:
-    return Store(library_encoder(path))
+def library_store(path: str) -> LibraryStore:
+    return LibraryStore(path)
+
+
+@lru_cache(8)
+def largest_id(path: str) -> int:
+    """The largest id of a tokenizer file, added tokens included."""
+    return max(_library(path).get_vocab(with_added_tokens=True).values())

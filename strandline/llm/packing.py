@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._pretokens import Batch, chunks, library_store
+from ._pretokens import chunks, library_store
 from ._spark import binaries, ready, stored
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
@@ -87,7 +87,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for a, b in chunks(batch.column(1)):
-                flat, per_doc = store.texts(Batch(batch.column(1).slice(a, b - a)))
+                flat, per_doc = store.encode_texts(batch.column(1).slice(a, b - a))
                 ends = np.cumsum(per_doc)
                 flat = np.insert(flat, ends, end_id).astype("<u4")
                 n = per_doc + 1

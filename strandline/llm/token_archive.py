@@ -6,7 +6,8 @@ public zstd seekable format (compressed size, size and low 32 bits of XXH64 of e
 needs the two tables and the frames of the documents it wants.
 
 Defined results: a null text is an empty one; an empty document has the end id alone; rows with one id or a null id
-each stay a document (null ids first); an empty table gives no files. Extra columns are ignored.
+each stay a document (null ids first), repeated rows too; a text of any length is one frame; an empty table gives no
+files. Columns other than id and text are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._pretokens import Batch, chunks, library_store
+from ._pretokens import chunks, largest_id, library_store
 from ._spark import ready, scratch, stored
 
 #: Fixed values of the zstd seekable format.
@@ -44,6 +45,8 @@ class ArchiveWriter:
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         import xxhash
 
+        if len(ids) and int(ids.max()) >= 1 << 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} does not fit in {self.width} bytes")
         raw = ids.astype(f"<u{self.width}").tobytes()
         frame = self._zstd.compress(raw)
         self._put(frame)
@@ -110,12 +113,17 @@ class ArchiveReader:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def write_archives(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
+def write_archives(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", width: int | None = None) -> DataFrame:
     """Encode every whole text, append end_id, write one archive for each range of ids in ascending order. Returns the manifest, a stored table.
 
+    width, the bytes of an id, is 2 where the tokenizer's ids and end_id allow, else 4; one that is given has to hold them.
     Each task writes a name of its own and then moves it, so a repeated or speculative task leaves one whole file.
     """
     spark = docs.sparkSession
+    largest = max(largest_id(tokenizer), end_id)
+    width = width or (2 if largest < 1 << 16 else 4)
+    if largest >= 1 << 8 * width:
+        raise ValueError(f"ids up to {largest} do not fit in {width} bytes")
     ready(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +134,7 @@ def write_archives(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in chunks(texts):
-
-                flat, per_doc = store.texts(Batch(texts.slice(a, b - a)))
+                flat, per_doc = store.encode_texts(texts.slice(a, b - a))
                 if writer is None:
                     files, path = fs.FileSystem.from_uri(folder)
                     files.create_dir(path, recursive=True)

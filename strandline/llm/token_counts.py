@@ -7,7 +7,12 @@ computed once, when the node is made. The node at which a pre-token ends is its
 Pieces come from a rank file; the piece of rank r scores -ln(r + 2), the order of a Zipf law. Equal scores go to fewer
 pieces, then to the longer last piece. Every byte is a piece, so any text has a count.
 
-Defined results: a null text is empty; an empty text has no pre-tokens and no tokens.
+A pre-token of over SHARED bytes shares its first ones with others; the rest is computed on its own with the scores of as
+many bytes as the longest piece has, so neither the trie nor one endless pre-token grows without a bound.
+
+Defined results: a null text is empty; an empty text has no pre-tokens and no tokens; rows with one id or a null id, and
+repeated rows, each stay a row; texts of any length are counted whole; an empty table gives no rows. Columns other than
+id and text are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ from ._pretokens import Batch, chunks
 from ._spark import ready
 
 
+#: Bytes of a pre-token that get nodes in the trie.
+SHARED = 1024
+
+
 def piece_scores(path: str) -> dict[bytes, float]:
     import base64
 
@@ -33,7 +42,7 @@ def piece_scores(path: str) -> dict[bytes, float]:
 
 
 class Trie:
-    """Forgets its nodes when there are more than `most`, between two calls of counts()."""
+    """Forgets its nodes when there are more than `most`, between two words."""
 
     def __init__(self, scores: dict[bytes, float], most: int = 600_000) -> None:
         self.scores, self.most = scores, most
@@ -44,34 +53,46 @@ class Trie:
         self.child: dict[int, int] = {}
         self.score, self.pieces = [0.0], [0]
 
+    def _step(self, word: bytes, k: int, score: list[float], pieces: list[int]) -> tuple[float, int]:
+        """Best sum and fewest pieces for word[: k + 1]; score and pieces are those of its last prefixes, up to word[:k]."""
+        best, fewest, n = -math.inf, 0, len(score)
+        for start in range(max(0, k + 1 - self.longest), k + 1):
+            own = self.scores.get(word[start : k + 1])
+            if own is not None:
+                total, many = score[start - k + n - 1] + own, pieces[start - k + n - 1] + 1
+                if total > best or total == best and many < fewest:
+                    best, fewest = total, many
+        return best, fewest
+
     def count(self, word: bytes) -> int:
         """The terminal count of word; only nodes that are not there yet are computed."""
-        child, score, pieces = self.child, self.score, self.pieces
-        node, path = 0, [0]
-        for k, byte in enumerate(word):
+        child, node = self.child, 0
+        score, pieces = [self.score[0]], [self.pieces[0]]
+        for k, byte in enumerate(word[:SHARED]):
             key = node << 8 | byte
             node = child.get(key)
             if node is None:
-                node = child[key] = len(score)
-                best, fewest = -math.inf, 0
-                for start in range(max(0, k + 1 - self.longest), k + 1):
-                    own = self.scores.get(word[start : k + 1])
-                    if own is not None:
-                        total, n = score[path[start]] + own, pieces[path[start]] + 1
-                        if total > best or total == best and n < fewest:
-                            best, fewest = total, n
-                score.append(best)
-                pieces.append(fewest)
-            path.append(node)
-        return pieces[node]
+                node = child[key] = len(self.score)
+                best, fewest = self._step(word, k, score, pieces)
+                self.score.append(best)
+                self.pieces.append(fewest)
+            score.append(self.score[node])
+            pieces.append(self.pieces[node])
+        for k in range(SHARED, len(word)):
+            best, fewest = self._step(word, k, score, pieces)
+            score.append(best)
+            pieces.append(fewest)
+            if len(score) > 2 * self.longest + SHARED:
+                del score[: -self.longest], pieces[: -self.longest]
+        return pieces[-1]
 
     def counts(self, words: list[str]) -> np.ndarray:
-        if len(self.score) > self.most:
-            self._clear()
         # In order, so that words with a common prefix follow each other.
         coded = [w.encode() for w in words]
         out = np.zeros(len(words), np.int64)
         for k in sorted(range(len(words)), key=coded.__getitem__):
+            if len(self.score) > self.most:
+                self._clear()
             out[k] = self.count(coded[k])
         return out
 

@@ -14,7 +14,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from strandline.llm import _pretokens, byte_bpe, packing, token_archive, token_counts  # noqa: E402
 
-ODD = ["", None, "a", " ", "  \n", "don't 'twas we'll I'VE ''s\n's", "x " * 5000, "aaaa" * 600, "Été ça va? 漢字 ²½", "<|endoftext|> hi", "tab\t\tend  ", "🙂🙂 é", "\x1c\x85 　a"]
+ODD = ["", None, "a", " ", "  \n", "don't 'twas we'll I'VE ''s\n's", "x " * 5000, "aaaa" * 600, "Été ça va? 漢字 ²½", "<|endoftext|> hi", "a<|endoftext|>  b<|endoftext|>", "tab\t\tend  ", "🙂🙂 é", "\x1c\x85 　a"]
 
 
 def texts(n=300, seed=0):
@@ -34,7 +34,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -53,9 +52,10 @@ def test_pretokens_follow_the_pattern():
 
 
 def test_store_forgets_but_stays_right(library):
-    store = _pretokens.Store(_pretokens.library_encoder(P.path("byte_bpe_50k.json")), most_words=5)
+    store = _pretokens.LibraryStore(P.path("byte_bpe_50k.json"))
+    store.most_words = 5
     for some in (texts(20, 1), texts(20, 2)):
-        flat, n = store.texts(_pretokens.Batch(pa.array(some)))
+        flat, n = store.encode_texts(pa.array(some))
         assert flat.tolist() == [i for t in some for i in library(t)]
         assert n.tolist() == [len(library(t)) for t in some]
 
@@ -94,6 +94,19 @@ def test_archive_reads_single_documents_and_notices_damage():
         token_archive.ArchiveReader(io.BytesIO(bytes(bad)), len(bad)).ids(7)
 
 
+def test_archive_width_follows_from_the_ids(spark, docs):
+    path = P.path("byte_bpe_50k.json")
+    small = docs.limit(3)
+    write = lambda **kw: token_archive.write_archives(small, path, folder=token_archive.scratch(spark, "t"), **kw)
+    wide = write(end_id=70_000)
+    assert {r.width for r in wide.collect()} == {4} and {r.width for r in write(end_id=2).collect()} == {2}
+    assert all(np.frombuffer(r.ids, "<u4")[-1] == 70_000 for r in token_archive.read_archives(wide).collect())
+    with pytest.raises(ValueError, match="do not fit"):
+        write(end_id=70_000, width=2)
+    with pytest.raises(ValueError, match="does not fit"):
+        token_archive.ArchiveWriter(io.BytesIO(), 2).add(1, np.array([65_536]))
+
+
 def test_archive_of_no_rows(spark, docs):
     manifest = token_archive.write_archives(docs.limit(0), P.path("byte_bpe_50k.json"), 2, token_archive.scratch(spark, "t"))
     assert token_archive.read_archives(manifest).count() == 0
@@ -176,11 +189,12 @@ def test_unigram_counts_are_those_of_plain_dynamic_programming(spark, docs):
 
     path = P.path("byte_bpe_50k.tiktoken")
     scores = token_counts.piece_scores(path)
+    longest = max(map(len, scores))
 
     def plain(word):
         best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
         for e in range(1, len(word) + 1):
-            for s in range(e):
+            for s in range(max(0, e - longest), e):
                 own = scores.get(word[s:e])
                 if own is not None:
                     total, n = best[s][0] + own, best[s][1] + 1
@@ -188,10 +202,15 @@ def test_unigram_counts_are_those_of_plain_dynamic_programming(spark, docs):
                         best[e] = (total, n)
         return best[-1][1]
 
-    rows = [r for r in docs.collect() if len(r.text or "") < 100]
+    rows = docs.collect()
     small = spark.createDataFrame(rows, docs.schema)
     want = sorted((str(r.doc_id), len(w := regex.findall(P.PATTERN, r.text or "")), sum(plain(x.encode()) for x in w)) for r in rows)
     assert sorted((str(r.doc_id), r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(small, path).collect()) == want
     trie = token_counts.Trie(scores, most=10)
     words = [" there", " then", "the", " thereby"]
     assert [trie.counts(words).tolist(), trie.counts(words).tolist()] == [[plain(w.encode()) for w in words]] * 2
+    assert token_counts.count_tokens(docs.limit(0), path).count() == 0
+    # One endless pre-token keeps the trie small.
+    for word in ("x" * 5000, "ab" * 1500 + "z", "".join(random.Random(1).choices("abcdefgh", k=4000))):
+        trie = token_counts.Trie(scores)
+        assert trie.count(word.encode()) == plain(word.encode()) and len(trie.score) <= token_counts.SHARED + 1
