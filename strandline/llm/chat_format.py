@@ -1,7 +1,8 @@
 """Chat formatting: heterogeneous records to canonical turns by schema fingerprint, then to one marked text (operator 9).
 
-A record is a JSON object. Its nested field paths, in the order in which variants sort them and without scalar types,
-are hashed; the fingerprint selects a mapping that says where turns, roles and texts are. Canonical turns become
+A record is a JSON object. Of its nested field paths those that any layout names are hashed in order; the fingerprint
+selects a declarative mapping that says where turns, roles and texts are. Other fields (ids, sources, tags) change
+nothing. An array without items has all paths of its items. Canonical turns become
 
     ### <role>:\\n<text></turn>\\n
 
@@ -9,8 +10,10 @@ with backslashes, the marks of turns, and in roles the colon written as a backsl
 contain a mark and all is read back exactly. The loss mask is a list of byte spans of the formatted text.
 
 Only DataFrame functions are used. Defined results: null roles and texts are empty; turns with one number are ordered by
-role and text; a record of an unknown layout, or one that is no JSON object, has null turns and null formatted text; a
-conversation is one text and must fit into a row.
+role and text; a record of an unknown layout, or one that is no JSON object, has null turns and null formatted text, and
+unknown_layouts() counts them; a record with an empty list of turns has an empty text; rows with a null id are one
+conversation; repeated rows are repeated turns; an empty table gives no rows; columns other than those named are ignored.
+A conversation is one text and must fit into a row.
 """
 
 from __future__ import annotations
@@ -22,26 +25,46 @@ from pyspark.sql import functions as F
 ESCAPES = (("\\", "\\b"), ("</turn>", "\\t"), ("###", "\\h"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 
-#: Declarative mappings. fields: (role, path) in the order of turns; items: (array, role field, text field, other names of roles).
+#: Declarative mappings. paths: those whose fingerprint selects the layout; fields: (role, path) in the order of turns; items: (array, role field, text field, other names of roles).
 LAYOUTS: dict[str, dict] = {
-    "prompt": {"paths": "OBJECT<prompt, response>", "fields": [("user", "prompt"), ("assistant", "response")]},
-    "instruction": {"paths": "OBJECT<input, instruction, output>", "fields": [("system", "instruction"), ("user", "input"), ("assistant", "output")]},
-    "messages": {"paths": "OBJECT<messages: ARRAY<OBJECT<content, role>>>", "items": ("messages", "role", "content", {})},
-    "conversations": {"paths": "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", "items": ("conversations", "from", "value", {"human": "user", "gpt": "assistant"})},
+    "prompt": {"paths": ["prompt", "response"], "fields": [("user", "prompt"), ("assistant", "response")]},
+    "completion": {"paths": ["completion", "prompt"], "fields": [("user", "prompt"), ("assistant", "completion")]},
+    "system prompt": {"paths": ["prompt", "response", "system"], "fields": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
+    "instruction": {"paths": ["input", "instruction", "output"], "fields": [("system", "instruction"), ("user", "input"), ("assistant", "output")]},
+    "instruction alone": {"paths": ["instruction", "output"], "fields": [("user", "instruction"), ("assistant", "output")]},
+    "messages": {"paths": ["messages[].content", "messages[].role"], "items": ("messages", "role", "content", {})},
+    "conversations": {"paths": ["conversations[].from", "conversations[].value"], "items": ("conversations", "from", "value", {"human": "user", "gpt": "assistant"})},
 }
 
 TURNS = "array<struct<role string, text string>>"
 
 
-def field_paths(record: Column) -> Column:
-    """The tree of field names of a JSON object, as text; null for anything else."""
-    kinds = r":? ?(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+, ?\d+\))(?=[,>]|$)"
-    tree = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), kinds, "")
-    return F.when(tree.startswith("OBJECT<"), tree)
+def _has(variant: Column, path: str) -> Column:
+    """Whether a record has a path; of an array, whether any item has, or there is none."""
+    if "[]." not in path:
+        return F.variant_get(variant, f"$.{path}", "variant").isNotNull()
+    array, field = path.split("[].")
+    items = F.try_variant_get(variant, f"$.{array}", "array<variant>")
+    return F.coalesce((F.size(items) == 0) | F.exists(items, lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull()), F.lit(False))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+def field_paths(record: Column, layouts: dict[str, dict] | None = None) -> Column:
+    """The paths of a JSON object that any layout names, in order; null for anything else."""
+    every = sorted({p for layout in (layouts or LAYOUTS).values() for p in layout["paths"]})
+    variant = F.try_parse_json(record)
+    found = F.array_compact(F.array(*[F.when(_has(variant, p), F.lit(p)) for p in every]))
+    return F.when(F.schema_of_variant(variant).startswith("OBJECT<"), F.array_join(found, ","))
+
+
+def fingerprint(record: Column, layouts: dict[str, dict] | None = None) -> Column:
+    return F.xxhash64(field_paths(record, layouts))
+
+
+def unknown_layouts(records: DataFrame, record_col: str = "record", layouts: dict[str, dict] | None = None) -> DataFrame:
+    """fields (the tree of field names and types, null where a record is no JSON), fingerprint, n: the records that no layout takes."""
+    known = [F.xxhash64(F.lit(",".join(layout["paths"]))) for layout in (layouts or LAYOUTS).values()]
+    own = fingerprint(F.col(record_col), layouts)
+    return records.where(~own.isin(*known)).groupBy(F.schema_of_variant(F.try_parse_json(F.col(record_col))).alias("fields"), own.alias("fingerprint")).agg(F.count("*").alias("n"))
 
 
 def _turn(role_field: str, text_field: str, others: dict[str, str]):
@@ -56,18 +79,18 @@ def _turn(role_field: str, text_field: str, others: dict[str, str]):
 
 def canonical_turns(record: Column, layouts: dict[str, dict] | None = None) -> Column:
     """Turns of a record by the mapping that its fingerprint selects."""
-    seen, variant = fingerprint(record), F.try_parse_json(record)
+    seen, variant = fingerprint(record, layouts), F.try_parse_json(record)
     text = lambda path: F.coalesce(F.variant_get(variant, f"$.{path}", "string"), F.lit(""))
     out = F.lit(None).cast(TURNS)
     for layout in (layouts or LAYOUTS).values():
         if "fields" in layout:
             turns = F.array(*[F.struct(F.lit(role).alias("role"), text(path).alias("text")) for role, path in layout["fields"]])
         else:
-            array, role_field, text_field, others = layout["items"]
-            items = F.variant_get(variant, f"$.{array}", f"array<struct<`{role_field}` string, `{text_field}` string>>")
+            array, role_field, text_field, others = layout["items"]  # items that are no objects: null turns
+            items = F.try_variant_get(variant, f"$.{array}", f"array<struct<`{role_field}` string, `{text_field}` string>>")
 
             turns = F.transform(items, _turn(role_field, text_field, others))
-        out = F.when(seen == F.xxhash64(F.lit(layout["paths"])), turns).otherwise(out)
+        out = F.when(seen == F.xxhash64(F.lit(",".join(layout["paths"]))), turns).otherwise(out)
     return out
 
 
@@ -86,7 +109,7 @@ def unescaped(text: Column, escapes=ESCAPES) -> Column:
 def format_records(records: DataFrame, id_col: str, record_col: str = "record", layouts: dict[str, dict] | None = None) -> DataFrame:
     """id_col, formatted, loss_spans: byte spans (begin, end) of the assistant's texts. Ids are taken to be unique."""
     turns = records.select(id_col, canonical_turns(F.col(record_col), layouts).alias("_turns"))
-    each = turns.select(id_col, F.posexplode_outer("_turns").alias("_k", "_turn"))
+    each = turns.select(id_col, F.col("_turns").isNotNull().alias("_known"), F.posexplode_outer("_turns").alias("_k", "_turn"))
     head = F.concat(F.lit("### "), escaped(F.col("_turn.role"), ROLE_ESCAPES), F.lit(":\n"))
     each = each.withColumn("_head", head).withColumn("_body", escaped(F.col("_turn.text")))
     each = each.withColumn("_piece", F.concat("_head", "_body", F.lit("</turn>\n")))
@@ -96,8 +119,8 @@ def format_records(records: DataFrame, id_col: str, record_col: str = "record",
     span = F.when(F.col("_turn.role") == "assistant", F.struct(begin.alias("begin"), (begin + F.octet_length("_body")).alias("end")))
     each = each.withColumn("_span", span)
     # collect_list leaves nulls out: turns of other roles have no span, and records without turns no piece.
-    grouped = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("_k", "_piece")))).alias("_pieces"), F.array_sort(F.collect_list("_span")).alias("loss_spans"))
-    return grouped.select(id_col, F.when(F.size("_pieces") > 0, F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "")).alias("formatted"), "loss_spans")
+    grouped = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("_k", "_piece")))).alias("_pieces"), F.array_sort(F.collect_list("_span")).alias("loss_spans"), F.bool_or("_known").alias("_known"))
+    return grouped.select(id_col, F.when(F.col("_known"), F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "")).alias("formatted"), "loss_spans")
 
 
 def read_turns(formatted: Column) -> Column:
