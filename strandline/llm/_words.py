@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BYTE_BASE, _WORD_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_BYTE_BASES, _WORD_BASES = (0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -55,9 +55,12 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """hashes: of all words in order; ends: for each text the words up to its end; begins: up to its begin."""
+    """hashes: of all words in order; ends: for each text the words up to its end; begins: up to its begin.
 
-    def __init__(self, texts: pa.Array, lower: bool = False) -> None:
+    both: second has other hashes of the same words, so that two words are the same only where 128 bits are.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, both: bool = False) -> None:
         data, offsets = buffer(texts)
         if lower:
             data = _LOWER[data]
@@ -70,13 +73,20 @@ class Words:
         stop = inside.copy()
         stop[:-1] &= ~inside[1:] | edge[1:n]
         begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        power, inverse = powers(_BYTE_BASE, n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * power[:n], out=total[1:])
         length = end - begin
-        self.hashes = mixed((total[end] - total[begin]) * inverse[begin] + length.astype(np.uint64))
-        for k in np.flatnonzero(length > _LONG):
-            self.hashes[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        long = np.flatnonzero(length > _LONG)
+        sure = [hashlib.blake2b(data[begin[k] : end[k]].tobytes(), digest_size=16).digest() for k in long]
+
+        def hashed(which: int) -> np.ndarray:
+            power, inverse = powers(_BYTE_BASES[which], n)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((data + np.uint64(1)) * power[:n], out=total[1:])
+            out = mixed((total[end] - total[begin]) * inverse[begin] + length.astype(np.uint64))
+            out[long] = [int.from_bytes(x[8 * which : 8 * which + 8], "little") for x in sure]
+            return out
+
+        self.hashes = hashed(0)
+        self.second = hashed(1) if both else None
         stops = np.searchsorted(begin, offsets)
         self.begins, self.ends = stops[:-1], stops[1:]
 
