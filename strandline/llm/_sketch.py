@@ -2,7 +2,8 @@
 
 Each task counts its own hashes, keeping the cells in use alone; the partial sketches are merged block by block. Counts
 are over-estimates, so a hash whose cells are not all met twice is met once. The bits are DEPTH x cells whatever the
-table; when it outgrows the cells more hashes pass, and none is lost.
+table; when it outgrows the cells more hashes pass, and none is lost. Only the bits come to the driver, as compressed
+blocks of 8 kB.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame
 
 from ._words import mixed
 
-DEPTH, CELLS = 2, 1 << 26
+DEPTH = 2
 _BLOCK = 1 << 16
 _SKETCH = "block int, part int, cells binary, twice binary"
+_BITS = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
 _TYPES = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("cells", pa.binary()), ("twice", pa.binary())])
 
 
@@ -74,11 +76,63 @@ def met_twice(table: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[n
         found, twice = _merge(own, many)
         return pa.table({"block": part["block"][:1], "part": part["part"][:1], "cells": [found.astype("<u2").tobytes()], "twice": [np.packbits(twice).tobytes()]}, _TYPES)
 
-    merged = table.mapInArrow(count, _SKETCH).groupBy("block", "part").applyInArrow(merge, _SKETCH).groupBy("block").applyInArrow(merge, _SKETCH)
-    bits = np.zeros(DEPTH * cells // 8, np.uint8)
-    # Only the cells in use come to the driver, a block at a time: DEPTH x cells at most.
-    for block, own, twice in merged.select("block", "cells", "twice").toLocalIterator():
-        at = np.frombuffer(own, "<u2").astype(np.int64)
-        at = at[np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at)).astype(bool)] + block * _BLOCK
+    def finish(part: pa.Table) -> pa.Table:
+        bits = np.zeros(_BLOCK // 8, np.uint8)
+        whole = merge(part)
+        own = np.frombuffer(whole["cells"][0].as_py(), "<u2").astype(np.int64)
+        at = own[np.unpackbits(np.frombuffer(whole["twice"][0].as_py(), np.uint8), count=len(own)).astype(bool)]
         np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    return bits
+        return pa.table({"block": part["block"][:1], "bits": [_press(bits)]}, _BITS)
+
+    merged = table.mapInArrow(count, _SKETCH).groupBy("block", "part").applyInArrow(merge, _SKETCH).groupBy("block").applyInArrow(finish, "block int, bits binary")
+    return _gather(merged, DEPTH * cells)
+
+
+def _press(bits: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
+
+
+def _gather(blocks: DataFrame, cells: int) -> np.ndarray:
+    """A bit set out of its blocks (block, compressed bits), one after another: cells / 8 bytes at most come to the driver."""
+    import zstandard
+
+    out, size = np.zeros(cells // 8, np.uint8), _BLOCK // 8
+    for block, bits in blocks.select("block", "bits").toLocalIterator():
+        out[block * size : (block + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(bits), max_output_size=size), np.uint8)
+    return out
+
+
+def bit_set(table: DataFrame, cells: int) -> np.ndarray:
+    """The bits of table's only column of cells, numbers under `cells` (a multiple of 2^16). Tasks hold a bit set of their own."""
+    groups = max(1, int(table.rdd.getNumPartitions() ** 0.5))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(cells // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        blocks = bits.reshape(-1, _BLOCK // 8)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([TaskContext.get().partitionId() % groups] * len(used), pa.int32()), pa.array([_press(blocks[k]) for k in used], pa.binary())], ["block", "part", "bits"])
+
+    def unite(part: pa.Table) -> pa.Table:
+        import zstandard
+
+        every = np.zeros(_BLOCK // 8, np.uint8)
+        for x in part["bits"]:
+            every |= np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py(), max_output_size=_BLOCK // 8), np.uint8)
+        return pa.table({"block": part["block"][:1], "part": part["part"][:1], "bits": [_press(every)]}, pa.schema([("block", pa.int32()), ("part", pa.int32()), ("bits", pa.binary())]))
+
+    schema = "block int, part int, bits binary"
+    return _gather(table.mapInArrow(mark, schema).groupBy("block", "part").applyInArrow(unite, schema).groupBy("block").applyInArrow(unite, schema), cells)
+
+
+def size_for(table: DataFrame, most: int = 1 << 28) -> int:
+    """Cells for a sketch of table: one for each four bytes that Spark expects it to have, from 2^22 to `most` (DEPTH x 2^28 bits: 64 MB).
+
+    More cells only make it let fewer hashes pass that were met once.
+    """
+    expected = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(most, 1 << max(22, (expected // 4).bit_length()))

@@ -28,9 +28,11 @@ def binaries(data: bytes, stops: np.ndarray) -> pa.Array:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set to a fresh one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh one in local mode; a cluster has to name it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -40,13 +42,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when it ends; else they stay until the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: later steps neither recompute it nor depend on the executors that did."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    # The driver lets go of the query's shuffle files when it collects its own garbage, which may not be for long.
-    spark.sparkContext._jvm.System.gc()
+    path, before = scratch(spark, name), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out

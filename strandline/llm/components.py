@@ -26,7 +26,8 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) to (node, component): the smallest node reachable. Nodes without a link to another are left out.
 
-    Every round is written to the shared folder, so the lineage stays short and lost executors cost one round.
+    Every round is written to the shared folder, so the lineage stays short and lost executors cost one round. The result
+    is a stored table as well.
     """
     now = stored(links.where("a <> b").distinct(), "links")
     seen = None
@@ -40,4 +41,6 @@ def components(links: DataFrame) -> DataFrame:
         new = stored(_small_star(_large_star(now)), "links")
         drop_stored(now)
         now = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+    out = stored(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct()), "components")
+    drop_stored(now)
+    return out

@@ -7,22 +7,26 @@ n - ceil(percent * n / 100) + 1 n-grams (prefix filter). The steps:
    The merged table, one byte a cell, fixes the order: class of frequency, then hash. Any order that all documents
    share is right; the table's size bounds how well rare and frequent n-grams are told apart. Documents with equal sets are one node, the smallest id among them.
 2. An n-gram in the prefix of one node alone joins nothing: a count-min sketch of all prefixes leaves out most of these,
-   and the rest go when the others are grouped.
+   and the rest go when the others are grouped. The n-grams of the nodes that remain are stored once.
 3. Nodes that share a prefix n-gram are candidates if their lengths and the n-gram's positions (positional filter) still
    allow the similarity, and are verified if the counts of n-grams by hash range (suffix filter; the ranges are about a
    fifth as many as the n-grams) do: only then are their n-grams fetched. First each node is
    held against one hub, the first node of one of its n-grams, which ties most copies together; n-grams whose nodes are
    all in one component need nothing more. HUB_ROUNDS such rounds take a pair a node each.
 4. Of the n-grams left, those of at most SMALL nodes give the pairs not yet in one component, made distinct and verified
-   once. The nodes of others go into groups of about BLOCK; a task gets two groups at a time, first with the counts by
-   hash range alone. For the nodes that still have a partner the n-grams are fetched: the task skips pairs that share
+   once. The nodes of others go into groups of about BLOCK by length, as only like lengths can link; a task gets two
+   groups at a time, first with the counts by hash range alone. For the nodes that still have a partner the n-grams are fetched: the task skips pairs that share
    an earlier prefix n-gram (they are verified there), and returns a spanning forest of its links, not the pairs.
-5. Connected components of the links.
+5. Connected components of the links. Rows find their set's component by its 128 bits; sets that more than a 4096th of
+   the rows have, 4096 at most, are broadcast for that, so that no task gets all copies of one text.
 
-Sets are of 64-bit hashes, and equal sets are found by 128 bits.
+Sets are of 64-bit hashes, and equal sets are found by 128 bits. Keys in rare-first order have 8 bits for the class and 56
+of the hash; pairs are verified on these.
 
 Defined results: words of a null text: none; documents without words have no n-grams and link with nothing; rows with
-one id are one node and each keep their own n_shingles; rows with a null id link with nothing and have no component id.
+one id are one node and each keep their own n_shingles; rows with a null id link with nothing and have no component id;
+repeated rows are kept. Texts of any length are shingled whole. Columns other than id and text are ignored whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pretokens import chunks
-from ._sketch import met_twice, passes
+from ._sketch import bit_set, met_twice, passes, size_for
 from ._spark import binaries, drop_stored, ready, stored
 from ._words import Words, mixed, rolling, signed, windows
 from .components import components
@@ -45,7 +49,9 @@ CELLS, _BLOCK_CELLS = 1 << 22, 1 << 16
 SMALL, BLOCK, HUB_ROUNDS = 32, 384, 2
 #: n-grams a hash range has on average, at most twice as many; every set has RANGES ranges at least.
 IN_RANGE, RANGES = 4, 16
-_NODE_BITS, SKETCHED = 1 << 24, 1 << 26
+_NODE_BITS = 1 << 24
+#: Sets that more than this share of the rows have are told apart from the others when rows look for their set.
+HEAVY = 4096
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +156,7 @@ def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 def _some(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
     """The rows whose cell, the third column, is in a bit set."""
     cell = batch.column(2).to_numpy()
-    return batch.filter(pa.array((bits[cell >> 5] >> (cell & 31).astype(np.uint32) & 1).astype(bool)))
+    return batch.filter(pa.array((bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)))
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, classes, nodes: DataFrame) -> DataFrame:
@@ -177,14 +183,15 @@ def _prefixes(docs: DataFrame, size: int, percent: int, classes, nodes: DataFram
 def _members(prefixes: DataFrame) -> DataFrame:
     """(gram, a, sa, n, pos): the prefix n-grams that a sketch of all prefixes says two documents or more may have."""
     tables = lambda batch: iter([np.asarray(batch.column(0).flatten()).view(np.uint64)])
-    bits = prefixes.sparkSession.sparkContext.broadcast(met_twice(prefixes.select("keys"), tables, SKETCHED))
+    keys, cells = prefixes.select("keys"), size_for(prefixes)
+    bits = prefixes.sparkSession.sparkContext.broadcast(met_twice(keys, tables, cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(3)
             gram, k = np.asarray(keys.flatten()), np.diff(np.asarray(keys.offsets))
             row, pos = np.repeat(np.arange(len(k)), k), np.arange(len(gram)) - np.repeat(np.cumsum(k) - k, k)
-            keep = np.flatnonzero(passes(gram.view(np.uint64), bits.value, SKETCHED))
+            keep = np.flatnonzero(passes(gram.view(np.uint64), bits.value, cells))
             at = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), batch.column(0).take(at), batch.column(2).take(at), batch.column(1).take(at), pa.array(pos[keep].astype(np.int32))], ["gram", "a", "sa", "n", "pos"])
 
@@ -197,13 +204,7 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 def _node_bits(nodes: DataFrame) -> np.ndarray:
     """A bit set that has all nodes' ids, of _NODE_BITS bits whatever their number."""
-    cell = F.pmod(F.xxhash64("a"), F.lit(_NODE_BITS))
-    words = nodes.select(F.expr(f"cast(pmod(xxhash64(a), {_NODE_BITS}) div 32 as int)").alias("word"), F.pmod(cell, F.lit(32)).alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
-    out = np.zeros(_NODE_BITS // 32, np.uint32)
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["bits"]
-    return out
+    return bit_set(nodes.select(F.pmod(F.xxhash64("a"), F.lit(_NODE_BITS)).alias("cell")), _NODE_BITS)
 
 
 def _sets(docs: DataFrame, size: int, classes, nodes: DataFrame) -> DataFrame:
@@ -353,16 +354,25 @@ def promising(group: np.ndarray, known: np.ndarray, n: np.ndarray, position: np.
 def _promising(hot: DataFrame, short: DataFrame, percent: int) -> DataFrame:
     """(gram, low, high, own, comp, a, sa): the nodes of frequent prefix n-grams, dealt into groups, that have a partner there which the filters leave.
 
-    hot: (gram, a, sa, n, pos, comp). The nodes of an n-gram's largest known component need no comparison with each
+    hot: (gram, a, sa, n, pos, comp). Groups are of one band of lengths, and meet those of their own and the neighbouring
+    bands: sets further apart can't link. The nodes of an n-gram's largest known component need no comparison with each
     other: they are dealt into groups of their own, which meet those of the other nodes alone.
     """
     by_part = hot.groupBy("gram", "comp").agg(F.count("*").alias("k"))
-    main = by_part.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("c"))
-    main = main.select("gram", F.col("m.comp").alias("main"), F.ceil(F.col("m.k") / BLOCK).alias("lg"), F.ceil((F.col("c") - F.col("m.k")) / BLOCK).alias("rg"))
-    dealt = hot.join(main, "gram").withColumn("inside", F.col("comp") == F.col("main"))
-    spread = F.xxhash64("a", "sa")
-    dealt = dealt.withColumn("own", F.when(F.col("inside"), F.pmod(spread, F.col("lg"))).otherwise(F.col("lg") + F.pmod(spread, F.col("rg"))))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("inside"), F.col("lg")).otherwise(F.lit(0).cast("long")), F.col("lg") + F.col("rg") - 1)))
+    main = by_part.groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    # Bands are a little wider than the ratio of lengths, so that rounding puts no pair further apart than a band.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent)))
+    dealt = hot.join(main, "gram").withColumn("band", band).withColumn("inside", (F.col("comp") == F.col("main")).cast("long"))
+    groups = dealt.groupBy("gram", "band", "inside").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    code = lambda band, inside, part: (band * 2 + inside) * (1 << 40) + part
+    own = groups.withColumnRenamed("parts", "own_parts")
+    others = groups.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("to_band"), F.col("inside").alias("to_inside"), F.col("parts").alias("to_parts"))
+    meets = own.join(others, ["gram", "band"]).where("inside = 0 or to_inside = 0")
+    meets = meets.groupBy("gram", "band", "inside", "own_parts").agg(F.collect_list(F.struct("to_band", "to_inside", "to_parts")).alias("to"))  # six at most
+    dealt = dealt.join(meets, ["gram", "band", "inside"])
+    dealt = dealt.withColumn("own", code(F.col("band"), F.col("inside"), F.pmod(F.xxhash64("a", "sa"), F.col("own_parts"))))
+    every = F.flatten(F.transform("to", lambda t: F.transform(F.sequence(F.lit(0).cast("long"), t["to_parts"] - 1), lambda k: code(t["to_band"], t["to_inside"], k))))
+    dealt = dealt.withColumn("other", F.explode(every))
     dealt = dealt.select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "comp", "a", "sa", "n", "pos")
     rows = dealt.join(short.select("a", "sa", "ranges"), ["a", "sa"])
     names = ["gram", "low", "high", "own", "comp", "a", "sa"]
@@ -418,6 +428,18 @@ def _hub_pairs(members: DataFrame, tried: DataFrame | None, percent: int) -> Dat
     return pairs.groupBy("b", "sb").agg(F.min(F.struct("a", "sa")).alias("to")).select("to.a", "to.sa", "b", "sb")
 
 
+def _by_set(rows: DataFrame, same: DataFrame, n_rows: int) -> DataFrame:
+    """rows with the columns of same (s1, s2, k and others) by their set; k says how many rows a set has.
+
+    Sets with more than a HEAVY-th of the rows, HEAVY at most, are broadcast: their rows are not dealt out by set.
+    """
+    key, most = ["s1", "s2"], n_rows // HEAVY
+    heavy = F.broadcast(same.where(F.col("k") > most).withColumn("_heavy", F.lit(True)).drop("k"))
+    found = rows.join(heavy, key, "left")
+    light = found.where("_heavy is null").select(rows.columns).join(same.where(F.col("k") <= most).drop("k"), key, "left")
+    return found.where("_heavy").drop("_heavy").unionByName(light)
+
+
 def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
@@ -427,7 +449,8 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     classes = spark.sparkContext.broadcast(_classes_of_frequency(profile))
     rows = profile.where("block is null").select("doc_id", "n", "s1", "s2", "ranges")
     named = rows.where("n > 0 and doc_id is not null")
-    same = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
+    same = stored(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("k")), "same")
+    n_rows = same.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
 
     # Of documents with equal sets the node alone stays.
     alone = same.select(F.col("node").alias("doc_id"), "s1")
@@ -440,40 +463,42 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     nodes = members.select("a", "sa").distinct()
     short = named.select(F.col("doc_id").alias("a"), F.col("s1").alias("sa"), "n", "ranges").dropDuplicates(["a", "sa"])
     short = stored(short.join(nodes, ["a", "sa"], "left_semi"), "short")
+    sets = stored(_sets(docs, size, classes, short), "sets")
 
     # One row can have several sets under one id; they are one node of the graph.
-    of_id = named.join(same, ["s1", "s2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    several = stored(of_id.where("a <> b").select("doc_id", "a"), "several")
-    together = named.join(several, "doc_id").join(same, ["s1", "s2"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links, tried = stored(together, "links"), None
+    several = named.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("doc_id")
+    several = stored(named.select("doc_id", "s1", "s2").join(several, "doc_id"), "several")
+    several = several.join(same.select("s1", "s2", "node"), ["s1", "s2"])
+    first = several.groupBy("doc_id").agg(F.min("node").alias("a"))
+    links, tried = stored(several.join(first, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "links"), None
+    done = [profile, same, sets, short, links]
     for _ in range(HUB_ROUNDS):
         pairs = stored(_hub_pairs(members, tried, percent), "hubs")
-        tried = pairs if tried is None else stored(tried.union(pairs), "tried")
-        some = stored(_surviving(pairs, short, percent), "surviving")
-        sets = stored(_sets(docs, size, classes, _ends(some)), "sets")
-        links = stored(links.union(_verify(some, sets, percent)), "links")
-        drop_stored(sets)
-        found = stored(components(links), "components")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = stored(links.union(_verify(_surviving(pairs, short, percent), sets, percent)), "links")
+        found = components(links)
         less = stored(_open(members, found), "open")
         drop_stored(members)
+        drop_stored(found)
         members = less
+        done += [pairs, links]
 
     few = members.where(F.col("c") <= SMALL).select("gram", "a", "sa", "n", "pos", "comp")
     other = few.select("gram", F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("n").alias("nb"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
     pairs = few.join(other, "gram").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _possible(F.col("n"), F.col("pos"), F.col("nb"), F.col("pos_b"), percent))
     swapped = tried.select(F.col("b").alias("a"), F.col("sb").alias("sa"), F.col("a").alias("b"), F.col("sa").alias("sb"))
     pairs = pairs.select("a", "sa", "b", "sb").distinct().join(tried.union(swapped), ["a", "sa", "b", "sb"], "left_anti")
-    pairs = stored(_surviving(pairs, short, percent), "surviving")
     many = stored(_promising(members.where(F.col("c") > SMALL).select("gram", "a", "sa", "n", "pos", "comp"), short, percent), "promising")
-    sets = stored(_sets(docs, size, classes, _ends(pairs).union(many.select("a", "sa"))), "sets")
-    links = stored(links.union(_verify(pairs, sets, percent)).union(_block_links(many, sets, percent)), "links")
-    found = stored(components(links), "components")
-    for x in (members, sets, short):
-        drop_stored(x)
-    by_set = same.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
-    out = rows.join(by_set, ["s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    links = stored(links.union(_verify(_surviving(pairs, short, percent), sets, percent)).union(_block_links(many, sets, percent)), "links")
+    found = components(links)
+    by_set = stored(same.join(found, "node", "left").select("s1", "s2", "k", F.coalesce("component", "node").alias("component")), "by_set")
+    for x in (*done, members, many, links, found):
+        if x is not profile:
+            drop_stored(x)
+    found = _by_set(named.drop("ranges"), by_set, n_rows).select("doc_id", "n", "component")
+    # Rows without n-grams are their own component; those without an id have none.
+    alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).alias("component"))
+    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

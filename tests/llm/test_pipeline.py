@@ -113,6 +113,21 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0, name
-    odd = spark.createDataFrame([(k, "one two three four five " * 30 + str(k), "en", "web", 7, 1.5, "v", True) for k in range(3)], SCHEMA + ", votes double, kept string, n_words boolean")
-    for name, stage in corpus_pipeline.STAGES[:2]:
-        assert stage(spark, odd, "").columns == odd.columns, name
+    extra = "votes double, kept string, n_words boolean, n_removed string, _row string, _first long, _doc int, _mark string, _spans string, row string, mark string, `odd name` map<string,int>"
+    more = (1.5, "mine", True, "x", "r", 7, 8, "m", "s", "w", "k", {"a": 1})
+    texts = [" ".join(f"w{j}x{k}." for j in range(80)) for k in range(3)] + [" ".join(f"w{j}x0." for j in range(75)) + " more of it here " * 3]
+    rows = [(k, t, "en", "web", len(t), *more) for k, t in enumerate(texts)]
+    # One id twice, with texts of its own; the first by text stays. A null id stays as well.
+    rows += [(9, "zz " + texts[1].replace("x1", "y"), "en", "web", 1, *more), (9, "aa " + texts[1].replace("x1", "v"), "en", "web", 1, *more), (None, texts[0], "en", "web", 5, *more)]
+    df = spark.createDataFrame(rows, SCHEMA + ", " + extra)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        df = stage(spark, df, "")
+        assert df.columns == spark.createDataFrame([], SCHEMA + ", " + extra).columns, name
+        got = df.collect()
+        assert all(tuple(r)[5:] == more for r in got), name
+        ids = sorted(str(r.doc_id) for r in got)
+        assert ids == (["0", "1", "2", "3", "9", "9", "None"] if name == "quality_rules" else ["0", "1", "2", "3", "9", "None"]), name
+    assert {r.doc_id: r.text[:2] for r in got}[9] == "aa"
+    assert {r.doc_id: (r.n_chars, len(r.text)) for r in got}[3][0] == {r.doc_id: len(r.text) for r in got}[3] < len(texts[3])
+    packed = corpus_pipeline.STAGES[3][1](spark, df, "")
+    assert packed.where("doc_id = 9").count() == 1

@@ -75,6 +75,21 @@ def test_substring_dedup(spark, docs, size, cells):
     assert substring_dedup.remove_repeats(docs.limit(0), size, cells).count() == 0
 
 
+def test_very_long_texts(spark, monkeypatch):
+    """Texts that are a piece of work of their own, with words of thousands of bytes, beside short ones."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(90_000)]
+    words[500] = "x" * 5000
+    long, other = " ".join(words), " ".join(w if k % 200 else f"z{k}" for k, w in enumerate(words))
+    rows = [(1, " ".join(words[400:600])), (2, long), (3, other), (4, "short one"), (5, "x" * 700_000), (6, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classify(docs).collect()}
+    assert {k: c for k, (_, c) in got.items()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 2} and got[2][0] == len(words) - 4 and got[5][0] == 1
+    left = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert left[1] == (200, 0) and left[2] == (90_000, 200) and left[6] == (90_000, 90_000) and left[5] == (1, 0)
+    assert left[3][1] == 90_000 - sum(k % 200 == 0 for k in range(90_000))
+
+
 def test_substring_dedup_sends_in_parts(spark, docs, monkeypatch):
     whole = sorted(map(repr, substring_dedup.remove_repeats(docs, 20, 1 << 16).collect()))
     monkeypatch.setattr(substring_dedup, "HELD", 50)
@@ -238,13 +253,15 @@ def test_chat_round_trip(spark):
 
 
 def test_chat_layouts_by_fingerprint(spark):
-    records = ['{"prompt": "p", "response": "r"}', '{"response": null, "prompt": "p"}', '{"instruction": "i", "input": 3, "output": "o"}', '{"messages": [{"role": "user", "content": "a"}, {"content": "b", "role": "assistant"}]}', '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}', '{"other": 1}', "[1]", "no json", None]
+    records = ['{"prompt": "p", "response": "r"}', '{"response": null, "prompt": "p"}', '{"instruction": "i", "input": 3, "output": "o"}', '{"messages": [{"role": "user", "content": "a"}, {"content": "b", "role": "assistant"}]}', '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}', '{"other": 1}', "[1]", "no json", None, '{"id": 7, "prompt": "p", "response": "r", "tags": [{"role": 1}]}', '{"messages": [], "source": "s"}', '{"source": {"role": "x"}, "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}]}', '{"prompt": "p", "completion": "c"}', '{"system": "s", "prompt": "p", "response": "r"}', '{"instruction": "i", "output": "o"}', '{"prompt": "p", "response": "r", "messages": []}', '{"messages": 3}']
     df = spark.createDataFrame([(k, r) for k, r in enumerate(records)], "id long, record string")
     got = {r.id: r.t and [tuple(x) for x in r.t] for r in df.select("id", chat_format.canonical_turns(df.record).alias("t")).collect()}
     pair = [("user", "a"), ("assistant", "b")]
-    assert got == {0: [("user", "p"), ("assistant", "r")], 1: [("user", "p"), ("assistant", "")], 2: [("system", "i"), ("user", "3"), ("assistant", "o")], 3: pair, 4: pair, 5: None, 6: None, 7: None, 8: None}
+    assert got == {0: [("user", "p"), ("assistant", "r")], 1: [("user", "p"), ("assistant", "")], 2: [("system", "i"), ("user", "3"), ("assistant", "o")], 3: pair, 4: pair, 5: None, 6: None, 7: None, 8: None, 9: [("user", "p"), ("assistant", "r")], 10: [], 11: pair, 12: [("user", "p"), ("assistant", "c")], 13: [("system", "s"), ("user", "p"), ("assistant", "r")], 14: [("user", "i"), ("assistant", "o")], 15: None, 16: None}
     out = {r.id: r.formatted for r in chat_format.format_records(df, "id").collect()}
-    assert out[0] == "### user:\np</turn>\n### assistant:\nr</turn>\n" and out[5] is None and len(out) == len(records)
+    assert out[0] == "### user:\np</turn>\n### assistant:\nr</turn>\n" and out[5] is None and out[10] == "" and len(out) == len(records)
+    unknown = {r.fields: r.n for r in chat_format.unknown_layouts(df).collect()}
+    assert sum(unknown.values()) == 6 and unknown["OBJECT<other: BIGINT>"] == 1
 
 
 def test_license_alignment(spark):
@@ -309,6 +326,33 @@ def test_every_license_of_a_text_is_returned(spark):
     assert spans == {"Apache-2.0-notice": (0, 8), "MIT-notice": (11, 16)}
 
 
+def plain_adpcm(block):
+    value, index = int.from_bytes(block[:2].tobytes(), "little", signed=True), min(88, int(block[2]))
+    out = [value]
+    for byte in block[4:].tolist():
+        for code in (byte & 15, byte >> 4):
+            step = int(telephony.STEPS[index])
+            change = step >> 3
+            for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
+                change += part if code & bit else 0
+            value = max(-32768, min(32767, value - change if code & 8 else value + change))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+            out.append(value)
+    return out
+
+
+def plain_g711(byte, a_law):
+    """One sample by the segments of G.711."""
+    if a_law:
+        byte ^= 0x55
+        segment, low = byte >> 4 & 7, byte & 15
+        size = (2 * low + 1) * 8 if segment == 0 else (2 * low + 33) * 8 << segment - 1
+        return size if byte & 0x80 else -size
+    byte ^= 0xFF
+    size = ((2 * (byte & 15) + 33 << (byte >> 4 & 7)) - 33) * 4
+    return -size if byte & 0x80 else size
+
+
 def test_telephony_tables_and_blocks():
     mu, al = telephony.mulaw_table(), telephony.alaw_table()
     assert (mu[0], mu[0x80], mu[0xFF], mu[0x7F]) == (-32124, 32124, 0, 0)
@@ -317,24 +361,17 @@ def test_telephony_tables_and_blocks():
     rng = np.random.default_rng(0)
     blocks = rng.integers(0, 256, (7, 36), dtype=np.uint8)
 
-    def plain(block):
-        value, index = int.from_bytes(block[:2].tobytes(), "little", signed=True), min(88, int(block[2]))
-        out = [value]
-        for byte in block[4:].tolist():
-            for code in (byte & 15, byte >> 4):
-                step = int(telephony.STEPS[index])
-                change = step >> 3
-                for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
-                    change += part if code & bit else 0
-                value = max(-32768, min(32767, value - change if code & 8 else value + change))
-                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
-                out.append(value)
-        return out
-
-    assert telephony.decode_adpcm(blocks).tolist() == [plain(b) for b in blocks]
+    assert telephony.decode_adpcm(blocks).tolist() == [plain_adpcm(b) for b in blocks]
     assert telephony.resample(np.array([0, 10, -10], np.int16), 8000, 16000).tolist() == [0, 5, 10, 0, -10, -10]
     with pytest.raises(ValueError, match="WAV"):
         telephony.open_wav(b"RIFFxxxx")
+    time = np.arange(16_000) / 16_000
+    tone = lambda hz: (10_000 * np.sin(2 * np.pi * hz * time)).astype(np.int16)
+    size = lambda x: float(np.sqrt((x[200:-200].astype(float) ** 2).mean()))
+    assert len(telephony.resample(tone(500), 16_000, 8000)) == 8000
+    assert size(telephony.resample(tone(500), 16_000, 8000)) == pytest.approx(size(tone(500)), rel=0.01)
+    assert size(telephony.resample(tone(6000), 16_000, 8000)) < 0.01 * size(tone(6000))
+    assert (telephony.resample(np.full(100, 7, np.int16), 16_000, 8000) == 7).all()
 
 
 def test_telephony_query_stores_its_samples(spark, docs, tmp_path):
@@ -368,6 +405,23 @@ def test_telephony_round_trip(spark, docs):
         payloads = [raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw)) for raw in raws]
         assert (r.payload_bytes, r.payload_sha256) in [(len(p), hashlib.sha256(p).hexdigest()) for p in payloads]
         kinds.add(r.feature.split(";")[0])
+        payload = next(p for p in payloads if hashlib.sha256(p).hexdigest() == r.payload_sha256)
+        assert r.tail_crc32 == zlib.crc32(payload[-32:])
+        which = zlib.crc32(payload) % 3
+        tag, align, bits = ((7, 1, 8), (6, 1, 8), (0x11, 36, 4))[which]
+        if which < 2:
+            pcm, speed, form = [plain_g711(b, which == 1) for b in payload], 8000, b"\0\0"
+        else:
+            pcm = [v for k in range(0, len(payload), 36) for v in plain_adpcm(np.frombuffer(payload[k : k + 36], np.uint8))]
+            speed, form = 8000 * 36 // 65, (2).to_bytes(2, "little") + (65).to_bytes(2, "little")
+        number = lambda v, n=4: v.to_bytes(n, "little")
+        head = number(tag, 2) + number(1, 2) + number(8000) + number(speed) + number(align, 2) + number(bits, 2) + form
+        body = b"WAVEfmt " + number(len(head)) + head + b"fact" + number(4) + number(len(pcm)) + b"data" + number(len(payload)) + payload
+        assert r.media_sha256 == hashlib.sha256(b"RIFF" + number(len(body)) + body).hexdigest()
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))
+        assert r.feature.split(";")[1:] == [f"samples={len(pcm)}", f"peak={max(map(abs, pcm))}", f"energy={sum(v * v for v in pcm) // len(pcm)}", f"crossings={crossings}"]
+        double = [v for a, b in zip(pcm, [*pcm[1:], pcm[-1]], strict=True) for v in (a, (a + b) // 2)]
+        assert r.pcm == np.array(double, "<i2").tobytes()
         assert r.pcm_bytes == len(r.pcm) and r.media_bytes > r.payload_bytes
     assert len(kinds) == 3
     assert telephony.features(telephony.store_media(docs.limit(0))).count() == 0
