@@ -3,14 +3,15 @@
 Every stage works on all rows that its predecessor kept. All but the last return the columns of documents.
 
 Defined results: a null text has no words, so the quality rules reject it; rows with a null id are never copies of others
-and stay; of rows with one id, or linked to each other, one stays; columns beyond those of documents are handed on by the
-filtering stages; an empty table gives no rows.
+and stay; of rows with one id, or linked to each other, one stays, the first by text and then by the other columns;
+columns beyond those of documents are handed on by the filtering stages whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 CAPACITY = 1024
 
@@ -28,19 +29,26 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents, that of the smallest id (operator 10)."""
     from strandline.llm.ngram_join import classify
 
-    first = classify(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    first = classify(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    held = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    # Where rows share an id, which one stays is no matter of chance.
+    order = [F.col("_row")[f.name] for f in sorted(docs.schema.fields, key=lambda f: f.name != "text") if not isinstance(f.dataType, (MapType, VariantType))]
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy(*order))
+    kept = held.where(F.col("_id").isNotNull()).join(first, "_id", "left_semi").withColumn("_rank", rank).where("_rank = 1")
+    return kept.select("_row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the windows of 50 words that an earlier one has; a document of which nothing is left goes (operator 5)."""
     from strandline.llm.substring_dedup import remove_repeats
 
-    clean = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    changed = clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return changed.withColumn("text", text).select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = docs.select("doc_id", "text", F.struct(*others).alias("_row"))
+    clean = remove_repeats(held).where("n_removed = 0 or n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    new = {c: F.col("_row")[c] for c in others} | {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    new["n_chars"] = F.when(changed, F.length("kept")).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
