@@ -175,10 +175,11 @@ def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {EV_SQL}, q as (
   select event_type, quantile_cont(value, 0.5) as acc_median, quantile_cont(value, 0.05) as acc_p5, quantile_cont(value, 0.95) as acc_p95, quantile_cont(value * 2, 0.5) as gyro_median, quantile_cont(value * 2, 0.95) as gyro_p95, max(value * 2) as gyro_max from ev group by 1)
 select event_type, round(acc_median, 6) as acc_median, round(acc_p5, 6) as acc_p5, round(acc_p95, 6) as acc_p95, round(gyro_median, 6) as gyro_median, round(gyro_p95, 6) as gyro_p95, gyro_max,
-  case when acc_median between 7.0 and 12.5 then 'm/s2' when acc_median between 0.7 and 1.3 then 'g' end as unit from q""")
+  case when acc_median between 7.0 and 12.5 then 'ms2' when acc_median between 0.7 and 1.3 then 'g' end as unit,
+  case when acc_median between 7.0 and 12.5 then 'agrees' when acc_median between 0.7 and 1.3 then 'differs' else 'unknown' end as verdict from q""")
 def magnitude_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = units.diagnosis(domain.events(spark, sf_dir), "event_type", F.col("value"), F.col("value") * 2)
-    return d.select("event_type", *map(R6, ("acc_median", "acc_p5", "acc_p95", "gyro_median", "gyro_p95")), "gyro_max", "unit")
+    return d.select("event_type", *map(R6, ("acc_median", "acc_p5", "acc_p95", "gyro_median", "gyro_p95")), "gyro_max", "unit", "verdict")
 
 
 # Assessment
@@ -460,7 +461,7 @@ def raw_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units and chosen features."""
     v = _vectors(spark, sf_dir).select("vec_id", F.col("x")[0].alias("ax"), F.col("x")[1].alias("gx"), arrays.choose(F.col("x"), [5, 63], 64).alias("f"))
-    scaled = units.scale(v, "g", "rad/s", ("ax",), ("gx",))
+    scaled = units.scale(v, "g", "rads", ("ax",), ("gx",))
     return scaled.select("vec_id", R6("ax"), F.round("gx", 5).alias("gx"), F.col("f")[0].alias("f5"), F.col("f")[1].alias("f63"))
 
 

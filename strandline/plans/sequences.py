@@ -246,13 +246,57 @@ def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.coalesce_events(b, ("device_id", "day_ts")).drop("confidence")
 
 
-@query()
+@query(f"""with {BEHAVIOR_SQL}, r as (select *, sum(new) over w as run from (select *, case when behavior is distinct from lag(behavior) over w then 1 else 0 end as new from behavior window w as (partition by device_id, day_ts order by ts_start, behavior, ts_end, confidence)) window w as (partition by device_id, day_ts order by ts_start, behavior, ts_end, confidence)
+), q as (select *, sum(case when reach >= ts_start then 0 else 1 end) over (partition by device_id, day_ts, run order by ts_start, behavior, ts_end, confidence) as part from (
+  select *, max(ts_end) over (partition by device_id, day_ts, run order by ts_start, behavior, ts_end, confidence rows between unbounded preceding and 1 preceding) as reach from r)
+), l as (select device_id, day_ts, any_value(behavior) as behavior, list(struct_pack(s := ts_start, e := ts_end, c := cast(confidence as double)) order by ts_start, ts_end, confidence) as l from q group by device_id, day_ts, run, part
+), g as (select *, list_reduce(l, lambda a, x: struct_pack(s := a.s, e := greatest(a.e, x.e), c := cast(round_even((a.c * greatest(a.e - a.s, 1) + x.c * greatest(x.e - x.s, 1)) / (greatest(a.e - a.s, 1) + greatest(x.e - x.s, 1)), 4) as double))) as f from l)
+select device_id, day_ts, behavior, f.s as ts_start, f.e as ts_end, f.c as confidence, cast(len(l) as integer) as n_events from g""")
 def confidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with confidences folded in order, rounded at each step."""
     return islands.coalesce_events(domain.behavior(spark, sf_dir), ("device_id", "day_ts"))
 
 
-@query()
+_VITERBI = f"""with recursive {WINDOWS_SQL}, e as (
+  select device_id, stretch, idx, ts_ms, label, missing, [p_scratch, p_active, p_sleep, p_shake] as p, [ln(greatest(0.000001, p_scratch)), ln(greatest(0.000001, p_active)), ln(greatest(0.000001, p_sleep)), ln(greatest(0.000001, p_shake))] as emit,
+    count(*) over (partition by device_id, stretch) as n from win
+), f as (
+  select device_id, stretch, idx, n, emit as s, [0, 0, 0, 0] as b from e where idx = 0
+  union all
+  select e.device_id, e.stretch, e.idx, e.n, list_transform([1, 2, 3, 4], lambda k: greatest(f.s[k], list_max(f.s) - 3.0) + e.emit[k]),
+    list_transform([1, 2, 3, 4], lambda k: case when f.s[k] >= list_max(f.s) - 3.0 then k else list_position(f.s, list_max(f.s)) end)
+  from f join e on e.device_id = f.device_id and e.stretch = f.stretch and e.idx = f.idx + 1
+), t as (
+  select device_id, stretch, idx, list_position(s, list_max(s)) as c from f where idx = n - 1
+  union all
+  select f.device_id, f.stretch, f.idx - 1, f.b[t.c] from t join f on f.device_id = t.device_id and f.stretch = t.stretch and f.idx = t.idx where t.idx > 0
+), decoded as (select e.*, ['scratch', 'active', 'sleep', 'shake'][c] as decoded from e join t using (device_id, stretch, idx))"""
+
+# Bouts of two flags (sc, sh) to the final label: gaps, shakes that touch scratches, limits, painting. state is what lies under them.
+_GAP = "{0} or coalesce(first_value(case when {0} then z0 end ignore nulls) over (partition by device_id, stretch order by idx rows between 1 following and unbounded following) - last_value(case when {0} then z1 end ignore nulls) over (partition by device_id, stretch order by idx rows between unbounded preceding and 1 preceding) <= 4000, false)"
+_RUN = "sum(case when ({0}) is distinct from ({1}) then 1 else 0 end) over (partition by device_id, stretch order by idx)"
+_PAINT = f"""g1 as (select * replace ({_GAP.format("sc")} as sc, {_GAP.format("sh")} as sh) from flags
+), g2 as (select *, lag(sh) over w as psh, sc or shaken as either, lag(sc or shaken) over w as peither from g1 window w as (partition by device_id, stretch order by idx)
+), g3 as (select *, {_RUN.format("sh", "psh")} as sh_bout, {_RUN.format("either", "peither")} as er from g2
+), g4 as (select * exclude (sc), either and max(case when sc then 1 else 0 end) over (partition by device_id, stretch, er) = 1 as sc from g3
+), g5 as (select * replace ({_GAP.format("sc")} as sc) from g4
+), g6 as (select *, lag(sc) over (partition by device_id, stretch order by idx) as psc, sh and not sc as rem from g5
+), g7 as (select *, {_RUN.format("sc", "psc")} as sc_bout from g6
+), g8 as (select *, sc and (count(*) filter (where sc) over a >= 2 and avg(p[1]) filter (where sc) over a >= 0.45 or max(p[1]) filter (where sc) over a >= 0.85) as sc_kept,
+  rem and (count(*) filter (where rem) over b >= 2 and avg(p[4]) filter (where rem) over b >= 0.45 or max(p[4]) filter (where rem) over b >= 0.85) as sh_kept
+  from g7 window a as (partition by device_id, stretch, sc_bout), b as (partition by device_id, stretch, sh_bout)
+), final as (select *, case when sc_kept then 'scratch' when sh_kept then 'shake' else state end as final from g8
+), seg as (select *, sum(case when final is distinct from pf then 1 else 0 end) over (partition by device_id, stretch order by idx) as run from (select *, lag(final) over (partition by device_id, stretch order by idx) as pf from final))"""
+_SEGMENTS = """select device_id, stretch, any_value(final) as label, min(z0) as start_ms, max(z1) as end_ms, round(max(p[list_position(['scratch', 'active', 'sleep', 'shake'], final)]), 6) as conf_max,
+  round(avg(p[list_position(['scratch', 'active', 'sleep', 'shake'], final)]), 6) as conf_mean, count(*) as n_windows from seg group by device_id, stretch, run"""
+_ZONES = "ts_ms as z0, coalesce(lead(ts_ms) over (partition by device_id, stretch order by idx), ts_ms + 2000) as z1"
+_FLAGS = f"""flags as (
+  select *, coalesce(last_value(case when decoded in ('active', 'sleep') then decoded end ignore nulls) over (partition by device_id, stretch order by idx rows unbounded preceding),
+    first_value(case when decoded in ('active', 'sleep') then decoded end ignore nulls) over (partition by device_id, stretch order by idx rows between current row and unbounded following), 'active') as state,
+    decoded = 'scratch' as sc, decoded = 'shake' as sh, label = 'shake' or decoded = 'shake' as shaken, {_ZONES} from decoded)"""
+
+
+@query(f"{_VITERBI} select device_id, stretch, idx, label, decoded from decoded")
 def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best path through the probabilities of each sequence."""
     return decode.viterbi(domain.windows(spark, sf_dir), SEQ, ORDER, CLASSES).select(*SEQ, "idx", "label", "decoded")
@@ -269,27 +313,60 @@ def _stable(spark: SparkSession, sf_dir: str, algo: str) -> DataFrame:
     return decode.stabilise(domain.windows(spark, sf_dir), SEQ, ORDER, CLASSES, 2000, 1000, algo=algo)
 
 
-@query()
+def _segments(stable: DataFrame) -> DataFrame:
+    s = decode.segments(stable, SEQ, ORDER, CLASSES)
+    return s.select(*SEQ, F.col("final").alias("label"), "start_ms", "end_ms", R6("conf_max"), R6("conf_mean"), "n_windows")
+
+
+@query(f"{_VITERBI}, {_FLAGS}, {_PAINT} {_SEGMENTS}")
 def stabilise_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments after decoding."""
-    return decode.segments(_stable(spark, sf_dir, "viterbi"), SEQ, ORDER, CLASSES)
+    return _segments(_stable(spark, sf_dir, "viterbi"))
 
 
 @query()
 def stabilise_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments after smoothing and hysteresis."""
-    return decode.segments(_stable(spark, sf_dir, "stable"), SEQ, ORDER, CLASSES)
+    return _segments(_stable(spark, sf_dir, "stable"))
 
 
-@query()
-def scratch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bouts that the final segments do not have, at most forty a sequence."""
+_CANDIDATES = f"""{_VITERBI}, {_FLAGS}, {_PAINT}, found as (
+  select device_id, stretch, min(z0) as a, max(z1) as b from seg where final = 'scratch' group by device_id, stretch, run
+), low as (
+  select *, stay and max(case when p[1] >= 0.3 then 1 else 0 end) over (partition by device_id, stretch, lrun order by idx) = 1 as lo from (
+    select *, sum(case when stay is distinct from pstay then 1 else 0 end) over (partition by device_id, stretch order by idx) as lrun from (
+      select device_id, stretch, idx, z0, z1, p, missing, p[1] >= 0.25 as stay, lag(p[1] >= 0.25) over (partition by device_id, stretch order by idx) as pstay from seg))
+), low2 as (select *, lag(lo) over (partition by device_id, stretch order by idx) as plo from (select * replace ({_GAP.format("lo")} as lo) from low)
+), low3 as (select *, sum(case when lo is distinct from plo then 1 else 0 end) over (partition by device_id, stretch order by idx) as bout from low2
+), mark as (select *, exists (select 1 from found f where f.device_id = l.device_id and f.stretch = l.stretch and l.z0 < f.b and l.z1 > f.a) as taken from low3 l
+), span as (select *, min(case when lo and not taken then z0 end) over w as fa, max(case when lo and not taken then z0 end) over w as fb, count(*) filter (where lo and not taken) over w as fn from mark window w as (partition by device_id, stretch, bout)
+), cand as (select device_id, stretch, min(z0) as start_ms, max(z1) as end_ms, max(p[1]) as conf_max, avg(p[1]) as conf_mean, count(*) as n_windows, round_even(avg(missing), 3) as spec, 'low_conf' as reason
+  from span where fn >= 2 and z0 between fa and fb group by device_id, stretch, bout having avg(p[1]) >= 0.3
+), ranked as (select * replace (round(conf_max, 6) as conf_max, round(conf_mean, 6) as conf_mean), cast(row_number() over (partition by device_id, stretch order by conf_mean desc, start_ms) as integer) as rank from cand)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
     stable = _stable(spark, sf_dir, "viterbi")
     found = decode.segments(stable, SEQ, ORDER, CLASSES).where("final = 'scratch'")
-    return decode.candidates(stable, found, SEQ, ORDER, F.col("probs")[0], most=decode.StableParams.candidate_most)
+    return decode.candidates(stable, found, SEQ, ORDER, F.col("probs")[0], most=most, spec="missing").withColumn("conf_max", F.round("conf_max", 6)).withColumn("conf_mean", F.round("conf_mean", 6))
 
 
-@query()
+@query(f"{_CANDIDATES} select * from ranked")
+def scratch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bouts that the final segments do not have."""
+    return _candidates(spark, sf_dir, None)
+
+
+@query(f"{_CANDIDATES} select * from ranked where rank <= 1")
+def surest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surest of them in each sequence."""
+    return _candidates(spark, sf_dir, 1)
+
+
+@query("""with x as (select vec_id, vec_id % 20 * 100 as start_ms, vec_id % 20 * 100 + 3000 as end_ms, vec_id % 20 as s, vec_id % 20 + 30 as e, list_transform(embedding, lambda v: abs(cast(v as double))) as y from embeddings
+), l as (select *, list_sort(y[s + 1:e]) as inner_y from x), m as (select *, inner_y[len(inner_y) // 2 + 1] * 0.3 as thr from l
+), r as (select *, list_min(list_filter(range(greatest(0, s - 10), least(63, s + 10) + 1), lambda i: y[i + 1] >= thr)) as a, list_max(list_filter(range(greatest(0, e - 10), least(63, e + 10) + 1), lambda i: y[i + 1] >= thr)) as b from m)
+select vec_id, cast(case when a is not null and b > a then a * 100 else start_ms end as bigint) as start_ms, cast(case when a is not null and b > a then (b + 1) * 100 else end_ms end as bigint) as end_ms from r""")
 def refined_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts and ends moved to where an envelope of energy (here an embedding) rises and falls."""
     e = domain.table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0).cast("long").alias("t0_ms"), F.lit(10.0).alias("hz"), F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("energy"))

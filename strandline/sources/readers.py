@@ -19,7 +19,7 @@ def serial(column: Column) -> Column:
 
 
 def after(df: DataFrame, marks: DataFrame, key: str, ts: str, mark: str = "last_processed_ts") -> DataFrame:
-    """Rows later than their device's mark; devices without a mark give all."""
+    """Rows later than their device's mark; devices without a mark give all. Marks are a row a device, and are joined as their size allows."""
     joined = df.join(marks.select(key, mark), key, "left")
     return joined.where(F.col(ts) > F.coalesce(mark, F.lit(0))).drop(mark)
 
@@ -29,6 +29,13 @@ def between(df: DataFrame, ts: str, begin: object, end: object) -> DataFrame:
     return df.where((F.col(ts) >= F.lit(begin)) & (F.col(ts) < F.lit(end)))
 
 
+def environment_after(df: DataFrame, marks: DataFrame, key: str = "device_sn", ts: str = "ts_ms") -> DataFrame:
+    """Readings later than their device's mark as numbers; what is no number is null, and rows without any go."""
+    names = ("env_temp", "env_humidity", "neck_temp")
+    out = after(df, marks, key, ts, "last_env_ts").withColumns({c: F.col(c).try_cast("double") for c in names})
+    return out.dropna("all", subset=list(names))
+
+
 def devices(df: DataFrame, key: str = "device_sn") -> DataFrame:
     return df.select(key).distinct()
 
@@ -43,33 +50,62 @@ def charging(battery: DataFrame, key: str = "device_sn", ts: str = "ts_ms") -> D
     return battery.groupBy(key).agg((F.max_by("charging", ts) == 1).alias("charging"))
 
 
+#: Statistics that tools leave beside their results.
+NOT_RESULTS = "daily_scratch_stats"
+
+
 def inference_json(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
-    """Windows of all *_infer.json files under path: file, ts_ms, behavior, confidence. Unknown labels are left out; files that are no JSON give no rows."""
+    """Windows of all *_infer.json files under path: file, ts_ms, behavior, confidence.
+
+    Unknown labels are left out, a missing confidence is 0; files that are no JSON give no rows.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_infer.json").text(path, wholetext=True)
-    parsed = raw.select(F.input_file_name().alias("file"), F.from_json("value", "windows array<struct<ts: string, label: string, conf: double>>").alias("d"))
+    raw = raw.select(F.input_file_name().alias("file"), "value").where(~F.element_at(F.split("file", "/"), -1).contains(NOT_RESULTS))
+    parsed = raw.select("file", F.from_json("value", "windows array<struct<ts: string, label: string, conf: double>>").alias("d"))
     return windows_of(parsed.select("file", F.explode("d.windows").alias("w")), zone)
 
 
+def _imported(label: Column) -> Column:
+    return F.try_element_at(labels.literal_map(labels.IMPORT_CODES), label)
+
+
 def windows_of(rows: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Rows with a struct w (ts, label, conf) as windows with codes."""
-    code = F.try_element_at(labels.literal_map(labels.IMPORT_CODES), F.col("w.label"))
+    """Rows with a struct w (ts, label, conf) as windows with codes; unknown labels and times are left out, a missing confidence is 0."""
     others = [c for c in rows.columns if c != "w"]
-    out = rows.select(*others, times.parse_time(F.col("w.ts"), F.lit(zone)).alias("ts_ms"), code.alias("behavior"), F.col("w.conf").alias("confidence"))
+    out = rows.select(*others, times.parse_time(F.col("w.ts"), F.lit(zone)).alias("ts_ms"), _imported(F.col("w.label")).alias("behavior"), F.coalesce(F.col("w.conf"), F.lit(0.0)).alias("confidence"))
     return out.where(F.col("behavior").isNotNull() & F.col("ts_ms").isNotNull())
 
 
 def inference_csv(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[str, DataFrame]:
-    """("events" or "windows", rows) of CSV files with a header, told apart by their columns; a byte order mark is no part of a name."""
+    """("events" or "windows", rows) of CSV files with a header, told apart by their columns; a byte order mark is no part of a name.
+
+    Rows with an unknown label are left out, as are those whose times can't be read; a missing confidence is 0, a missing
+    serial is empty. Files without rows are windows, none.
+    """
+    schema = {"events": "device_sn string, ts_start long, ts_end long, behavior int, confidence double", "windows": "device_sn string, ts_ms long, behavior int, confidence double"}
     raw = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    columns, at = set(raw.columns), lambda c: times.parse_time(F.col(c), F.lit(zone))
-    code = F.coalesce(F.try_element_at(labels.literal_map(labels.IMPORT_CODES), F.col("label")), F.col("label").try_cast("int"))
-    confidence = (F.col("conf") if "conf" in columns else F.lit(None)).try_cast("double").alias("confidence")
-    if {"start_ts", "end_ts", "label"} <= columns:
-        return "events", raw.select(F.col("device_sn") if "device_sn" in columns else F.lit(None).cast("string").alias("device_sn"), at("start_ts").alias("ts_start"), at("end_ts").alias("ts_end"), code.alias("behavior"), confidence)
-    if {"ts", "label"} <= columns:
-        return "windows", raw.select(F.col("device_sn") if "device_sn" in columns else F.lit(None).cast("string").alias("device_sn"), at("ts").alias("ts_ms"), code.alias("behavior"), confidence)
-    raise ValueError(f"neither start_ts, end_ts, label nor ts, label among {sorted(columns)}")
+    raw = raw.where(~F.element_at(F.split(F.input_file_name(), "/"), -1).contains(NOT_RESULTS))
+    raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    columns = set(raw.columns)
+    if raw.isEmpty():
+        return "windows", spark.createDataFrame([], schema["windows"])
+    kind = "events" if {"start_ts", "end_ts"} <= columns else "windows"
+    if kind == "windows" and "ts" not in columns:
+        raise ValueError(f"neither start_ts and end_ts nor ts among {sorted(columns)}")
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in columns else F.lit("")
+    at = lambda c: times.parse_time(F.col(c), F.lit(zone))
+    spans = [at("start_ts").alias("ts_start"), at("end_ts").alias("ts_end")] if kind == "events" else [at("ts").alias("ts_ms")]
+    confidence = F.coalesce(text("conf").try_cast("double"), F.lit(0.0)).alias("confidence")
+    return kind, raw.select(text("device_sn").alias("device_sn"), *spans, _imported(text("label")).alias("behavior"), confidence).dropna()
+
+
+def kinds_of_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(file, kind) of the CSV files under path by their header: events, windows, or unknown, so that one bad file stops no import."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path, wholetext=True)
+    head = F.array_sort(F.transform(F.split(F.replace(F.substring_index("value", "\n", 1), F.lit("\ufeff"), F.lit("")), ","), F.trim))
+    has = lambda *names: F.size(F.array_intersect(head, F.array(*map(F.lit, names)))) == len(names)
+    kind = F.when(has("start_ts", "end_ts"), "events").when(has("ts"), "windows").otherwise("unknown")
+    return lines.select(F.input_file_name().alias("file"), kind.alias("kind")).where(~F.col("file").contains(NOT_RESULTS))
 
 
 def device_map(spark: SparkSession, path: str) -> DataFrame:

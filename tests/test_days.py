@@ -51,9 +51,21 @@ def test_readers(spark, tmp_path):
     assert kind == "windows" and [tuple(r) for r in df.collect()] == [("A", 5000, 2, 0.5)]
     (tmp_path / "e.csv").write_text("device_sn,start_ts,end_ts,label,conf\nA,1,2,scratch,1\n")
     assert readers.inference_csv(spark, f"file://{tmp_path}/e.csv")[0] == "events"
+    (tmp_path / "l.csv").write_text("ts,label,conf\n1000, sleep ,\n2000,not_worn,1\n3000,other,1\n4000,scratch,0.25\n")
+    assert [tuple(r) for r in readers.inference_csv(spark, f"file://{tmp_path}/l.csv")[1].collect()] == [("", 1000, 2, 0.0), ("", 4000, 3, 0.25)]
+    (tmp_path / "empty.csv").write_text("ts,label\n")
+    kind, none = readers.inference_csv(spark, f"file://{tmp_path}/empty.csv")
+    assert (kind, none.count()) == ("windows", 0)
+    (tmp_path / "n_infer.json").write_text(json.dumps({"windows": [{"ts": "5", "label": "睡觉"}]}))
+    (tmp_path / "daily_scratch_stats_infer.json").write_text(json.dumps({"windows": [{"ts": "6", "label": "睡觉"}]}))
+    assert sorted((r.ts_ms, r.behavior, r.confidence) for r in readers.inference_json(spark, f"file://{tmp_path}").collect()) == [(5, 2, 0.0), (1_787_133_600_000, 3, 0.9)]
     (tmp_path / "z.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError, match="neither"):
         readers.inference_csv(spark, f"file://{tmp_path}/z.csv")
+    assert {r.file.rsplit("/")[-1]: r.kind for r in readers.kinds_of_csv(spark, f"file://{tmp_path}").collect()} == {"w.csv": "windows", "e.csv": "events", "z.csv": "unknown", "l.csv": "windows", "empty.csv": "windows"}
+    env = spark.createDataFrame([("a", 1, "1.5", None, "x"), ("a", 2, "2.5", "", "36"), ("b", 1, "x", "", None)], "device_sn string, ts_ms long, env_temp string, env_humidity string, neck_temp string")
+    marks = spark.createDataFrame([("a", 1)], "device_sn string, last_env_ts long")
+    assert [tuple(r) for r in readers.environment_after(env, marks).collect()] == [("a", 2, 2.5, None, 36.0)]
     body = json.dumps({"samples": [{"ts": 2, "ax": 1}, {"ts": 1, "ax": 3}]})
     rows = readers.request(spark.createDataFrame([(1, body), (2, "{}")], "id long, body string"), "body").collect()
     assert [(r.id, r.sample, r.ts_ms, r.ax) for r in rows] == [(1, 0, 1, 3.0), (1, 1, 2, 1.0)]

@@ -325,6 +325,9 @@ def test_longest_match(spark):
 def test_units(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)], "ax double, ay double, az double")
     assert units.scale(df, "G", "dps", gyro=()).first().ax == 9.80665
+    assert units.scale(df, "ms2", "rads", ("ax",), ("ay",), "g", "dps").first()[:2] == (1.0 / 9.80665, 2.0 * 57.29577951308232)
+    said = units.diagnosis(df.selectExpr("1 as k", "9.7 as a", "3.0 as r").union(df.selectExpr("2", "1.02", "3.0")).union(df.selectExpr("3", "4.0", "3.0")), "k", F.col("a"), F.col("r"))
+    assert {r.k: (r.unit, r.verdict, r.text) for r in said.collect()} == {1: ("ms2", "agrees", "median |acc| 9.700 looks like m/s², as set"), 2: ("g", "differs", "median |acc| 1.020 looks like g, set is m/s²"), 3: (None, "unknown", "median |acc| 4.000 fits neither m/s² nor g")}
     with pytest.raises(ValueError, match="unit"):
         units.factor("furlong", units.ACCELERATION)
 
