@@ -359,7 +359,7 @@ def _promising(hot: DataFrame, short: DataFrame, percent: int) -> DataFrame:
     other: they are dealt into groups of their own, which meet those of the other nodes alone.
     """
     by_part = hot.groupBy("gram", "comp").agg(F.count("*").alias("k"))
-    main = by_part.groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    main = stored(by_part.groupBy("gram").agg(F.max_by("comp", F.struct("k", "comp")).alias("main")), "main")
     # Bands are a little wider than the ratio of lengths, so that rounding puts no pair further apart than a band.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent)))
     dealt = hot.join(main, "gram").withColumn("band", band).withColumn("inside", (F.col("comp") == F.col("main")).cast("long"))
@@ -368,7 +368,7 @@ def _promising(hot: DataFrame, short: DataFrame, percent: int) -> DataFrame:
     own = groups.withColumnRenamed("parts", "own_parts")
     others = groups.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("to_band"), F.col("inside").alias("to_inside"), F.col("parts").alias("to_parts"))
     meets = own.join(others, ["gram", "band"]).where("inside = 0 or to_inside = 0")
-    meets = meets.groupBy("gram", "band", "inside", "own_parts").agg(F.collect_list(F.struct("to_band", "to_inside", "to_parts")).alias("to"))  # six at most
+    meets = stored(meets.groupBy("gram", "band", "inside", "own_parts").agg(F.collect_list(F.struct("to_band", "to_inside", "to_parts")).alias("to")), "meets")  # six at most
     dealt = dealt.join(meets, ["gram", "band", "inside"])
     dealt = dealt.withColumn("own", code(F.col("band"), F.col("inside"), F.pmod(F.xxhash64("a", "sa"), F.col("own_parts"))))
     every = F.flatten(F.transform("to", lambda t: F.transform(F.sequence(F.lit(0).cast("long"), t["to_parts"] - 1), lambda k: code(t["to_band"], t["to_inside"], k))))
@@ -399,7 +399,7 @@ def _block_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """members (gram, a, sa, n, pos) with comp, the component known so far, c, and hub, of the n-grams whose nodes are not all in one component.
+    """members (gram, a, sa, n, pos) with comp, the component known so far, c, and hub, of the n-grams whose nodes are not all in one component: a stored table.
 
     hub is the first node of the smallest component.
     """
@@ -409,8 +409,11 @@ def _open(members: DataFrame, found: DataFrame | None) -> DataFrame:
     else:
         members = members.join(found.select(F.col("node").alias("a"), F.col("component").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     sizes = members.groupBy("gram").agg(F.count("*").alias("c"), F.max("comp").alias("top"), F.min(F.struct("comp", "a", "sa", "n", "pos")).alias("hub"))
-    sizes = sizes.where(F.col("top") > F.col("hub.comp")).select("gram", "c", "hub")
-    return members.join(sizes, "gram")
+    # Stored, so that the join can split the rows of a very frequent n-gram, which the counts can't.
+    sizes = stored(sizes.where(F.col("top") > F.col("hub.comp")).select("gram", "c", "hub"), "sizes")
+    out = stored(members.join(sizes, "gram"), "open")
+    drop_stored(sizes)
+    return out
 
 
 def _possible(n, pos, nb, pos_b, percent: int):
@@ -458,7 +461,7 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     prefixes = stored(prefixes.dropDuplicates(["doc_id", "s1"]).join(alone, ["doc_id", "s1"], "left_semi"), "prefixes")
     spread = stored(_members(prefixes), "members")
     drop_stored(prefixes)
-    members = stored(_open(spread, None), "open")
+    members = _open(spread, None)
     drop_stored(spread)
     nodes = members.select("a", "sa").distinct()
     short = named.select(F.col("doc_id").alias("a"), F.col("s1").alias("sa"), "n", "ranges").dropDuplicates(["a", "sa"])
@@ -477,7 +480,7 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
         tried = pairs if tried is None else tried.union(pairs)
         links = stored(links.union(_verify(_surviving(pairs, short, percent), sets, percent)), "links")
         found = components(links)
-        less = stored(_open(members, found), "open")
+        less = _open(members, found)
         drop_stored(members)
         drop_stored(found)
         members = less
