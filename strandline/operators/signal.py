@@ -204,7 +204,7 @@ def window_arrays(samples: DataFrame, keys: Sequence[str], index: str = "window_
     """Rows of sliding_windows() as one row a window with an array a channel."""
     each = F.array_sort(F.collect_list(F.struct(position, *channels)))
     grouped = samples.groupBy(*keys, index).agg(each.alias("_s"))
-    return grouped.select(*keys, index, *[F.transform("_s", lambda s, c=c: s[c].cast("double")).alias(c) for c in channels])
+    return grouped.select(*keys, index, *[F.col("_s")[c].cast("array<double>").alias(c) for c in channels])
 
 
 def classify(vectors: DataFrame, model, classes: Sequence[str], minimum: float = 0.0) -> DataFrame:
