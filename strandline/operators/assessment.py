@@ -39,12 +39,12 @@ def with_streak(days: DataFrame, limits: Thresholds = DEFAULT, device: str = "de
     run = Window.partitionBy(device, "_group").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_streak", F.when(has, F.sum((has & F.col("is_abnormal")).cast("int")).over(run)))
     out = out.withColumn("consec_abnormal", F.coalesce(F.col("_streak"), F.last("_streak", ignorenulls=True).over(before), F.lit(0)))
-    stored = F.col("zscore").cast("decimal(6,2)").cast("double")
+    stored = F.col("zscore").cast("decimal(6,2)")  # whole hundredths, so that sums don't depend on their order
     by_number = Window.partitionBy(device).orderBy("_number")
 
     def mean_of(n: int) -> Column:
         earlier = by_number.rangeBetween(-(n - 1), -1)
-        total, count = F.coalesce(F.sum(stored).over(earlier), F.lit(0.0)), F.count(stored).over(earlier)
+        total, count = F.coalesce(F.sum(stored).over(earlier).cast("double"), F.lit(0.0)), F.count(stored).over(earlier)
         return F.bround((total + F.col("zscore")) / (count + 1), 3)
 
     # Rows without a z are set apart from the numbers that the range looks back to.
@@ -72,7 +72,9 @@ def with_scores(days: DataFrame) -> DataFrame:
 
 
 def alert_reason(days: DataFrame) -> Column:
-    said = F.format_string("z=%.2f, mean=%.2f, %d days in a row", F.col("zscore"), F.col("avg_zscore"), F.col("consec_abnormal"))
+    """Why a day has an alert: how many days in a row are over which limit of z, and their mean z."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.3f", F.col(c)), "0+$", ""), "\\.$", ".0")
+    said = F.format_string("%d days in a row with z > %s, mean z %s", F.col("consec_abnormal"), plain("threshold_z"), plain("avg_zscore"))
     return F.when(F.col("alert_level") > 0, said)
 
 

@@ -214,7 +214,7 @@ _Z = f"""{_TAUGHT}, q as (
   select *, case when data_quality = 0 and eval_phase >= 1 then round_even((scratch_count - baseline_mean - temp_effect) / greatest(baseline_std, 0.5), 3) + 0.0 end as zscore,
     case eval_phase when 1 then 0.5 when 2 then 0.4 when 3 then 0.3 end as threshold_z from q
 ), y as (
-  select *, coalesce(zscore > threshold_z, false) as is_abnormal, sign(zscore) * ((abs(cast(round(zscore * 1000) as bigint)) + 5) // 10) / 100.0 as kept_z from z
+  select *, coalesce(zscore > threshold_z, false) as is_abnormal, cast(sign(zscore) as bigint) * ((abs(cast(round(zscore * 1000) as bigint)) + 5) // 10) as kept_z from z
 ), x as (
   select *, sum(case when zscore is not null and not is_abnormal then 1 else 0 end) over (partition by device_id order by day_ts) as grp from y
 ), s as (
@@ -225,7 +225,9 @@ _Z = f"""{_TAUGHT}, q as (
   select device_id, day_ts, zscore, eval_phase, sum(kept_z) over a as s4, count(*) over a as n4, sum(kept_z) over b as s3, count(*) over b as n3, sum(kept_z) over c as s2, count(*) over c as n2 from y where zscore is not null
   window a as (partition by device_id order by day_ts rows between 4 preceding and 1 preceding), b as (partition by device_id order by day_ts rows between 3 preceding and 1 preceding), c as (partition by device_id order by day_ts rows between 2 preceding and 1 preceding)
 ), m as (
-  select device_id, day_ts, round_even(case eval_phase when 1 then (coalesce(s4, 0) + zscore) / (n4 + 1) when 2 then (coalesce(s3, 0) + zscore) / (n3 + 1) when 3 then (coalesce(s2, 0) + zscore) / (n2 + 1) end, 3) as avg_zscore from v
+  -- half to even on the decimal that the number is written as
+  select device_id, day_ts, cast(case when t - floor(t) > 0.5 or t - floor(t) = 0.5 and floor(t) % 2 <> 0 then floor(t) + 1 else floor(t) end as double) / 1000 + 0.0 as avg_zscore from (
+    select device_id, day_ts, cast(cast(case eval_phase when 1 then (coalesce(s4, 0) / 100.0 + zscore) / (n4 + 1) when 2 then (coalesce(s3, 0) / 100.0 + zscore) / (n3 + 1) when 3 then (coalesce(s2, 0) / 100.0 + zscore) / (n2 + 1) end as varchar) as decimal(30,18)) * 1000 as t from v)
 ), alerts as (
   select t.*, avg_zscore, case when is_abnormal then case when consec_abnormal >= 5 then 3 when consec_abnormal >= 3 then 2 when consec_abnormal >= 2 then 1 else 0 end else 0 end as alert_level from t left join m using (device_id, day_ts))"""
 
