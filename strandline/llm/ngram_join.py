@@ -7,7 +7,7 @@ n - ceil(percent * n / 100) + 1 n-grams (prefix filter). The steps:
    The merged table, one byte a cell, fixes the order: class of frequency, then hash. Any order that all documents
    share is right; the table's size bounds how well rare and frequent n-grams are told apart. Documents with equal sets are one node, the smallest id among them.
 2. An n-gram in the prefix of one node alone joins nothing: a count-min sketch of all prefixes leaves out most of these,
-   and the rest go when the others are grouped. The n-grams of the nodes that remain are stored once.
+   and the rest go when the others are grouped.
 3. Nodes that share a prefix n-gram are candidates if their lengths and the n-gram's positions (positional filter) still
    allow the similarity, and are verified if the counts of n-grams by hash range (suffix filter; the ranges are about a
    fifth as many as the n-grams) do: only then are their n-grams fetched. First each node is
@@ -466,7 +466,6 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     nodes = members.select("a", "sa").distinct()
     short = named.select(F.col("doc_id").alias("a"), F.col("s1").alias("sa"), "n", "ranges").dropDuplicates(["a", "sa"])
     short = stored(short.join(nodes, ["a", "sa"], "left_semi"), "short")
-    sets = stored(_sets(docs, size, classes, short), "sets")
 
     # One row can have several sets under one id; they are one node of the graph.
     several = named.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("doc_id")
@@ -474,11 +473,23 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     several = several.join(same.select("s1", "s2", "node"), ["s1", "s2"])
     first = several.groupBy("doc_id").agg(F.min("node").alias("a"))
     links, tried = stored(several.join(first, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "links"), None
-    done = [profile, same, sets, short, links]
+    done = [profile, same, short, links]
+
+    def verified(pairs: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The links of pairs, and the n-grams of their ends and of the nodes `more`: only what the suffix filter leaves is shingled again."""
+        some = stored(_surviving(pairs, short, percent), "surviving")
+        ends = _ends(some)
+        sets = stored(_sets(docs, size, classes, ends if more is None else ends.union(more.select("a", "sa"))), "sets")
+        done.extend((some, sets))
+        return _verify(some, sets, percent), sets
+
     for _ in range(HUB_ROUNDS):
         pairs = stored(_hub_pairs(members, tried, percent), "hubs")
         tried = pairs if tried is None else tried.union(pairs)
-        links = stored(links.union(_verify(_surviving(pairs, short, percent), sets, percent)), "links")
+        new, sets = verified(pairs)
+        links = stored(links.union(new), "links")
+        drop_stored(sets)
+        done.remove(sets)
         found = components(links)
         less = _open(members, found)
         drop_stored(members)
@@ -492,7 +503,8 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     swapped = tried.select(F.col("b").alias("a"), F.col("sb").alias("sa"), F.col("a").alias("b"), F.col("sa").alias("sb"))
     pairs = pairs.select("a", "sa", "b", "sb").distinct().join(tried.union(swapped), ["a", "sa", "b", "sb"], "left_anti")
     many = stored(_promising(members.where(F.col("c") > SMALL).select("gram", "a", "sa", "n", "pos", "comp"), short, percent), "promising")
-    links = stored(links.union(_verify(_surviving(pairs, short, percent), sets, percent)).union(_block_links(many, sets, percent)), "links")
+    new, sets = verified(pairs, many)
+    links = stored(links.union(new).union(_block_links(many, sets, percent)), "links")
     found = components(links)
     by_set = stored(same.join(found, "node", "left").select("s1", "s2", "k", F.coalesce("component", "node").alias("component")), "by_set")
     for x in (*done, members, many, links, found):
