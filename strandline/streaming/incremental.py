@@ -6,11 +6,15 @@ device go on across micro-batches, as the samples of an unfinished window stay i
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import times
@@ -27,8 +31,18 @@ def first_events(events: DataFrame, keys: tuple[str, ...] = ("device_id", "ts_st
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def daily_counts(events: DataFrame, at: str = "event_time", late: str = "1 hour", key: str = "device_id") -> DataFrame:
-    """Events and their time for each device, UTC day and behaviour; a day is given out when the watermark has passed its end."""
+def daily_counts(events: DataFrame, at: str = "event_time", late: str = "1 hour", key: str = "device_id", zone: Column | None = None) -> DataFrame:
+    """Events and their time for each device, day and behaviour; a day is given out when the watermark has passed its end.
+
+    With zone (a resolved one) days are the device's local ones: the clock of events is moved to the local one, and late
+    has to cover the spread of zones beside the lateness.
+    """
+    if zone is not None:
+        events = events.withColumn("_zone", zone).withColumn(at, F.from_utc_timestamp(at, F.col("_zone")))
+        day = F.window(at, "1 day")
+        grouped = events.withWatermark(at, late).groupBy(key, "_zone", day, "behavior")
+        out = grouped.agg(F.count("*").alias("n"), F.sum(F.col("ts_end") - F.col("ts_start")).alias("spent_ms"))
+        return out.select(key, F.unix_millis(F.to_utc_timestamp("window.start", F.col("_zone"))).alias("day_ts"), "behavior", "n", "spent_ms")
     day = F.window(at, "1 day")
     grouped = events.withWatermark(at, late).groupBy(key, day, "behavior")
     out = grouped.agg(F.count("*").alias("n"), F.sum(F.col("ts_end") - F.col("ts_start")).alias("spent_ms"))
@@ -52,31 +66,80 @@ def count_windows(samples: DataFrame, size: int, step: int, key: str = "device_i
         number, held_ts, held = state.get if state.exists else (0, [], [])
         new = pd.concat(list(batches), ignore_index=True).sort_values(ts, kind="stable")
         held_ts, held = [*held_ts, *new[ts].tolist()], [*held, *new[value].tolist()]
-        rows, at = [], 0
-        while at + size <= len(held):
-            rows.append((k[0], number, held_ts[at], sum(held[at : at + size]) / size))
-            number, at = number + 1, at + step
-        state.update((number, held_ts[at:], held[at:]))
-        yield pd.DataFrame(rows, columns=[key, "window_idx", "start_ms", "mean"])
+        n = max(0, (len(held) - size) // step + 1)
+        total = np.append(0.0, np.cumsum(held))
+        at = np.arange(n) * step
+        state.update((number + n, held_ts[n * step :], held[n * step :]))
+        yield pd.DataFrame({key: k[0], "window_idx": number + np.arange(n), "start_ms": np.array(held_ts)[at] if n else at, "mean": (total[at + size] - total[at]) / size})
 
     kind = dict(samples.dtypes)[key]
     return samples.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, window_idx long, start_ms long, mean double", "number long, held_ts array<long>, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_each_batch(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the table of version n is what merge(version before, batch) gives, written to path/v=<batch>.
+def latest(spark: SparkSession, path: str, partition: str, before: int | None = None) -> DataFrame | None:
+    """The table that upsert_each_batch() keeps under path: each partition as its last version has it, None if there is none yet."""
+    try:
+        every = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    if before is not None:
+        every = every.where(F.col("v") < before)
+    newest = every.groupBy(partition).agg(F.max("v").alias("v"))  # a row a partition
+    return every.join(F.broadcast(newest), [partition, "v"]).drop("v")
+
 
-    A batch that runs again after a failure writes its version again from the one before, so the result is the same.
+def upsert_each_batch(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], partition: str = "day_ts") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the partitions of a table that a batch has rows for become what merge(rows before, batch) gives.
+
+    They are written to path/v=<batch>; other partitions are not touched, so a batch costs what its days hold and not the
+    table. Versions may be missing. A batch that runs again after a failure starts from the versions before its own and
+    writes its own again, so the result is the same. partition is a column without nulls, such as the day.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v={number - 1}") if number else None
-        merge(before, batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+        before = latest(spark, path, partition, number)
+        if before is not None:
+            before = before.join(F.broadcast(batch.select(partition).distinct()), partition, "left_semi")  # a row a partition
+        merge(before, batch).write.mode("overwrite").partitionBy(partition).parquet(f"{path}/v={number}")
 
     return write
 
 
+def drop_old_versions(spark: SparkSession, path: str, partition: str, keep: int = 2) -> int:
+    """Delete versions of partitions that newer ones replace, but for the last `keep` batches, which may run again; how many."""
+    seen = spark.read.option("basePath", path).parquet(path).select(partition, "v").distinct()
+    newest = Window.partitionBy(partition)
+    old = seen.withColumn("last", F.max("v").over(newest)).where(F.col("v") < F.col("last"))
+    limit = seen.agg(F.max("v")).first()[0] - keep
+    files = spark._jvm.org.apache.hadoop.fs
+    gone = 0
+    for r in old.where(F.col("v") <= limit).toLocalIterator():  # a row a partition and version
+        where = files.Path(f"{path}/v={r['v']}/{partition}={r[partition]}")
+        gone += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return gone
+
+
+def poll(samples: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, ts: str = "ts_ms", quarantine: str | None = None, interval: str = "15 seconds", available_now: bool = False, most_ahead_ms: int = 0) -> StreamingQuery:
+    """handle(rows, number) for each micro-batch of samples, every interval, or once over all that is there.
+
+    Rows whose clock is ahead of this one's go to quarantine (Parquet) and not to handle. How far the stream has been read
+    is in the checkpoint and advances also where a batch gives nothing.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        now = F.lit(int(time.time() * 1000))
+        good, ahead = clamp_future(batch, ts, now, most_ahead_ms)
+        if quarantine:
+            ahead.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        handle(good, number)
+
+    writer = samples.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
 def with_errors(run: Callable[[pd.DataFrame], pd.DataFrame], keys: tuple[str, ...], columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A group function whose failures are rows with error set and other columns null, so one device's day stops no other."""
 

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import database, difference
-from strandline.operators import assessment, rollup
+from strandline.operators import assessment, rollup, upserts
 from strandline.plans import catalog
-from strandline.sources import readers
+from strandline.sources import readers, sinks
 from strandline.streaming import incremental
 
 DATA = "/root/testdata/sf0.001"
@@ -119,3 +119,68 @@ def test_errors_are_rows_and_are_retried(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 1.0)], "d long, x double")
     out = {r.d: r.error for r in df.groupBy("d").applyInPandas(incremental.with_errors(run, ("d",), ["d", "x"]), "d long, x double, error string").collect()}
     assert out[1] is None and out[2].startswith("KeyError")
+
+
+def test_upserts_of_micro_batches_touch_their_days_alone(spark, tmp_path):
+    path = str(tmp_path / "table")
+    batches = [[(1, 10, "a"), (2, 10, "b")], [(1, 20, "c")], [(2, 10, "B"), (3, 10, "d")], []]
+    schema = "device_id long, day_ts long, value string"
+
+    def merge(before, batch):
+        return batch if before is None else upserts.upsert(before, batch, ("device_id", "day_ts"), [F.col("value")])
+
+    write = incremental.upsert_each_batch(f"file://{path}", merge)
+    rows = lambda: sorted((r.device_id, r.day_ts, r.value) for r in incremental.latest(spark, f"file://{path}", "day_ts").collect())
+    for number, rows_in in zip((0, 3, 4, 5), batches, strict=True):  # versions in between are missing
+        write(spark.createDataFrame(rows_in, schema), number)
+    want = [(1, 10, "a"), (1, 20, "c"), (2, 10, "B"), (3, 10, "d")]
+    assert rows() == want
+    write(spark.createDataFrame(batches[2], schema), 4)  # again after a failure
+    assert rows() == want
+    assert sorted(p.name for p in (tmp_path / "table" / "v=4").iterdir() if p.is_dir()) == ["day_ts=10"]
+    assert incremental.drop_old_versions(spark, f"file://{path}", "day_ts", keep=0) == 1 and rows() == want
+
+
+def test_polling_keeps_clocks_that_are_ahead_apart(spark, tmp_path):
+    schema = "device_id long, ts_ms long"
+    spark.createDataFrame([(1, 1000), (1, 2000), (2, 1 << 50)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    go = lambda: incremental.poll(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda rows, n: seen.extend((n, r.device_id, r.ts_ms) for r in rows.collect()), str(tmp_path / "c"), quarantine=f"file://{tmp_path}/q", available_now=True)
+    assert go().awaitTermination(120)
+    assert sorted(seen) == [(0, 1, 1000), (0, 1, 2000)]
+    assert [r.device_id for r in spark.read.parquet(f"file://{tmp_path}/q").collect()] == [2]
+    spark.createDataFrame([(3, 5)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert go().awaitTermination(120)
+    assert sorted(seen)[2:] == [(1, 3, 5)]  # what was read is not read again
+
+
+def test_complete_days(spark):
+    day = 86_400_000
+    rows = [(1, 10 * day, 11 * day + 5), (2, 10 * day, 10 * day + 5), (3, 20 * day, 21 * day + 5)]
+    df = spark.createDataFrame(rows, "device_id long, day_ts long, last_ts long")
+    assert [r.device_id for r in incremental.complete_days(df, F.lit("UTC"), F.lit(20 * day + 5)).collect()] == [1]
+
+
+def test_streamed_local_days(spark, tmp_path):
+    schema = "device_id long, ts_start long, ts_end long, behavior int, event_time timestamp"
+    hour, day = 3_600_000, 1_704_067_200_000
+    rows = [(1, day + k * hour, day + k * hour + 60_000, 3) for k in range(30)] + [(1, day + 200 * hour, day + 200 * hour, 1)]
+    df = spark.createDataFrame(rows, "device_id long, ts_start long, ts_end long, behavior int").withColumn("event_time", F.timestamp_millis("ts_start"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = {r.day_ts: r.n for r in run_stream(spark, incremental.daily_counts(stream, zone=F.lit("Asia/Shanghai")), tmp_path).collect()}
+    assert got == {day - 8 * hour: 16, day + 16 * hour: 14}
+
+
+def test_report_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1, 0.5), (None, 2, 0.25)], "name string, n int, share double")
+    lines = [r.line for r in sinks.markdown(df, "Report", [F.col("n")]).orderBy("line_no").collect()]
+    assert lines == ["## Report", "", "| name | n | share |", "| --- | --- | --- |", "| a\\|b | 1 | 0.5 |", "|  | 2 | 0.25 |"]
+    sinks.write_csv(df, f"file://{tmp_path}/csv")
+    assert len(list((tmp_path / "csv").glob("*.csv"))) == 1
+    table = f"file://{tmp_path}/t"
+    one = spark.createDataFrame([(1, 10), (2, 20)], "device_id long, day_ts long")
+    sinks.write_variant(one, table, "a")
+    sinks.write_variant(one.where("device_id = 1"), table, "b")
+    sinks.write_variant(one.where("device_id = 2").withColumn("device_id", F.lit(9).cast("long")), table, "a")
+    assert sorted((r.variant, r.day_ts, r.device_id) for r in spark.read.parquet(table).collect()) == [("a", 10, 1), ("a", 20, 9), ("b", 10, 1)]
