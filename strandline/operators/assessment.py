@@ -78,9 +78,10 @@ def alert_reason(days: DataFrame) -> Column:
     return F.when(F.col("alert_level") > 0, said)
 
 
-def assess(daily: DataFrame, baseline: DataFrame, environment: DataFrame, scores_given: DataFrame | None = None, limits: Thresholds = DEFAULT) -> DataFrame:
-    """One pass over all devices and days: daily rows, left-joined to baseline (by device) and environment (by device and day)."""
-    days = daily.join(baseline, "device_id", "left").join(environment, ["device_id", "day_ts"], "left")
+def assess(daily: DataFrame, baseline: DataFrame | None, environment: DataFrame, scores_given: DataFrame | None = None, limits: Thresholds = DEFAULT) -> DataFrame:
+    """One pass over all devices and days: daily rows, left-joined to baseline (by device; None where daily has its columns) and environment (by device and day)."""
+    days = daily if baseline is None else daily.join(baseline, "device_id", "left")
+    days = days.join(environment, ["device_id", "day_ts"], "left")
     if scores_given is None:
         days = days.withColumn("s5_score", F.lit(None).cast("double"))
     else:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rules beyond this many are joined without a broadcast.
-BROADCAST_ROWS = 100_000
+#: Dimensions that Spark expects to be larger than this are joined without a broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if Spark expects it to have at most `most` bytes, else as it is. No job is run for that."""
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else df
 
 
 def active_bindings(bindings: DataFrame, devices: DataFrame, users: DataFrame) -> DataFrame:
@@ -59,10 +61,10 @@ def latest(rows: DataFrame, key: str, ts: str, value: str, tie: str) -> DataFram
 
 
 def with_fallback(read_first, read_second) -> DataFrame:
-    """What read_first() gives, or read_second() if its source cannot be read."""
+    """What read_first() gives, or read_second() if its source cannot be read: a path or table that is not there, or a connection that fails."""
     try:
         df = read_first()
         df.schema  # noqa: B018  a missing source fails here
         return df
-    except Exception:
+    except (AnalysisException, Py4JJavaError, OSError):
         return read_second()

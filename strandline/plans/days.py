@@ -195,10 +195,19 @@ def _baseline(daily: DataFrame) -> DataFrame:
 LIMITS = scores.Thresholds(z=(0.5, 0.4, 0.3), min_wear_minutes=60, std_floor=0.5, reference_temperature=38.0)
 
 
+def _with_baseline(daily: DataFrame) -> DataFrame:
+    """The days from SPLIT on with the columns that _baseline() has, of one pass over daily: windows by device, of a row a day."""
+    device = Window.partitionBy("device_id")
+    early = lambda c: F.when(F.col("day_ts") < SPLIT, F.col(c))
+    days = F.count(early("day_ts")).over(device) * 4
+    known = {"baseline_mean": F.round(F.avg(early("scratch_count")).over(device), 2), "baseline_std": F.round(F.stddev_pop(early("scratch_count")).over(device), 2), "wpeb_mean": F.round(F.avg(early("wpeb_score")).over(device), 4), "wpeb_std": F.round(F.stddev_pop(early("wpeb_score")).over(device), 4), "valid_days": days, "temp_coef": F.lit(1.0)}
+    return daily.withColumns({c: F.when(days >= 3, x) for c, x in known.items()}).where(F.col("day_ts") >= SPLIT)
+
+
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = rollup.daily(domain.behavior(spark, sf_dir))
     environment = rollup.environment(domain.readings(spark, sf_dir))
-    return assessment.assess(daily.where(F.col("day_ts") >= SPLIT), _baseline(daily), environment, limits=LIMITS)
+    return assessment.assess(_with_baseline(daily), None, environment, limits=LIMITS)
 
 
 _TAUGHT = f"""{_DAILY}, base as (

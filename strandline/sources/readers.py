@@ -108,6 +108,19 @@ def kinds_of_csv(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.input_file_name().alias("file"), kind.alias("kind")).where(~F.col("file").contains(NOT_RESULTS))
 
 
+def feature_pool(spark: SparkSession, path: str) -> DataFrame:
+    """label, label_int and features of CSV files with a column for each feature (feat_000 and so on, taken in the order of their names)."""
+    raw = spark.read.option("header", "true").csv(path)
+    names = sorted(c for c in raw.columns if c.startswith("feat_"))
+    return raw.select("label", F.col("label_int").try_cast("int").alias("label_int"), F.array(*[F.col(c).try_cast("double") for c in names]).alias("features"))
+
+
+def write_feature_pool(pool: DataFrame, path: str, length: int) -> None:
+    """The same back to CSV files."""
+    each = [F.col("features")[k].alias(f"feat_{k:03d}") for k in range(length)]
+    pool.select("label", "label_int", *each).write.mode("overwrite").option("header", "true").csv(path)
+
+
 def device_map(spark: SparkSession, path: str) -> DataFrame:
     """Rules match, device_sn, device_id, bind_id, timezone of a CSV file, with their number in it."""
     rules = spark.read.option("header", "true").csv(path)

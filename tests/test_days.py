@@ -63,6 +63,9 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError, match="neither"):
         readers.inference_csv(spark, f"file://{tmp_path}/z.csv")
     assert {r.file.rsplit("/")[-1]: r.kind for r in readers.kinds_of_csv(spark, f"file://{tmp_path}").collect()} == {"w.csv": "windows", "e.csv": "events", "z.csv": "unknown", "l.csv": "windows", "empty.csv": "windows"}
+    pool = spark.createDataFrame([("sleep", 2, [0.5, 1.0, -2.0])], "label string, label_int int, features array<double>")
+    readers.write_feature_pool(pool, f"file://{tmp_path}/pool", 3)
+    assert [tuple(r) for r in readers.feature_pool(spark, f"file://{tmp_path}/pool").collect()] == [("sleep", 2, [0.5, 1.0, -2.0])]
     env = spark.createDataFrame([("a", 1, "1.5", None, "x"), ("a", 2, "2.5", "", "36"), ("b", 1, "x", "", None)], "device_sn string, ts_ms long, env_temp string, env_humidity string, neck_temp string")
     marks = spark.createDataFrame([("a", 1)], "device_sn string, last_env_ts long")
     assert [tuple(r) for r in readers.environment_after(env, marks).collect()] == [("a", 2, 2.5, None, 36.0)]
@@ -154,6 +157,17 @@ def test_polling_keeps_clocks_that_are_ahead_apart(spark, tmp_path):
     assert sorted(seen)[2:] == [(1, 3, 5)]  # what was read is not read again
 
 
+def test_second_source_where_the_first_is_not_there(spark, tmp_path):
+    from strandline.operators import lookups
+
+    second = lambda: spark.range(2)
+    assert lookups.with_fallback(lambda: spark.read.parquet(f"file://{tmp_path}/none"), second).count() == 2
+    with pytest.raises(ZeroDivisionError):
+        lookups.with_fallback(lambda: 1 // 0, second)
+    assert "broadcast" in lookups.bounded(spark.range(5))._jdf.queryExecution().toString().lower()
+    assert "broadcast" not in lookups.bounded(spark.range(5), 3)._jdf.queryExecution().toString().lower()
+
+
 def test_complete_days(spark):
     day = 86_400_000
     rows = [(1, 10 * day, 11 * day + 5), (2, 10 * day, 10 * day + 5), (3, 20 * day, 21 * day + 5)]
