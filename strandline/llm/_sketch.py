@@ -19,6 +19,8 @@ from ._words import mixed
 
 DEPTH = 2
 _BLOCK = 1 << 16
+#: Partial tables of up to so many tasks are merged at once, of more in two steps, so that no group is large.
+AT_ONCE = 256
 _SKETCH = "block int, part int, cells binary, twice binary"
 _BITS = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
 _TYPES = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("cells", pa.binary()), ("twice", pa.binary())])
@@ -56,7 +58,7 @@ def _rows(cells: np.ndarray, twice: np.ndarray, group: int) -> pa.RecordBatch:
 
 def met_twice(table: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], cells: int) -> np.ndarray:
     """The bits. hashes_of gives a batch's hashes, each as often as it counts."""
-    groups = max(1, int(table.rdd.getNumPartitions() ** 0.5))
+    groups = merge_groups(table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, twice, new, n = np.zeros(0, np.int64), np.zeros(0, bool), [], 0
@@ -84,8 +86,16 @@ def met_twice(table: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[n
         np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         return pa.table({"block": part["block"][:1], "bits": [_press(bits)]}, _BITS)
 
-    merged = table.mapInArrow(count, _SKETCH).groupBy("block", "part").applyInArrow(merge, _SKETCH).groupBy("block").applyInArrow(finish, "block int, bits binary")
-    return _gather(merged, DEPTH * cells)
+    partial = table.mapInArrow(count, _SKETCH)
+    if groups > 1:
+        partial = partial.groupBy("block", "part").applyInArrow(merge, _SKETCH)
+    return _gather(partial.groupBy("block").applyInArrow(finish, "block int, bits binary"), DEPTH * cells)
+
+
+def merge_groups(table: DataFrame) -> int:
+    """How many groups the tasks of table form for a first step of merging; one if no such step is needed."""
+    tasks = table.rdd.getNumPartitions()
+    return 1 if tasks <= AT_ONCE else int(tasks**0.5)
 
 
 def _press(bits: np.ndarray) -> bytes:
@@ -99,14 +109,14 @@ def _gather(blocks: DataFrame, cells: int) -> np.ndarray:
     import zstandard
 
     out, size = np.zeros(cells // 8, np.uint8), _BLOCK // 8
-    for block, bits in blocks.select("block", "bits").toLocalIterator():
+    for block, bits in blocks.select("block", "bits").collect():
         out[block * size : (block + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(bits), max_output_size=size), np.uint8)
     return out
 
 
 def bit_set(table: DataFrame, cells: int) -> np.ndarray:
     """The bits of table's only column of cells, numbers under `cells` (a multiple of 2^16). Tasks hold a bit set of their own."""
-    groups = max(1, int(table.rdd.getNumPartitions() ** 0.5))
+    groups = merge_groups(table)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(cells // 8, np.uint8)
@@ -126,7 +136,10 @@ def bit_set(table: DataFrame, cells: int) -> np.ndarray:
         return pa.table({"block": part["block"][:1], "part": part["part"][:1], "bits": [_press(every)]}, pa.schema([("block", pa.int32()), ("part", pa.int32()), ("bits", pa.binary())]))
 
     schema = "block int, part int, bits binary"
-    return _gather(table.mapInArrow(mark, schema).groupBy("block", "part").applyInArrow(unite, schema).groupBy("block").applyInArrow(unite, schema), cells)
+    partial = table.mapInArrow(mark, schema)
+    if groups > 1:
+        partial = partial.groupBy("block", "part").applyInArrow(unite, schema)
+    return _gather(partial.groupBy("block").applyInArrow(unite, schema), cells)
 
 
 def size_for(table: DataFrame, most: int = 1 << 28) -> int:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pretokens import chunks
-from ._sketch import bit_set, met_twice, passes, size_for
+from ._sketch import bit_set, merge_groups, met_twice, passes, size_for
 from ._spark import binaries, drop_stored, ready, stored
 from ._words import Words, mixed, rolling, signed, windows
 from .components import components
@@ -122,7 +122,7 @@ def _classes_of_frequency(profile: DataFrame) -> np.ndarray:
     """One byte for each cell: 0 for counts that chance alone explains, then one more for each doubling."""
     import zstandard
 
-    tasks = max(1, int(profile.rdd.getNumPartitions() ** 0.5))
+    tasks = merge_groups(profile)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(_BLOCK_CELLS, np.uint32)
@@ -132,9 +132,11 @@ def _classes_of_frequency(profile: DataFrame) -> np.ndarray:
 
     schema = "block int, part int, counts binary"
     rows = profile.where("block is not null").select("block", F.pmod(F.xxhash64("counts"), F.lit(tasks)).cast("int").alias("part"), "counts")
-    merged = rows.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    if tasks > 1:
+        rows = rows.groupBy("block", "part").applyInArrow(add, schema)
+    merged = rows.groupBy("block").applyInArrow(add, schema)
     total = np.zeros(CELLS, np.uint32)
-    for r in merged.select("block", "counts").toLocalIterator():  # CELLS counters in all
+    for r in merged.select("block", "counts").collect():  # CELLS counters in all, compressed
         total[r["block"] * _BLOCK_CELLS : (r["block"] + 1) * _BLOCK_CELLS] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"]), max_output_size=4 * _BLOCK_CELLS), np.uint32)
     mean = float(total.sum(dtype=np.uint64)) / CELLS
     usual = max(1.0, mean + 6 * mean**0.5 if mean > 0.5 else 1.0)
