@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -15,7 +17,10 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession, rows_per_batch: int = 1000) -> None:
-    """Let Python workers import this library, and bound the rows that Arrow hands over at once."""
+    """Let Python workers import this library, and bound the rows that Arrow hands over at once (a setting of the session, read when queries run).
+
+    Where executors don't see this folder, the library is to be given to them as Spark's py-files.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, env.get("PYTHONPATH", ""))))
@@ -42,11 +47,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes inside, but for those to be kept, are deleted at the end: results are to be stored before."""
+    mine: list[str] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        for path in mine:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Shuffle files of a query go when it ends; else they stay until the driver happens to collect its garbage.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: later steps neither recompute it nor depend on the executors that did."""
     spark = df.sparkSession
     path, before = scratch(spark, name), spark.conf.get(_CLEAN, None)
@@ -55,6 +81,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
@@ -62,5 +90,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete what stored() wrote; nothing may read df afterwards."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._stored_path)

@@ -5,7 +5,9 @@ holds the smallest (rank, position) of the pairs of live neighbours, so its root
 A merge changes three leaves (the merged pair, its right part and the pair before), each a walk to the root. Words over
 LONG bytes go through the same tree one at a time.
 
-Defined results: a null text is empty; an empty text has no ids; ids decode to the text's own bytes.
+Defined results: a null text is empty; an empty text has no ids; ids decode to the text's own bytes; rows with one id or a
+null id, and repeated rows, each stay a row; texts and pre-tokens of any length are encoded whole; an empty table gives no
+rows. Columns other than id and text are ignored whatever their names.
 """
 
 from __future__ import annotations

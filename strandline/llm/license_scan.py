@@ -12,7 +12,9 @@ For a template of over SHORT words, windows with one beginning end at up to abou
 best alignment is made again between its own ends.
 
 Words are [a-z0-9]+ of the lower-cased text. Defined results: a null or empty text has no words and no license; ties go
-to the template listed first, then to the window that begins first; rows with one id each stay a row. A text has one match at most of each template, its best. A match is left out where a longer one of
+to the template listed first, then to the window that begins first; rows with one id or a null id, and repeated rows, each
+stay a row; texts of any length are scanned whole; an empty table gives no rows; columns other than id and text are
+ignored whatever their names. A text has one match at most of each template, its best. A match is left out where a longer one of
 another template spans it, as a header spans its own first line, or one as long that covers its template better.
 """
 
@@ -243,6 +245,13 @@ class Scanner:
         return self.best(self.matches(text))
 
 
+def load_templates(folder: str) -> dict[str, str]:
+    """Templates out of a folder on every machine with a text file for each license, by the files' names: whole bodies as published."""
+    from pathlib import Path
+
+    return {p.stem: p.read_text(encoding="utf-8", errors="replace") for p in sorted(Path(folder).glob("*.txt"))}
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license (null if none is covered), coverage, first_word, last_word: the span of the words that cover it, and matches: the same of every template that is covered."""
     ready(docs.sparkSession)

@@ -8,8 +8,9 @@ being good then decides, instead of asking that it pass every rule.
 Only DataFrame functions are used; one row of parameters comes to the driver.
 
 Words are [^\\x20\\x09-\\x0D]+. Defined results: a null text has no words; documents under MIN_WORDS words or with more than
-half of their words in repeated 3-word windows fail the base rules whatever the votes; rows with one id each count; an
-empty table gives no rows.
+half of their words in repeated 3-word windows fail the base rules whatever the votes; rows with one id or a null id, and
+repeated rows, each count; texts of 2^20 words and more are measured whole on a path of their own; an empty table gives no
+rows; columns other than those named are ignored, and those in keep are handed on.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import ready, stored
+from ._spark import drop_stored, ready, stored
 
 RATE = 8000
 #: WAV format tags.
@@ -224,7 +224,10 @@ def store_pcm(media: DataFrame, to_rate: int = 16000) -> DataFrame:
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as a telephony WAV file, read back and expanded to stored PCM."""
-    return store_pcm(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("pcm")
+    media = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    pcm = store_pcm(media)
+    drop_stored(media)
+    return pcm.drop("pcm")
 
 
 QUERIES = {"op1_telephony": op1_telephony}

@@ -136,6 +136,24 @@ def test_ngram_join_links_all_texts_of_an_id(spark):
     assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute_groups(rows)
 
 
+def test_sketches_and_bit_sets_in_two_steps(spark, monkeypatch):
+    from strandline.llm import _sketch
+
+    rng = np.random.default_rng(8)
+    numbers = rng.integers(0, 1 << 20, 4000)
+    df = spark.createDataFrame([(int(x),) for x in numbers], "cell long").repartition(7)
+    hashes_of = lambda batch: iter([batch.column(0).to_numpy().view(np.uint64)])
+    for at_once in (256, 1):
+        monkeypatch.setattr(_sketch, "AT_ONCE", at_once)
+        bits = _sketch.bit_set(df, 1 << 20)
+        assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == sorted(set(numbers.tolist()))
+        seen = _sketch.met_twice(df, hashes_of, 1 << 22)
+        values, n = np.unique(numbers, return_counts=True)
+        passed = _sketch.passes(values.astype(np.uint64), seen, 1 << 22)
+        assert passed[n > 1].all() and passed[n == 1].mean() < 0.01
+    assert not _sketch.bit_set(df.limit(0), 1 << 20).any()
+
+
 def test_ranges_bound_what_sets_share():
     rng = np.random.default_rng(2)
     for _ in range(60):
@@ -264,6 +282,32 @@ def test_chat_layouts_by_fingerprint(spark):
     assert sum(unknown.values()) == 6 and unknown["OBJECT<other: BIGINT>"] == 1
 
 
+def test_license_scanner_against_all_windows():
+    """Short templates in random text: the best alignment over every window of the text, without any choice of windows."""
+    rng = random.Random(3)
+    found = 0
+    for _ in range(150):
+        vocabulary = [f"w{k}" for k in range(rng.randrange(6, 14))]
+        template = [rng.choice(vocabulary) for _ in range(rng.randrange(4, 10))]
+        text = [rng.choice(vocabulary) if rng.random() < 0.5 else f"other{rng.randrange(50)}" for _ in range(rng.randrange(5, 22))]
+        if rng.random() < 0.7:
+            at = rng.randrange(len(text))
+            text[at:at] = [w for w in template if rng.random() < 0.9]
+        scanner = license_scan.Scanner({"t": " ".join(template)}, 0.8)
+        best = 0
+        hits = [w for w in text if w in template]
+        for i in range(len(hits)):
+            for j in range(i + 1, min(len(hits), i + license_scan.REACH * len(template)) + 1):
+                best = max(best, len(license_scan.align(hits[i:j], template)))
+        name, coverage, first, last = scanner.scan(" ".join(text))
+        need = math.ceil(0.8 * len(template) - 1e-9)
+        assert (name == "t") == (best >= need)
+        if name:
+            found += 1
+            assert round(coverage * len(template)) == best and 0 <= first < last <= len(text)
+    assert 20 < found < 150
+
+
 def test_license_alignment(spark):
     mit = license_scan.TEMPLATES["MIT"]
     words = license_scan.words_of(mit)
