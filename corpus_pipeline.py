@@ -71,9 +71,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that the last stage makes of documents: doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset."""
-    from strandline.llm._spark import stored
+    from strandline.llm._spark import drop_stored, scope, stored
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark):  # what a stage stores for itself goes when its result is stored
+            docs = stored(stage(spark, before, sf_dir), name, keep=True)
+        if hasattr(before, "_stored_path"):
+            drop_stored(before)
+        before = docs
     return docs
