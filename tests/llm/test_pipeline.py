@@ -115,7 +115,7 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
         assert stage(spark, empty, "").count() == 0, name
     extra = "votes double, kept string, n_words boolean, n_removed string, _row string, _first long, _doc int, _mark string, _spans string, row string, mark string, `odd name` map<string,int>"
     more = (1.5, "mine", True, "x", "r", 7, 8, "m", "s", "w", "k", {"a": 1})
-    texts = [" ".join(f"w{j}x{k}." for j in range(80)) for k in range(3)] + [" ".join(f"w{j}x0." for j in range(75)) + " more of it here " * 3]
+    texts = [" ".join(f"w{j}x{k}." for j in range(80)) for k in range(3)] + [" ".join([*(f"w{j}x0." for j in range(60)), *(f"q{j}." for j in range(60))])]
     rows = [(k, t, "en", "web", len(t), *more) for k, t in enumerate(texts)]
     # One id twice, with texts of its own; the first by text stays. A null id stays as well.
     rows += [(9, "zz " + texts[1].replace("x1", "y"), "en", "web", 1, *more), (9, "aa " + texts[1].replace("x1", "v"), "en", "web", 1, *more), (None, texts[0], "en", "web", 5, *more)]
