@@ -111,12 +111,12 @@ _BOX = """b as (select device_id, stretch, idx, (value + lag(value, 1, 0) over n
 ), p as (select device_id, stretch, k as sample, k * 62.5 / 40 as pos from (select device_id, stretch, any_value(n) as n from b group by 1, 2), range(0, 100000) r(k) where k * 62.5 < (n - 1) * 40)"""
 
 
-@query(f"""with {domain.WINDOWS_SQL}, {_BOX} select p.device_id, p.stretch, p.sample, round(x.v + (y.v - x.v) * (pos - floor(pos)), 6) as v
+@query(f"""with {domain.WINDOWS_SQL}, {_BOX} select p.device_id, p.stretch, p.sample, round(x.v + (y.v - x.v) * (pos - floor(pos)), 9) as v
 from p join b x on x.device_id = p.device_id and x.stretch = p.stretch and x.idx = floor(pos) join b y on y.device_id = p.device_id and y.stretch = p.stretch and y.idx = floor(pos) + 1""")
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values as a signal of 25 Hz a sequence, at 16 Hz."""
     w = domain.windows(spark, sf_dir).withColumn("v", F.col("value"))
-    return signal.resample(w, domain.SEQ, "idx", 25.0, 16.0, ("v",)).withColumn("v", F.round("v", 6))
+    return signal.resample(w, domain.SEQ, "idx", 25.0, 16.0, ("v",)).withColumn("v", F.round("v", 9))
 
 
 # Readings: the embeddings of every twentieth number follow each other as a device's samples at 25 Hz, in g and radians a second.
