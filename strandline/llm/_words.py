@@ -55,7 +55,7 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """hashes: of all words in order; ends: for each text the words up to its end; begins: up to its begin.
+    """hashes: of all words in order; ends: for each text the words up to its end; begins: up to its begin; places: where each word begins and ends in the bytes.
 
     both: second has other hashes of the same words, so that two words are the same only where 128 bits are.
     """
@@ -87,6 +87,7 @@ class Words:
 
         self.hashes = hashed(0)
         self.second = hashed(1) if both else None
+        self.places = begin, end
         stops = np.searchsorted(begin, offsets)
         self.begins, self.ends = stops[:-1], stops[1:]
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, chat_format, license_scan, ngram_join, packing, quality_rules, run_collapse, substring_dedup, telephony, token_archive, token_counts
+from . import boosted_quality, byte_bpe, chat_format, importance, license_scan, ngram_join, packing, quality_rules, run_collapse, substring_dedup, telephony, token_archive, token_counts
 
-_MODULES = [telephony, token_archive, license_scan, quality_rules, substring_dedup, packing, token_counts, byte_bpe, chat_format, ngram_join, run_collapse]
+_MODULES = [telephony, token_archive, license_scan, quality_rules, substring_dedup, packing, token_counts, byte_bpe, chat_format, ngram_join, run_collapse, importance, boosted_quality]
 
 
 def queries() -> dict:
