@@ -1,7 +1,8 @@
 """From raw readings to behaviour: units, resampling, windows, features, classes, decoding, segments.
 
-A sequence is a device's local day, so no sequence grows without a bound. Times follow from the number of a sample within
-its sequence and the model's rate, beginning with the sequence's first reading.
+A sequence is a stretch of a device's local day without a pause, so no sequence grows without a bound, and no window or
+interval reaches over a pause. Times follow from the number of a sample within its stretch and the model's rate, beginning
+with the first reading of the stretch. Readings are read once: the pauses are marked by the sort that resampling needs anyway.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ def by_local_day(readings: DataFrame, zone: Column, ts: str = "ts_ms") -> DataFr
     return readings.withColumn("day_ts", times.local_midnight(F.col(ts), zone))
 
 
-def classified_windows(readings: DataFrame, model, classes: Sequence[str], meta: dict, device_hz: float, keys: Sequence[str] = ("device_id", "day_ts"), ts: str = "ts_ms", acc_unit: str = "ms2", gyro_unit: str = "dps", layout: int = 193, chosen: Sequence[int] | None = None, minimum: float = 0.0) -> DataFrame:
-    """keys, idx, ts_ms, probs by classes, label and confidence of each full window of readings (keys, ts, the channels).
+def classified_windows(readings: DataFrame, model, classes: Sequence[str], meta: dict, device_hz: float, keys: Sequence[str] = ("device_id", "day_ts"), ts: str = "ts_ms", acc_unit: str = "ms2", gyro_unit: str = "dps", layout: int = 193, chosen: Sequence[int] | None = None, minimum: float = 0.0, pause_ms: int = 2000) -> DataFrame:
+    """keys, part_ms, idx, ts_ms, probs by classes, label and confidence of each full window of readings (keys, ts, the channels).
+
+    part_ms is the time of the first reading after a pause of over pause_ms; idx begins anew with each.
 
     meta says the model's rate and windows (see signal.geometry) and its units acc_unit and gyro_unit, by default m/s² and
     degrees a second; layout and chosen say which features it takes.
     """
     shape = signal.geometry(meta, device_hz)
     scaled = units.scale(readings, acc_unit, gyro_unit, model_acc_unit=meta.get("acc_unit", "ms2"), model_gyro_unit=meta.get("gyro_unit", "dps"))
-    starts = readings.groupBy(*keys).agg(F.min(ts).alias("_first"))
+    scaled, keys = islands.with_part(scaled, keys, ts, pause_ms), (*keys, "part_ms")
     if shape["resample"]:
         samples = signal.resample(scaled, keys, ts, device_hz, shape["hz"])
     else:
@@ -37,15 +40,19 @@ def classified_windows(readings: DataFrame, model, classes: Sequence[str], meta:
     windows = signal.window_arrays(islands.sliding_windows(samples, keys, ["sample"], shape["window"], shape["step"]), keys)
     vectors = signal.features(windows, shape["hz"], layout, chosen=chosen)
     found = signal.classify(vectors, model, classes, minimum).withColumnRenamed("window_idx", "idx")
-    # One row a sequence.
-    found = found.join(starts, list(keys))
-    at = F.col("_first") + F.floor(F.col("idx") * shape["step"] * 1000.0 / shape["hz"]).cast("long")
-    return found.withColumn("ts_ms", at).drop("_first")
+    return found.withColumn("ts_ms", F.col("part_ms") + F.floor(F.col("idx") * shape["step"] * 1000.0 / shape["hz"]).cast("long"))
 
 
 def behaviour(windows: DataFrame, classes: Sequence[str], window_ms: int, stride_ms: int, keys: Sequence[str] = ("device_id", "day_ts"), params: decode.StableParams = decode.StableParams(), algo: str = "viterbi", codes: dict[str, int] = labels.CODES) -> DataFrame:
-    """Intervals of behaviour: keys, ts_start, ts_end, behavior, behavior_label, confidence (mean over the windows), n_windows."""
-    stable = decode.stabilise(windows, keys, ["idx"], classes, window_ms, stride_ms, params, algo)
-    found = decode.segments(stable, keys, ["idx"], classes)
-    code = labels.code_of(F.col("final"), codes)
-    return found.select(*keys, F.col("start_ms").alias("ts_start"), F.col("end_ms").alias("ts_end"), code.alias("behavior"), labels.name_of(code).alias("behavior_label"), F.bround("conf_mean", 4).alias("confidence"), "n_windows")
+    """Intervals of behaviour: keys, ts_start, ts_end, behavior, behavior_label, confidence, n_windows.
+
+    Each stretch (part_ms) is decoded by itself. A class without a code makes no interval. Several classes may have one code,
+    so neighbouring intervals of one code that touch are joined; their confidences are averaged by duration.
+    """
+    parts = (*keys, "part_ms")
+    stable = decode.stabilise(windows, parts, ["idx"], classes, window_ms, stride_ms, params, algo)
+    found = decode.segments(stable, parts, ["idx"], classes)
+    found = found.withColumn("behavior", F.try_element_at(labels.literal_map(codes), F.col("final"))).where("behavior is not null")
+    found = found.select(*keys, F.col("start_ms").alias("ts_start"), F.col("end_ms").alias("ts_end"), "behavior", F.bround("conf_mean", 4).alias("confidence"), "n_windows")
+    joined = islands.coalesce_events(found, keys, totals=("n_windows",)).drop("n_events")
+    return joined.withColumn("behavior_label", labels.name_of(F.col("behavior")))

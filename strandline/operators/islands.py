@@ -49,6 +49,13 @@ def with_session(df: DataFrame, keys: Sequence[str], ts: str, gap: Column, name:
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def with_part(df: DataFrame, keys: Sequence[str], ts: str, gap: int, name: str = "part_ms") -> DataFrame:
+    """The time at which the stretch of each row began: one without a step of more than gap. It tells the stretches of a sequence apart."""
+    w = ordered(keys, [ts])
+    first = F.coalesce(F.col(ts) - F.lag(ts).over(w) > gap, F.lit(True))
+    return df.withColumn("_first", F.when(first, F.col(ts))).withColumn(name, F.last("_first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_first")
+
+
 def merge_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, ts: str, confidence: str, window_ms: int, gap: Column) -> DataFrame:
     """Windows of one label with no gap between become events; an event ends a window after its last one began."""
     w = ordered(keys, order)
@@ -65,8 +72,8 @@ def legacy_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], labe
     return grouped.withColumn("start_sample", F.col("_first") * step).withColumn("end_sample", F.coalesce(following, F.col("_last")) * step + window).drop("_first", "_last")
 
 
-def coalesce_events(events: DataFrame, keys: Sequence[str], code: str = "behavior", start: str = "ts_start", end: str = "ts_end", confidence: str = "confidence") -> DataFrame:
-    """Neighbouring events of one code that touch or overlap are one. Confidences are averaged by duration, rounded to four places at each step, so they are folded in order."""
+def coalesce_events(events: DataFrame, keys: Sequence[str], code: str = "behavior", start: str = "ts_start", end: str = "ts_end", confidence: str = "confidence", totals: Sequence[str] = ()) -> DataFrame:
+    """Neighbouring events of one code that touch or overlap are one. Confidences are averaged by duration, rounded to four places at each step, so they are folded in order; totals are summed."""
     order = [start, code, end, confidence]
     runs = with_run(events, keys, order, F.col(code), name="_run")
     w = Window.partitionBy(*keys, "_run").orderBy(*order)
@@ -74,7 +81,7 @@ def coalesce_events(events: DataFrame, keys: Sequence[str], code: str = "behavio
     apart = runs.withColumn("_new", F.coalesce((reach < F.col(start)).cast("int"), F.lit(1)))
     apart = apart.withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     each = F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(confidence).alias("c"))))
-    grouped = apart.groupBy(*keys, "_run", "_part").agg(F.first(code).alias(code), each.alias("_e"))
+    grouped = apart.groupBy(*keys, "_run", "_part").agg(F.first(code).alias(code), each.alias("_e"), *(F.sum(c).alias(c) for c in totals))
 
     def fold(a: Column, x: Column) -> Column:
         d0, d1 = F.greatest(a["e"] - a["s"], F.lit(1)), F.greatest(x["e"] - x["s"], F.lit(1))
@@ -84,7 +91,7 @@ def coalesce_events(events: DataFrame, keys: Sequence[str], code: str = "behavio
     first = F.col("_e")[0]
     folded = F.aggregate(F.slice("_e", 2, F.size("_e")), first, fold)
     out = grouped.withColumn("_f", folded)
-    return out.select(*keys, code, F.col("_f.s").alias(start), F.col("_f.e").alias(end), F.col("_f.c").alias(confidence), F.size("_e").alias("n_events"))
+    return out.select(*keys, code, F.col("_f.s").alias(start), F.col("_f.e").alias(end), F.col("_f.c").alias(confidence), F.size("_e").alias("n_events"), *totals)
 
 
 def majority_smooth(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, k: int = 5, name: str = "smoothed") -> DataFrame:

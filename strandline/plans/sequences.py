@@ -246,11 +246,15 @@ def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.coalesce_events(b, ("device_id", "day_ts")).drop("confidence")
 
 
-@query(f"""with {BEHAVIOR_SQL}, r as (select *, sum(new) over w as run from (select *, case when behavior is distinct from lag(behavior) over w then 1 else 0 end as new from behavior window w as (partition by device_id, day_ts order by ts_start, behavior, ts_end, confidence)) window w as (partition by device_id, day_ts order by ts_start, behavior, ts_end, confidence)
+#: Neighbouring events of one code that touch, folded in order.
+JOINED = """), r as (select *, sum(new) over w as run from (select *, case when behavior is distinct from lag(behavior) over w then 1 else 0 end as new from behavior window w as (partition by device_id, day_ts order by ts_start, behavior, ts_end, confidence)) window w as (partition by device_id, day_ts order by ts_start, behavior, ts_end, confidence)
 ), q as (select *, sum(case when reach >= ts_start then 0 else 1 end) over (partition by device_id, day_ts, run order by ts_start, behavior, ts_end, confidence) as part from (
   select *, max(ts_end) over (partition by device_id, day_ts, run order by ts_start, behavior, ts_end, confidence rows between unbounded preceding and 1 preceding) as reach from r)
 ), l as (select device_id, day_ts, any_value(behavior) as behavior, list(struct_pack(s := ts_start, e := ts_end, c := cast(confidence as double)) order by ts_start, ts_end, confidence) as l from q group by device_id, day_ts, run, part
-), g as (select *, list_reduce(l, lambda a, x: struct_pack(s := a.s, e := greatest(a.e, x.e), c := cast(round_even((a.c * greatest(a.e - a.s, 1) + x.c * greatest(x.e - x.s, 1)) / (greatest(a.e - a.s, 1) + greatest(x.e - x.s, 1)), 4) as double))) as f from l)
+), g as (select *, list_reduce(l, lambda a, x: struct_pack(s := a.s, e := greatest(a.e, x.e), c := cast(round_even((a.c * greatest(a.e - a.s, 1) + x.c * greatest(x.e - x.s, 1)) / (greatest(a.e - a.s, 1) + greatest(x.e - x.s, 1)), 4) as double))) as f from l)"""
+
+
+@query(f"""with {BEHAVIOR_SQL[:-1]}{JOINED}
 select device_id, day_ts, behavior, f.s as ts_start, f.e as ts_end, f.c as confidence, cast(len(l) as integer) as n_events from g""")
 def confidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with confidences folded in order, rounded at each step."""

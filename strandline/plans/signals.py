@@ -119,7 +119,8 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.resample(w, domain.SEQ, "idx", 25.0, 16.0, ("v",)).withColumn("v", F.round("v", 9))
 
 
-# Readings: the embeddings of every twentieth number follow each other as a device's samples at 25 Hz, in g and radians a second.
+# Readings: the embeddings of every twentieth number follow each other as a device's samples at 25 Hz, in g and radians a second; a pause comes after every few.
+PARTS, PAUSE_MS = 7, 600_000
 DEVICES, BASE_MS, CLASSES = 20, 1_704_067_200_000, domain.CLASSES
 MODEL = {"hz": 16, "window_s": 1.0, "stride_s": 0.5}
 #: Weights of 1, spread of the size of acceleration, and mean size of rotation, by class.
@@ -146,25 +147,26 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = windows(spark, sf_dir).withColumn("device_id", F.pmod("vec_id", F.lit(DEVICES)))
     zipped = F.arrays_zip(*signal.CHANNELS)
     each = w.select("device_id", F.floor(F.col("vec_id") / DEVICES).alias("part"), F.posexplode(zipped).alias("i", "s"))
-    ts = (BASE_MS + F.col("device_id") * 3_600_000 + (F.col("part") * 64 + F.col("i")) * 40).cast("long")
+    ts = (BASE_MS + F.col("device_id") * 3_600_000 + (F.col("part") * 64 + F.col("i")) * 40 + F.floor(F.col("part") / PARTS) * PAUSE_MS).cast("long")
     scale = {c: F.col(f"s.{c}") / (9.80665 if c[0] == "a" else 57.29577951308232) for c in signal.CHANNELS}
     flat = each.select("device_id", ts.alias("ts_ms"), *[x.alias(c) for c, x in scale.items()])
     return inference.by_local_day(flat, times.resolve_zone(domain.zone_of(F.col("device_id"))))
 
 
 _LOCAL = "epoch_ms(timezone('UTC', timezone(zone, date_trunc('day', timezone(zone, timezone('UTC', make_timestamp({0} * 1000)))))))"
-_SAMPLES = f"""{_RAW}, sm as (
+_SAMPLES = f"""{_RAW}, s0 as (
   select *, {_LOCAL.format("ts")} as day_ts from (select *, {domain.ZONE_SQL} as zone from (
-    select vec_id % {DEVICES} as device_id, {BASE_MS} + vec_id % {DEVICES} * 3600000 + (vec_id // {DEVICES} * 64 + i) * 40 as ts, ax, ay, az, gx, gy, gz from w))
-), nu as (select *, row_number() over n - 1 as k, """ + ", ".join(f"({c} + lag({c}, 1, 0) over n) / 2 as f{c}" for c in _CHANNELS) + f""" from sm window n as (partition by device_id, day_ts order by ts)
-), st as (select device_id, day_ts, min(ts) as t0, count(*) as n from sm group by 1, 2
+    select vec_id % {DEVICES} as device_id, {BASE_MS} + vec_id % {DEVICES} * 3600000 + (vec_id // {DEVICES} * 64 + i) * 40 + vec_id // {DEVICES} // {PARTS} * {PAUSE_MS} as ts, ax, ay, az, gx, gy, gz from w))
+), sm as (select *, max(case when before is null or ts - before > 2000 then ts end) over (partition by device_id, day_ts order by ts) as t0 from (select *, lag(ts) over (partition by device_id, day_ts order by ts) as before from s0)
+), nu as (select *, row_number() over n - 1 as k, """ + ", ".join(f"({c} + lag({c}, 1, 0) over n) / 2 as f{c}" for c in _CHANNELS) + f""" from sm window n as (partition by device_id, t0 order by ts)
+), st as (select device_id, t0, day_ts, count(*) as n from sm group by 1, 2, 3
 ), rs as (select device_id, day_ts, t0, j, j * 62.5 / 40 as pos from st, range(0, 100000) r(j) where j * 62.5 < (n - 1) * 40
-), re as (select rs.device_id, rs.day_ts, t0, j, """ + ", ".join(f"x.f{c} + (y.f{c} - x.f{c}) * (pos - floor(pos)) as {c}" for c in _CHANNELS) + f""" from rs
-  join nu x on x.device_id = rs.device_id and x.day_ts = rs.day_ts and x.k = floor(pos) join nu y on y.device_id = rs.device_id and y.day_ts = rs.day_ts and y.k = floor(pos) + 1
+), re as (select rs.device_id, rs.day_ts, rs.t0, j, """ + ", ".join(f"x.f{c} + (y.f{c} - x.f{c}) * (pos - floor(pos)) as {c}" for c in _CHANNELS) + f""" from rs
+  join nu x on x.device_id = rs.device_id and x.t0 = rs.t0 and x.k = floor(pos) join nu y on y.device_id = rs.device_id and y.t0 = rs.t0 and y.k = floor(pos) + 1
 ), wi as (select device_id, day_ts, t0, k as idx, stddev_pop(sqrt(ax * ax + ay * ay + az * az)) as sa, avg(sqrt(gx * gx + gy * gy + gz * gz)) as mg from re, range(0, 100000) q(k) where j >= k * 8 and j < k * 8 + 16 group by 1, 2, 3, 4 having count(*) = 16
 ), ex as (select *, """ + ", ".join(f"exp({a} + {b} * sa + {c} * mg) as x{k}" for k, (a, b, c) in enumerate(WEIGHTS)) + """ from wi
 ), pr as (select *, [x0 / (x0 + x1 + x2 + x3), x1 / (x0 + x1 + x2 + x3), x2 / (x0 + x1 + x2 + x3), x3 / (x0 + x1 + x2 + x3)] as p from ex
-), win as (select device_id, day_ts as stretch, idx, t0 + idx * 500 as ts_ms, ['scratch', 'active', 'sleep', 'shake'][list_position(p, list_max(p))] as label, 0.0 as missing, p[1] as p_scratch, p[2] as p_active, p[3] as p_sleep, p[4] as p_shake from pr)"""
+), win as (select device_id, day_ts, t0 as stretch, idx, t0 + idx * 500 as ts_ms, ['scratch', 'active', 'sleep', 'shake'][list_position(p, list_max(p))] as label, 0.0 as missing, p[1] as p_scratch, p[2] as p_active, p[3] as p_sleep, p[4] as p_shake from pr)"""
 _CLASSIFIED = sequences._VITERBI.replace(domain.WINDOWS_SQL, _SAMPLES)
 
 
@@ -172,16 +174,20 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.classified_windows(readings(spark, sf_dir), LinearModel(), CLASSES, MODEL, 25.0, acc_unit="g", gyro_unit="rads")
 
 
-@query(f"with {_SAMPLES} select device_id, stretch as day_ts, idx, ts_ms, label, round(greatest(p_scratch, p_active, p_sleep, p_shake), 6) as confidence from win")
+@query(f"with {_SAMPLES} select device_id, day_ts, stretch as part_ms, idx, ts_ms, label, round(greatest(p_scratch, p_active, p_sleep, p_shake), 6) as confidence from win")
 def classified_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of a device's local day to classes of windows: units, resampling, features, a model."""
-    return _classified(spark, sf_dir).select("device_id", "day_ts", "idx", "ts_ms", "label", F.round("confidence", 6).alias("confidence"))
+    return _classified(spark, sf_dir).select("device_id", "day_ts", "part_ms", "idx", "ts_ms", "label", F.round("confidence", 6).alias("confidence"))
 
 
 _BEHAVIOUR = f"{_CLASSIFIED}, {sequences._FLAGS}, {sequences._PAINT}, beh as ({sequences._SEGMENTS})".replace("ts_ms + 2000", "ts_ms + 1000").replace("round(avg(p[list_position(['scratch', 'active', 'sleep', 'shake'], final)]), 6)", "round_even(avg(p[list_position(['scratch', 'active', 'sleep', 'shake'], final)]), 4)")
 
 
-@query(f"""{_BEHAVIOUR} select device_id, stretch as day_ts, start_ms as ts_start, end_ms as ts_end, case label when 'scratch' then 3 when 'sleep' then 2 else 1 end as behavior, conf_mean as confidence, n_windows from beh""")
+@query(f"""{_BEHAVIOUR}, coded as (
+  select b.device_id, day_ts, start_ms as ts_start, end_ms as ts_end, case label when 'scratch' then 3 when 'sleep' then 2 else 1 end as behavior, cast(conf_mean as double) as confidence, n_windows
+  from beh b join (select distinct device_id, t0, day_ts from sm) d on d.device_id = b.device_id and d.t0 = b.stretch
+{sequences.JOINED.replace(" from behavior window", " from coded window").replace("any_value(behavior) as behavior, list", "any_value(behavior) as behavior, cast(sum(n_windows) as bigint) as n_windows, list")}
+select device_id, day_ts, behavior, f.s as ts_start, f.e as ts_end, f.c as confidence, n_windows from g""")
 def behaviour_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way from readings to intervals of behaviour by local day."""
+    """The whole way from readings to intervals of behaviour by local day, in stretches without a pause; touching intervals of one code are joined."""
     return inference.behaviour(_classified(spark, sf_dir), CLASSES, 1000, 500).drop("behavior_label")
