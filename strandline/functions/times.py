@@ -81,9 +81,25 @@ def local_text(ts_ms: Column, zone: Column, millis: bool = False) -> Column:
     return F.date_format(local_time(ts_ms, zone), "yyyy-MM-dd HH:mm:ss.SSS" if millis else "yyyy-MM-dd HH:mm:ss")
 
 
+#: Dates as 2026-08-19 or 20260819, or by weeks as 2026-W34-3 or 2026W343; then any sign, the clock (10, 10:05, 10:05:01.5, with or without colons), an offset.
+_ISO = r"^(?:(\d{4})(-?)(\d{2})\2(\d{2})|(\d{4})-?W(\d{2})(?:-?(\d))?)(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(?:(Z)|([+-])(\d{2})(?::?(\d{2})(?::?(\d{2})(?:\.\d+)?)?)?)?)?$"
+
+
 def parse_time(text: Column, zone: Column) -> Column:
-    """Milliseconds of a text: digits are milliseconds already, an offset in the text wins, else the clock of zone; null where it is no time."""
+    """Milliseconds of a text: digits are milliseconds already; forms of ISO 8601, of which an offset wins, else the clock of zone; null where it is no time."""
     plain = F.trim(text)
-    has_offset = plain.rlike(r"(?:[+-]\d{2}:?\d{2}|Z)$") & plain.rlike(r"[T ]\d{2}:")
-    clock = F.try_to_timestamp(F.regexp_replace(plain, "T", " "))
-    return F.when(plain.rlike(r"^\d+$"), plain.try_cast("long")).when(has_offset, F.unix_millis(F.try_to_timestamp(plain))).otherwise(F.unix_millis(F.to_utc_timestamp(clock, zone)))
+    part = lambda k: F.nullif(F.regexp_extract(plain, _ISO, k), F.lit(""))
+    number = lambda k: F.coalesce(part(k).cast("int"), F.lit(0))
+    by_day = F.try_to_timestamp(F.concat_ws("-", part(1), part(3), part(4)), F.lit("yyyy-MM-dd")).cast("date")
+    # The fourth of January is in the first week.
+    monday = F.date_trunc("week", F.try_to_timestamp(F.concat(part(5), F.lit("-01-04")), F.lit("yyyy-MM-dd"))).cast("date")
+    week, day = number(6), F.coalesce(part(7).cast("int"), F.lit(1))
+    by_week = F.date_add(monday, (week - 1) * 7 + day - 1)
+    by_week = F.when(week.between(1, 53) & day.between(1, 7) & (F.weekofyear(by_week) == week), by_week)
+    fraction = F.substring(F.rpad(F.coalesce(part(11), F.lit("")), 3, "0"), 1, 3).cast("int")
+    clock = F.when((number(8) < 24) & (number(9) < 60) & (number(10) < 60), (number(8) * 3600 + number(9) * 60 + number(10)) * 1000 + fraction)
+    local = F.unix_date(F.coalesce(by_day, by_week)).cast("long") * DAY_MS + clock
+    offset = F.when(part(13) == "-", -1).otherwise(1) * (number(14) * 3600 + number(15) * 60 + number(16)) * 1000
+    own = F.coalesce(part(12), part(13)).isNotNull()
+    iso = F.when(own, local - offset).otherwise(F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(local), zone)))
+    return F.when(plain.rlike(r"^\d+$"), plain.try_cast("long")).when(plain.rlike(_ISO), iso)

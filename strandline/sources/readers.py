@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import labels, times
+from ..functions import times
+from . import imports
 
 IMU = ("device_sn", "ts_ms", "ax", "ay", "az", "gx", "gy", "gz")
-WINDOWS = "struct<windows: array<struct<ts: string, label: string, conf: double>>>"
 
 
 def serial(column: Column) -> Column:
@@ -50,62 +50,50 @@ def charging(battery: DataFrame, key: str = "device_sn", ts: str = "ts_ms") -> D
     return battery.groupBy(key).agg((F.max_by("charging", ts) == 1).alias("charging"))
 
 
-#: Statistics that tools leave beside their results.
-NOT_RESULTS = "daily_scratch_stats"
-
-
 def inference_json(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
     """Windows of all *_infer.json files under path: file, ts_ms, behavior, confidence.
 
-    Unknown labels are left out, a missing confidence is 0; files that are no JSON give no rows.
+    Unknown labels are left out, a missing confidence is 0. Files that are no JSON or have times that can't be read give
+    no rows; imports.read_folder() tells which.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_infer.json").text(path, wholetext=True)
-    raw = raw.select(F.input_file_name().alias("file"), "value").where(~F.element_at(F.split("file", "/"), -1).contains(NOT_RESULTS))
-    parsed = raw.select("file", F.from_json("value", "windows array<struct<ts: string, label: string, conf: double>>").alias("d"))
-    return windows_of(parsed.select("file", F.explode("d.windows").alias("w")), zone)
+    return imports.read_folder(spark, path, zone, csv=False).windows.drop("device_sn")
 
 
-def _imported(label: Column) -> Column:
-    return F.try_element_at(labels.literal_map(labels.IMPORT_CODES), label)
+def windows_of(rows: DataFrame, zone: str = "UTC", errors: bool = False) -> DataFrame:
+    """Rows with a struct w (ts, label, conf) as windows with codes; unknown labels are left out, a missing confidence is 0.
 
-
-def windows_of(rows: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Rows with a struct w (ts, label, conf) as windows with codes; unknown labels and times are left out, a missing confidence is 0."""
+    A time that can't be read is an error: with errors it stays as a row with ts_ms null, else the job fails.
+    """
     others = [c for c in rows.columns if c != "w"]
-    out = rows.select(*others, times.parse_time(F.col("w.ts"), F.lit(zone)).alias("ts_ms"), _imported(F.col("w.label")).alias("behavior"), F.coalesce(F.col("w.conf"), F.lit(0.0)).alias("confidence"))
-    return out.where(F.col("behavior").isNotNull() & F.col("ts_ms").isNotNull())
+    at = times.parse_time(F.col("w.ts"), F.lit(zone))
+    if not errors:
+        at = F.when(at.isNull(), F.raise_error(F.concat(F.lit("no time: "), F.coalesce(F.col("w.ts"), F.lit("null")))).cast("long")).otherwise(at)
+    out = rows.select(*others, "w", imports.imported_code(F.col("w.label")).alias("behavior")).where("behavior is not null")
+    return out.select(*others, at.alias("ts_ms"), "behavior", F.coalesce(F.col("w.conf"), F.lit(0.0)).alias("confidence"))
 
 
 def inference_csv(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[str, DataFrame]:
-    """("events" or "windows", rows) of CSV files with a header, told apart by their columns; a byte order mark is no part of a name.
+    """("events" or "windows", rows) of CSV files of one kind. Folders with both kinds, or with files that can't be taken, are an error; imports.read_folder() takes those.
 
-    Rows with an unknown label are left out, as are those whose times can't be read; a missing confidence is 0, a missing
-    serial is empty. Files without rows are windows, none.
+    Rows with an unknown label are left out; a missing confidence is 0, a missing serial is empty. Files without rows are windows, none.
     """
-    schema = {"events": "device_sn string, ts_start long, ts_end long, behavior int, confidence double", "windows": "device_sn string, ts_ms long, behavior int, confidence double"}
-    raw = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path)
-    raw = raw.where(~F.element_at(F.split(F.input_file_name(), "/"), -1).contains(NOT_RESULTS))
-    raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
-    columns = set(raw.columns)
-    if raw.isEmpty():
-        return "windows", spark.createDataFrame([], schema["windows"])
-    kind = "events" if {"start_ts", "end_ts"} <= columns else "windows"
-    if kind == "windows" and "ts" not in columns:
-        raise ValueError(f"neither start_ts and end_ts nor ts among {sorted(columns)}")
-    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in columns else F.lit("")
-    at = lambda c: times.parse_time(F.col(c), F.lit(zone))
-    spans = [at("start_ts").alias("ts_start"), at("end_ts").alias("ts_end")] if kind == "events" else [at("ts").alias("ts_ms")]
-    confidence = F.coalesce(text("conf").try_cast("double"), F.lit(0.0)).alias("confidence")
-    return kind, raw.select(text("device_sn").alias("device_sn"), *spans, _imported(text("label")).alias("behavior"), confidence).dropna()
+    found = imports.read_files(imports.csv_rows(spark, path, zone))
+    problem = found.problems.first()
+    if problem:
+        raise ValueError(f"{problem['file']}: {problem['error']}")
+    kinds = [k for k, df in (("events", found.events), ("windows", found.windows)) if not df.isEmpty()]
+    if len(kinds) > 1:
+        raise ValueError("both events and windows")
+    kind = kinds[0] if kinds else "windows"
+    return kind, getattr(found, kind).drop("file")
 
 
 def kinds_of_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(file, kind) of the CSV files under path by their header: events, windows, or unknown, so that one bad file stops no import."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path, wholetext=True)
-    head = F.array_sort(F.transform(F.split(F.replace(F.substring_index("value", "\n", 1), F.lit("\ufeff"), F.lit("")), ","), F.trim))
-    has = lambda *names: F.size(F.array_intersect(head, F.array(*map(F.lit, names)))) == len(names)
+    """(file, kind) of the CSV files under path by their header: events, windows, or unknown."""
+    names = F.transform(F.split("header", ","), F.trim)
+    has = lambda *columns: F.size(F.array_intersect(names, F.array(*map(F.lit, columns)))) == len(columns)
     kind = F.when(has("start_ts", "end_ts"), "events").when(has("ts"), "windows").otherwise("unknown")
-    return lines.select(F.input_file_name().alias("file"), kind.alias("kind")).where(~F.col("file").contains(NOT_RESULTS))
+    return imports.csv_headers(spark, path).select(F.explode("files").alias("file"), kind.alias("kind"))
 
 
 def feature_pool(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """The same work on readings as they arrive.
 
-Progress is kept by the query's checkpoint. Late rows count until the watermark passes them; windows and sequences of a
-device go on across micro-batches, as the samples of an unfinished window stay in state.
+Progress is kept by the query's checkpoint. Late rows count until the watermark passes them; windows of a device go on
+across micro-batches, as the samples of an unfinished one stay in state. decoding.py does the same for the decoder, and
+gives out days once they are complete.
 """
 
 from __future__ import annotations
@@ -122,24 +123,46 @@ def drop_old_versions(spark: SparkSession, path: str, partition: str, keep: int
     return gone
 
 
-def poll(samples: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, ts: str = "ts_ms", quarantine: str | None = None, interval: str = "15 seconds", available_now: bool = False, most_ahead_ms: int = 0) -> StreamingQuery:
+def poll(samples: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, ts: str = "ts_ms", quarantine: str | None = None, interval: str = "15 seconds", available_now: bool = False, most_ahead_ms: int = 0, clock: Callable[[], int] = lambda: int(time.time() * 1000)) -> StreamingQuery:
     """handle(rows, number) for each micro-batch of samples, every interval, or once over all that is there.
 
-    Rows whose clock is ahead of this one's go to quarantine (Parquet) and not to handle. How far the stream has been read
-    is in the checkpoint and advances also where a batch gives nothing.
+    Rows whose time is ahead of the clock wait in quarantine (a folder) and are handled with the first later batch that comes when
+    the clock has passed them; without quarantine they are left out. What waits after a batch is written before the batch is
+    handled, under its number, so a batch that runs again starts from the same rows. How far the stream has been read is in
+    the checkpoint and advances also where a batch gives nothing.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        now = F.lit(int(time.time() * 1000))
-        good, ahead = clamp_future(batch, ts, now, most_ahead_ms)
-        if quarantine:
-            ahead.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-        handle(good, number)
+        spark, now = batch.sparkSession, F.lit(clock())
+        waiting = _waiting(spark, quarantine, number) if quarantine else None
+        rows = (batch if waiting is None else batch.unionByName(waiting.select(*batch.columns))).persist()
+        try:
+            good, ahead = clamp_future(rows, ts, now, most_ahead_ms)
+            if quarantine:
+                ahead.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+            handle(good, number)
+        finally:
+            rows.unpersist()
 
     writer = samples.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
+def _waiting(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """What the batch before `number` left waiting; what earlier ones left is deleted."""
+    files = spark._jvm.org.apache.hadoop.fs
+    root = files.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return None
+    found = {int(s.getPath().getName().removeprefix("batch=")): s.getPath() for s in system.listStatus(root) if s.getPath().getName().startswith("batch=")}
+    before = max((k for k in found if k < number), default=None)
+    for k, where in found.items():
+        if before is not None and k < before:
+            system.delete(where, True)
+    return spark.read.parquet(f"{path}/batch={before}") if before is not None else None
+
+
 def with_errors(run: Callable[[pd.DataFrame], pd.DataFrame], keys: tuple[str, ...], columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A group function whose failures are rows with error set and other columns null, so one device's day stops no other."""
 
@@ -153,13 +176,18 @@ def with_errors(run: Callable[[pd.DataFrame], pd.DataFrame], keys: tuple[str, ..
 
 
 def retry_table(errors: DataFrame, before: DataFrame, most: int = 3) -> DataFrame:
-    """Days that failed, with how often: pending, and abandoned after `most` times. Days that went well since are left out.
+    """The days to run again, with how often they failed: pending, and abandoned after `most` times.
 
-    errors: device_id, day_ts, error (null where it went well); before: device_id, day_ts, retry_count.
+    errors: device_id, day_ts, error (null where the day went well) of the days that were run; before: device_id, day_ts,
+    retry_count and, if it has one, error. A day that went well goes, one that was not run stays as it was.
     """
-    joined = errors.join(before.select("device_id", "day_ts", F.col("retry_count").alias("_n")), ["device_id", "day_ts"], "left").where("error is not null")
-    n = F.coalesce("_n", F.lit(0)) + 1
-    return joined.select("device_id", "day_ts", "error", n.alias("retry_count"), F.when(n >= most, "abandoned").otherwise("pending").alias("status"))
+    last = F.col("error") if "error" in before.columns else F.lit(None).cast("string")
+    held = before.select("device_id", "day_ts", F.col("retry_count").alias("_n"), last.alias("_error"))
+    joined = errors.withColumn("_run", F.lit(True)).join(held, ["device_id", "day_ts"], "full")
+    stays = F.col("_run").isNull()
+    n = F.coalesce("_n", F.lit(0)) + F.when(stays, 0).otherwise(1)
+    kept = joined.where(stays | F.col("error").isNotNull())
+    return kept.select("device_id", "day_ts", F.when(stays, F.col("_error")).otherwise(F.col("error")).alias("error"), n.cast("int").alias("retry_count"), F.when(n >= most, "abandoned").otherwise("pending").alias("status"))
 
 
 def complete_days(max_ts: DataFrame, zone: Column, now_ms: Column, ts: str = "last_ts") -> DataFrame:

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import database, difference
+from strandline.functions import times
 from strandline.operators import assessment, rollup, upserts
 from strandline.plans import catalog
-from strandline.sources import readers, sinks
+from strandline.sources import imports, readers, sinks
 from strandline.streaming import incremental
 
 DATA = "/root/testdata/sf0.001"
@@ -62,6 +63,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "z.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError, match="neither"):
         readers.inference_csv(spark, f"file://{tmp_path}/z.csv")
+    with pytest.raises(Exception, match="no time"):
+        readers.windows_of(spark.createDataFrame([(("noon", "sleep", 1.0),)], "w struct<ts: string, label: string, conf: double>")).collect()
     assert {r.file.rsplit("/")[-1]: r.kind for r in readers.kinds_of_csv(spark, f"file://{tmp_path}").collect()} == {"w.csv": "windows", "e.csv": "events", "z.csv": "unknown", "l.csv": "windows", "empty.csv": "windows"}
     pool = spark.createDataFrame([("sleep", 2, [0.5, 1.0, -2.0])], "label string, label_int int, features array<double>")
     readers.write_feature_pool(pool, f"file://{tmp_path}/pool", 3)
@@ -76,6 +79,49 @@ def test_readers(spark, tmp_path):
     assert {r.device_sn: r.charging for r in readers.charging(battery).collect()} == {"a": False, "b": True}
 
 
+def test_import_of_a_mixed_folder(spark, tmp_path):
+    files = {
+        "a/w1.csv": "device_sn,ts,label,conf\nA,1000,sleep,0.5\nA,2000,scratch,\n",
+        "a/w2.csv": "\ufefflabel,conf,ts,more\nscratch,0.25,20260819T1000,x\nother,none,never,y\n",
+        "b/e.csv": "start_ts,end_ts,label,conf,device_sn\n1,5,sleep,1,B\n7,9,睡觉,0.5,\n",
+        "b/bad_time.csv": "ts,label\n1000,sleep\nnoon,sleep\n", "bad_number.csv": "ts,label,conf\n1000,sleep,much\n", "bad_header.csv": "x,y\n1,2\n", "none.csv": "ts,label\n", "daily_scratch_stats.csv": "x\n1\n",
+        "a/x_infer.json": json.dumps({"windows": [{"ts": "2026-08-19T10:00:00+08:00", "label": "active", "conf": 0.5}, {"ts": "?", "label": "other"}]}),
+        "y_infer.json": "{nothing", "z_infer.json": json.dumps({"windows": [{"ts": "5", "label": "sleep"}, {"label": "sleep"}]}), "n_infer.json": json.dumps({"windows": []}), "o_infer.json": "{}",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = imports.read_folder(spark, f"file://{tmp_path}", "Asia/Shanghai")
+    name = lambda r: r.file.rsplit("/")[-1]
+    at = 1_787_104_800_000
+    assert sorted((name(r), r.device_sn, r.ts_ms, r.behavior, r.confidence) for r in found.windows.collect()) == [("w1.csv", "A", 1000, 2, 0.5), ("w1.csv", "A", 2000, 3, 0.0), ("w2.csv", "", at, 3, 0.25), ("x_infer.json", "", at, 1, 0.5)]
+    assert sorted((name(r), r.device_sn, r.ts_start, r.ts_end, r.behavior, r.confidence) for r in found.events.collect()) == [("e.csv", "", 7, 9, 2, 0.5), ("e.csv", "B", 1, 5, 2, 1.0)]
+    problems = {name(r): r.error for r in found.problems.collect()}
+    assert problems.pop("bad_header.csv").startswith("neither") and problems == {"bad_time.csv": "no time: noon", "bad_number.csv": "no number: much", "y_infer.json": "no JSON", "z_infer.json": "no time: "}
+    assert imports.read_folder(spark, f"file://{tmp_path}", csv=False).events.count() == 0
+    with pytest.raises(ValueError, match="both"):
+        readers.inference_csv(spark, f"file://{tmp_path}/[ab]/[we]*.csv")
+
+
+def test_times_as_iso_writes_them(spark):
+    from datetime import datetime, timezone
+
+    texts = ["2026-08-19", "20260819T100501", "2026-08-19 10", "2026-08-19T10:05", "2026-08-19 10:05:01,25", "2026-08-19T10:05:01.123456789", "2026-W34-3", "2026W343T10", "2026-W53", "2020-W53-7", "2026-08-19T10:05:01Z", "2026-08-19T10:05+08", "20260819T1005-0330", "2026-08-19 10:05:01.5+05:45:30"]
+    wrong = ["", "noon", "2026-13-01", "2026-02-30", "2026-08-19T25:00", "2026-08-19T10:60", "2026-W54-1", "2026-W10-8", "10:05", "2026-0819"]
+    got = spark.createDataFrame([(t,) for t in texts + wrong], "t string").select("t", times.parse_time(F.col("t"), F.lit("UTC")).alias("ms")).collect()
+
+    def plain(text):
+        when = datetime.fromisoformat(text)
+        return int((when if when.tzinfo else when.replace(tzinfo=timezone.utc)).timestamp() * 1000)
+
+    for r in got:
+        try:
+            want = plain(r.t)
+        except ValueError:
+            want = None
+        assert r.ms == want, r
+
+
 def run_stream(spark, df, tmp_path, mode="append"):
     out = str(tmp_path / "out")
     q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).outputMode(mode).trigger(availableNow=True).start()
@@ -113,6 +159,10 @@ def test_errors_are_rows_and_are_retried(spark):
     before = spark.createDataFrame([(2, 0, 2), (3, 0, 1)], "device_id long, day_ts long, retry_count int")
     got = {r.device_id: (r.retry_count, r.status) for r in incremental.retry_table(errors, before).collect()}
     assert got == {1: (1, "pending"), 2: (3, "abandoned")}
+    # A day that was not run this time waits on.
+    before = spark.createDataFrame([(4, 0, 1, "old"), (5, 0, 3, "old"), (1, 0, 1, "old")], "device_id long, day_ts long, retry_count int, error string")
+    got = {r.device_id: (r.retry_count, r.status, r.error) for r in incremental.retry_table(errors, before).collect()}
+    assert got == {1: (2, "pending", "x"), 2: (1, "pending", "x"), 4: (1, "pending", "old"), 5: (3, "abandoned", "old")}
 
     def run(pdf):
         if pdf["d"].iloc[0] == 2:
@@ -157,6 +207,18 @@ def test_polling_keeps_clocks_that_are_ahead_apart(spark, tmp_path):
     assert sorted(seen)[2:] == [(1, 3, 5)]  # what was read is not read again
 
 
+def test_polling_handles_what_waited_once_the_clock_has_passed(spark, tmp_path):
+    schema = "device_id long, ts_ms long"
+    seen, now = [], 0
+    for k, (now, rows) in enumerate([(10, [(1, 5), (1, 15), (2, 40)]), (20, [(3, 25)]), (30, [(3, 26)]), (50, [(4, 7)])]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = incremental.poll(stream, lambda got, n: seen.extend((n, r.ts_ms) for r in got.collect()), str(tmp_path / "c"), quarantine=f"file://{tmp_path}/q", available_now=True, clock=lambda t=now: t)
+        assert query.awaitTermination(120)
+    assert sorted(seen) == [(0, 5), (1, 15), (2, 25), (2, 26), (3, 7), (3, 40)]
+    assert sorted(p.name for p in (tmp_path / "q").iterdir() if p.name[0] == "b") == ["batch=2", "batch=3"]
+
+
 def test_second_source_where_the_first_is_not_there(spark, tmp_path):
     from strandline.operators import lookups
 
