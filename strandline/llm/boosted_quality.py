@@ -114,13 +114,11 @@ class Forest:
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, ridge: float = 1.0, least: float = 4.0) -> Forest:
     """Boosted trees on rows x with labels y (0, 1). least: the smallest sum of curvatures of a leaf."""
     kinds = x.shape[1]
-    share = (y.sum() + 0.0) / len(y) if len(y) else 0.5
-    empty = np.zeros(0, np.int64)
-    if not 0 < share < 1:
-        value = 0.5 if not len(y) else share
-        base = float(np.log(max(value, 1e-6) / max(1 - value, 1e-6)))
+    share = float(y.mean()) if len(y) else 0.5
+    base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    if not len(y) or share in (0, 1):
+        empty = np.zeros(0, np.int64)
         return Forest(base, empty, empty, np.zeros(0, np.float32), empty, np.zeros(0), 0)
-    base = float(np.log(share / (1 - share)))
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for k in range(kinds)]
     bins = np.stack([np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)], 1)  # bin b: values up to cut b and above cut b - 1
     most = np.array([len(c) for c in cuts])

@@ -82,12 +82,13 @@ def joined(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndar
     out = near[short, 0, first & np.uint32(255)]
     for k in (1, 2, 3):
         out ^= near[short, k, first >> np.uint32(8 * k) & np.uint32(255)]
-    for k in np.flatnonzero(length > _NEAR):
-        crc = first[k : k + 1]
-        for bit in range(int(length[k]).bit_length()):
-            if length[k] >> bit & 1:
-                crc = _moved(doubled[bit], crc)
-        out[k] = crc[0]
+    long = np.flatnonzero(length > _NEAR)
+    if len(long):
+        crc, rest = first[long], length[long]
+        for bit in range(int(rest.max()).bit_length()):
+            some = rest >> bit & 1 == 1
+            crc[some] = _moved(doubled[bit], crc[some])
+        out[long] = crc
     return out ^ second
 
 
