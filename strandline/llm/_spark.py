@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -47,18 +48,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_SCOPES: list[list[str]] = []
+#: The open scopes of this thread, the innermost last: queries from several threads don't see each other's.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables that stored() writes inside, but for those to be kept, are deleted at the end: results are to be stored before."""
     mine: list[str] = []
-    _SCOPES.append(mine)
+    token = _SCOPES.set((*_SCOPES.get(), mine))
     try:
         yield
     finally:
-        _SCOPES.remove(mine)
+        _SCOPES.reset(token)
         for path in mine:
             _delete(spark, path)
 
@@ -81,8 +83,8 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(path)
+    if _SCOPES.get() and not keep:
+        _SCOPES.get()[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out

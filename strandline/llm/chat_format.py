@@ -13,13 +13,15 @@ Only DataFrame functions are used. Defined results: null roles and texts are emp
 role and text; a record of an unknown layout, or one that is no JSON object, has null turns and null formatted text, and
 unknown_layouts() counts them; a record with an empty list of turns has an empty text; rows with a null id are one
 conversation; repeated rows are repeated turns; an empty table gives no rows; columns other than those named are ignored.
-A conversation is one text and must fit into a row.
+A conversation is one text and must fit into a row; texts of any length are taken whole, but a record too long to be parsed
+(some 128 MB) fails the job and is not left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 #: What is escaped, in this order, and the letter for it; undone in the other order.
 ESCAPES = (("\\", "\\b"), ("</turn>", "\\t"), ("###", "\\h"))
@@ -39,6 +41,16 @@ LAYOUTS: dict[str, dict] = {
 TURNS = "array<struct<role string, text string>>"
 
 
+#: Bytes of a record from which on one that can't be parsed may be too long and not broken.
+_LONG = 100_000_000
+
+
+def parsed(record: Column) -> Column:
+    """A record as a variant, null where it is no JSON. A string in it may have any length (by itself the parser stops at 20 million characters)."""
+    found = F.from_json(record, VariantType(), {"maxStringLen": str((1 << 31) - 1)})
+    return F.coalesce(found, F.when(F.octet_length(record) > _LONG, F.raise_error(F.concat(F.lit("a record that can't be parsed, of bytes: "), F.octet_length(record).cast("string"))).cast(VariantType())))
+
+
 def _has(variant: Column, path: str) -> Column:
     """Whether a record has a path; of an array, whether any item has, or there is none."""
     if "[]." not in path:
@@ -51,7 +63,7 @@ def _has(variant: Column, path: str) -> Column:
 def field_paths(record: Column, layouts: dict[str, dict] | None = None) -> Column:
     """The paths of a JSON object that any layout names, in order; null for anything else."""
     every = sorted({p for layout in (layouts or LAYOUTS).values() for p in layout["paths"]})
-    variant = F.try_parse_json(record)
+    variant = parsed(record)
     found = F.array_compact(F.array(*[F.when(_has(variant, p), F.lit(p)) for p in every]))
     return F.when(F.schema_of_variant(variant).startswith("OBJECT<"), F.array_join(found, ","))
 
@@ -64,7 +76,7 @@ def unknown_layouts(records: DataFrame, record_col: str = "record", layouts: dic
     """fields (the tree of field names and types, null where a record is no JSON), fingerprint, n: the records that no layout takes."""
     known = [F.xxhash64(F.lit(",".join(layout["paths"]))) for layout in (layouts or LAYOUTS).values()]
     own = fingerprint(F.col(record_col), layouts)
-    return records.where(~own.isin(*known)).groupBy(F.schema_of_variant(F.try_parse_json(F.col(record_col))).alias("fields"), own.alias("fingerprint")).agg(F.count("*").alias("n"))
+    return records.where(~own.isin(*known)).groupBy(F.schema_of_variant(parsed(F.col(record_col))).alias("fields"), own.alias("fingerprint")).agg(F.count("*").alias("n"))
 
 
 def _turn(role_field: str, text_field: str, others: dict[str, str]):
@@ -79,7 +91,7 @@ def _turn(role_field: str, text_field: str, others: dict[str, str]):
 
 def canonical_turns(record: Column, layouts: dict[str, dict] | None = None) -> Column:
     """Turns of a record by the mapping that its fingerprint selects."""
-    seen, variant = fingerprint(record, layouts), F.try_parse_json(record)
+    seen, variant = fingerprint(record, layouts), parsed(record)
     text = lambda path: F.coalesce(F.variant_get(variant, f"$.{path}", "string"), F.lit(""))
     out = F.lit(None).cast(TURNS)
     for layout in (layouts or LAYOUTS).values():

@@ -229,20 +229,36 @@ def test_quality_measures_and_estimation(spark, docs):
     # The same estimation in plain Python.
     n_rules = len(quality_rules.RULES)
     votes = [[(0, 1, -1)[r.votes >> 2 * k & 3] for k in range(n_rules)] for r in judged]
-    prior, acc = 0.5, [0.8] * n_rules
+    low, high = quality_rules.LOW, quality_rules.HIGH
+    prior, good, bad = quality_rules.PRIOR, [quality_rules.ON_GOOD] * n_rules, [quality_rules.ON_BAD] * n_rules
+
+    def odds_of(v):
+        return math.log(prior / (1 - prior)) + sum(math.log(a / (1 - b)) if x > 0 else math.log((1 - a) / b) for x, a, b in zip(v, good, bad, strict=True) if x)
+
     for _ in range(quality_rules.ROUNDS):
-        p = [1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, acc, strict=True))))) for v in votes]
+        p = [1 / (1 + math.exp(-odds_of(v))) for v in votes]
         prior = min(0.99, max(0.01, sum(p) / len(p)))
         for k in range(n_rules):
             cast = [(v[k], q) for v, q in zip(votes, p, strict=True) if v[k]]
-            acc[k] = min(0.99, max(0.51, sum(q if x > 0 else 1 - q for x, q in cast) / len(cast))) if cast else 0.8
+            good[k] = min(high, max(low, sum(q for x, q in cast if x > 0) / sum(q for _, q in cast))) if cast else quality_rules.ON_GOOD
+            bad[k] = min(high, max(low, sum(1 - q for x, q in cast if x < 0) / sum(1 - q for _, q in cast))) if cast else quality_rules.ON_BAD
+            bad[k] = max(bad[k], 1 - good[k])
     for r, v in zip(judged, votes, strict=True):
-        odds = math.log(prior / (1 - prior)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, acc, strict=True))
+        odds = odds_of(v)
         assert r.posterior == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9)
         assert r.kept == (not r.base_failed and r.posterior >= 0.5)
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_posterior_against_labels(spark):
+    """No label is used: what the rules find out by themselves agrees with labels of quality."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.judge(docs).join(labels, "doc_id").select("quality", "kept", "base_failed", "posterior").collect()
+    good, bad = [[r for r in rows if r.quality == q and not r.base_failed] for q in (1, 0)]
+    assert sum(r.kept for r in good) > 0.99 * len(good) > 1000
+    assert sum(r.kept for r in bad) < 0.05 * len(bad) and len(bad) > 100
+
+
 def test_quality_windows_survive_clashing_hashes(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "_PLACE_BITS", 62)  # two bits of hash are left
     rows = [(1, "a b c d e f g a b c x y z"), (2, "q w e r t y u i o p")]
@@ -270,6 +286,28 @@ def test_chat_round_trip(spark):
     assert chat_format.format_records(chat_format.as_records(rows.limit(0)), "conv_id").count() == 0
 
 
+def test_chat_with_very_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    word = F.repeat(F.lit('say "x"\\\n'), 2_500_000)  # 25 MB, more once it is escaped
+    rows = spark.range(5).select((F.col("id") > 1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") < 3, word).otherwise("short").alias("text"))
+    got = {r.conv_id: r for r in chat_format.digest(chat_format.format_records(chat_format.as_records(rows), "conv_id")).collect()}
+    text = 'say "x"\\\n' * 2_500_000
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got[0].n_turns == 2 and got[0].loss_chars == len(text) and got[0].loss_sha256 == sha(text)
+    assert got[1].n_turns == 3 and got[1].turns_sha256 == sha(f"user\n{text}\nassistant\nshort\nuser\nshort\n")
+
+
+def test_chat_record_too_long_to_be_parsed(spark, monkeypatch):
+    """What may have been too long is an error, never a null."""
+    monkeypatch.setattr(chat_format, "_LONG", 1000)
+    records = spark.createDataFrame([('{"prompt": "' + "x" * 500,), ('{"prompt": "' + "x" * 2000,)], "record string")
+    turns = chat_format.canonical_turns(records.record).alias("t")
+    assert records.limit(1).select(turns).collect()[0].t is None
+    with pytest.raises(Exception, match="can't be parsed"):
+        records.select(turns).collect()
+
+
 def test_chat_layouts_by_fingerprint(spark):
     records = ['{"prompt": "p", "response": "r"}', '{"response": null, "prompt": "p"}', '{"instruction": "i", "input": 3, "output": "o"}', '{"messages": [{"role": "user", "content": "a"}, {"content": "b", "role": "assistant"}]}', '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}', '{"other": 1}', "[1]", "no json", None, '{"id": 7, "prompt": "p", "response": "r", "tags": [{"role": 1}]}', '{"messages": [], "source": "s"}', '{"source": {"role": "x"}, "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}]}', '{"prompt": "p", "completion": "c"}', '{"system": "s", "prompt": "p", "response": "r"}', '{"instruction": "i", "output": "o"}', '{"prompt": "p", "response": "r", "messages": []}', '{"messages": 3}']
     df = spark.createDataFrame([(k, r) for k, r in enumerate(records)], "id long, record string")
