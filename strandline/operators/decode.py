@@ -201,27 +201,38 @@ def stabilise(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes:
 
     algo: `viterbi` decodes the whole sequence; `stable` smooths states, absorbs short ones and finds bouts by hysteresis.
     """
-    at = {c: k for k, c in enumerate(classes)}
-    events = [e for e in (params.scratch, params.shake) if e in at]
-    states = [(c, at[c]) for c in classes if c not in events]
-    p = {e: F.col("probs")[at[e]] for e in events}
     out = islands.with_zone(df, keys, order, "ts_ms", window_ms, stride_ms, centre)
     if algo == "viterbi":
         out = viterbi(out, keys, order, classes, params.switch_cost)
+    elif algo != "stable":
+        raise ValueError(f"algo {algo}")
+    return settle(out, keys, order, classes, params, algo, spec).select(*df.columns, "z0", "z1", "final")
+
+
+def _kinds(classes: Sequence[str], params: StableParams) -> tuple[list[str], list[tuple[str, int]]]:
+    """The classes that are events, and the others with their places in probs."""
+    events = [e for e in (params.scratch, params.shake) if e in classes]
+    return events, [(c, k) for k, c in enumerate(classes) if c not in events]
+
+
+def settle(out: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], params: StableParams = StableParams(), algo: str = "viterbi", spec: str | None = None) -> DataFrame:
+    """out (with z0, z1, label, probs, and for viterbi decoded) with the final label of every window."""
+    events, states = _kinds(classes, params)
+    p = {e: F.col("probs")[list(classes).index(e)] for e in events}
+    names = out.columns
+    if algo == "viterbi":
         state = F.when(~F.col("decoded").isin(events), F.col("decoded")) if events else F.col("decoded")
         out = islands.forward_fill(out, keys, order, state, "state")
         out = out.withColumn("state", F.coalesce("state", F.lit(states[0][0] if states else "")))
         flags = {e: F.col("decoded") == e for e in events}
         shaken = (F.col("label") == params.shake) | (F.col("decoded") == params.shake)
-    elif algo == "stable":
+    else:
         out = islands.moving_state(out, keys, order, "probs", states, params.smooth_windows, "_smooth")
         out = absorb_short_runs(out, keys, order, "_smooth", params.min_state_ms, "state").drop("_smooth")
         for e in events:
             out = islands.hysteresis(out, keys, order, p[e], params.enter, params.stay, f"_in_{e}")
         flags = {e: F.col(f"_in_{e}") for e in events}
         shaken = F.col("label") == params.shake
-    else:
-        raise ValueError(f"algo {algo}")
     for e in events:
         out = out.withColumn(f"_{e}", flags[e])
     for e in events:
@@ -239,7 +250,7 @@ def stabilise(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes:
     final = F.col("state")
     for e in reversed(events):
         final = F.when(F.col(f"_{e}"), e).otherwise(final)
-    return out.withColumn("final", final).select(*df.columns, "z0", "z1", "final")
+    return out.withColumn("final", final).select(*names, "final")
 
 
 def segments(stable: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], spec: str | None = None) -> DataFrame:
