@@ -51,12 +51,18 @@ def plain_near(rows):
     for i in range(len(rows)):
         for j in range(i):
             linked = rows[i][0] is not None and rows[j][0] is not None
-            if linked and (rows[i][0] == rows[j][0] or sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])):
+            if linked and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
+    # The first rows of ids by id, then the others.
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
+    seen, place = set(), {}
+    for r in order:
+        place[id(r)] = (r[0] in seen, r[0], r[1] or "")
+        seen.add(r[0])
     stay = {}
     for r, g in zip(rows, group, strict=True):
-        if r[0] is not None and (g not in stay or r[0] < stay[g][0]):
+        if r[0] is not None and (g not in stay or place[id(r)] < place[id(stay[g])]):
             stay[g] = r
     return list(stay.values()) + [r for r in rows if r[0] is None]
 
@@ -97,6 +103,7 @@ def test_stages_and_run_agree_with_plain_versions(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert len({r[0] for r in wants[-1]}) == len(wants[-1])
     ids = {str(r[0]): [*tokenizer.encode(r[1], add_special_tokens=False).ids, 0] for r in wants[-1]}
     pieces = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     got, filled = {}, {}
@@ -117,7 +124,7 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
     more = (1.5, "mine", True, "x", "r", 7, 8, "m", "s", "w", "k", {"a": 1})
     texts = [" ".join(f"w{j}x{k}." for j in range(80)) for k in range(3)] + [" ".join([*(f"w{j}x0." for j in range(60)), *(f"q{j}." for j in range(60))])]
     rows = [(k, t, "en", "web", len(t), *more) for k, t in enumerate(texts)]
-    # One id twice, with texts of its own; the first by text stays. A null id stays as well.
+    # One id twice, with texts of its own: both stay, as they do not link. A null id stays as well.
     rows += [(9, "zz " + texts[1].replace("x1", "y"), "en", "web", 1, *more), (9, "aa " + texts[1].replace("x1", "v"), "en", "web", 1, *more), (None, texts[0], "en", "web", 5, *more)]
     df = spark.createDataFrame(rows, SCHEMA + ", " + extra)
     for name, stage in corpus_pipeline.STAGES[:3]:
@@ -126,8 +133,18 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
         got = df.collect()
         assert all(tuple(r)[5:] == more for r in got), name
         ids = sorted(str(r.doc_id) for r in got)
-        assert ids == (["0", "1", "2", "3", "9", "9", "None"] if name == "quality_rules" else ["0", "1", "2", "3", "9", "None"]), name
-    assert {r.doc_id: r.text[:2] for r in got}[9] == "aa"
+        assert ids == ["0", "1", "2", "3", "9", "9", "None"], name
+    assert sorted(r.text[:2] for r in got if r.doc_id == 9) == ["aa", "zz"]
     assert {r.doc_id: (r.n_chars, len(r.text)) for r in got}[3][0] == {r.doc_id: len(r.text) for r in got}[3] < len(texts[3])
     packed = corpus_pipeline.STAGES[3][1](spark, df, "")
-    assert packed.where("doc_id = 9").count() == 1
+    assert packed.where("doc_id = 9").count() == 2
+
+
+def test_rows_of_one_id_that_do_not_link_stay(spark):
+    text = [" ".join(f"w{j}x{k}" for j in range(60)) for k in range(4)]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (2, text[1]), (2, text[2]), (3, text[2]), (3, None), (4, text[3]), (4, text[3]), (None, text[3])]
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = sorted((str(r.doc_id), r.text or "") for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert got == sorted([("1", text[0]), ("2", text[1]), ("2", text[2]), ("3", ""), ("4", text[3]), ("None", text[3])])
+    # Without a column n_chars as well.
+    assert corpus_pipeline.repeated_passages(spark, docs, "").columns == docs.columns
