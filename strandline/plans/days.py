@@ -45,9 +45,11 @@ def device_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {EV_SQL} select event_id, device_id, ts_ms from ev where ts_ms > case when device_id % 3 = 0 then {SPLIT} else 0 end")
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after each device's mark; a third of the devices has one."""
-    e = domain.events(spark, sf_dir)
-    marks = e.where("device_id % 3 = 0").select("device_id").distinct().withColumn("last_processed_ts", F.lit(SPLIT))
-    return readers.after(e, marks, "device_id", "ts_ms").select("event_id", "device_id", "ts_ms")
+    raw = domain.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("device_id"), "ts")
+    every = domain.devices(spark, sf_dir).select("device_id")
+    marks = every.where("device_id % 3 = 0").withColumn("last_processed_ts", F.timestamp_millis(F.lit(SPLIT)).cast(raw.schema["ts"].dataType))
+    found = readers.after(raw, marks, "device_id", "ts", devices=every)
+    return found.select("event_id", "device_id", times.millis(F.col("ts")).alias("ts_ms"))
 
 
 @query("select event_id, user_id as device_id, value from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-09'")

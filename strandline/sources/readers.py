@@ -18,10 +18,22 @@ def serial(column: Column) -> Column:
     return F.replace(column, F.lit(":"), F.lit("_"))
 
 
-def after(df: DataFrame, marks: DataFrame, key: str, ts: str, mark: str = "last_processed_ts") -> DataFrame:
-    """Rows later than their device's mark; devices without a mark give all. Marks are a row a device, and are joined as their size allows."""
-    joined = df.join(marks.select(key, mark), key, "left")
-    return joined.where(F.col(ts) > F.coalesce(mark, F.lit(0))).drop(mark)
+def after(df: DataFrame, marks: DataFrame, key: str, ts: str, mark: str = "last_processed_ts", devices: DataFrame | None = None) -> DataFrame:
+    """Rows later than their device's mark; devices without a mark give all. Marks are a row a device, and are joined as their size allows.
+
+    With devices (a row each of all that there are) the scan for devices with a mark begins at the earliest mark, which
+    reaches the files' statistics and partitions; everything is scanned only where there are devices without one, for those.
+    """
+    marks = marks.select(key, mark).where(F.col(mark).isNotNull())
+    if devices is None:
+        joined = df.join(marks, key, "left")
+        return joined.where(F.col(mark).isNull() | (F.col(ts) > F.col(mark))).drop(mark)
+    new = devices.select(key).join(marks, key, "left_anti")
+    low = marks.agg(F.min(mark)).first()[0]
+    if low is None:
+        return df.join(new, key, "left_semi")
+    later = df.where(F.col(ts) > F.lit(low)).join(marks, key).where(F.col(ts) > F.col(mark)).select(*df.columns)
+    return later if new.isEmpty() else later.unionByName(df.join(new, key, "left_semi").select(*df.columns))
 
 
 def between(df: DataFrame, ts: str, begin: object, end: object) -> DataFrame:

@@ -72,6 +72,12 @@ def test_readers(spark, tmp_path):
     env = spark.createDataFrame([("a", 1, "1.5", None, "x"), ("a", 2, "2.5", "", "36"), ("b", 1, "x", "", None)], "device_sn string, ts_ms long, env_temp string, env_humidity string, neck_temp string")
     marks = spark.createDataFrame([("a", 1)], "device_sn string, last_env_ts long")
     assert [tuple(r) for r in readers.environment_after(env, marks).collect()] == [("a", 2, 2.5, None, 36.0)]
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("b", 1, 6), ("c", 3, 7)], "device_sn string, ts_ms long, x int")
+    for every in (None, spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "device_sn string"), spark.createDataFrame([("a",)], "device_sn string")):
+        for known in ([("a", 1)], [], [("a", 9), ("b", 1), ("c", 2), ("d", 4)]):
+            marks = spark.createDataFrame(known, "device_sn string, last_processed_ts long")
+            want = [(s, t) for s, t in (("a", 1), ("a", 2), ("b", 1), ("c", 3)) if t > dict(known).get(s, 0) and (every is None or every.count() > 1 or s in ("a", *dict(known)))]
+            assert sorted((r.device_sn, r.ts_ms) for r in readers.after(rows, marks, "device_sn", "ts_ms", devices=every).collect()) == want
     body = json.dumps({"samples": [{"ts": 2, "ax": 1}, {"ts": 1, "ax": 3}]})
     rows = readers.request(spark.createDataFrame([(1, body), (2, "{}")], "id long, body string"), "body").collect()
     assert [(r.id, r.sample, r.ts_ms, r.ax) for r in rows] == [(1, 0, 1, 3.0), (1, 1, 2, 1.0)]
