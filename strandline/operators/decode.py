@@ -290,10 +290,9 @@ def candidates(df: DataFrame, found: DataFrame, keys: Sequence[str], order: Sequ
 
 def refine(segments_df: DataFrame, params: StableParams = StableParams()) -> DataFrame:
     """Segments with start and end moved to where energy rises and falls. Columns t0_ms, hz and energy hold the envelope around."""
-    margin = int(round(params.refine_margin_s * 10)) / 10
     df = segments_df.withColumn("_n", F.size("energy"))
     place = lambda c: F.bround((F.col(c) - F.col("t0_ms")) / 1000.0 * F.col("hz"), 0).cast("int")
-    df = df.withColumn("_s", place("start_ms")).withColumn("_e", place("end_ms")).withColumn("_m", F.bround(F.lit(margin) * F.col("hz"), 0).cast("int"))
+    df = df.withColumn("_s", place("start_ms")).withColumn("_e", place("end_ms")).withColumn("_m", F.bround(F.lit(params.refine_margin_s) * F.col("hz"), 0).cast("int"))
     inner = F.expr("array_sort(slice(energy, greatest(0, _s) + 1, greatest(0, least(_n, _e) - greatest(0, _s))))")
     df = df.withColumn("_inner", inner).withColumn("_limit", F.when(F.size("_inner") > 0, F.col("_inner")[F.expr("size(_inner) div 2")] * params.refine_ratio))
     reach = "filter(if(least(_n - 1, {0} + _m) >= greatest(0, {0} - _m), sequence(greatest(0, {0} - _m), least(_n - 1, {0} + _m)), array()), i -> energy[i] >= _limit)"

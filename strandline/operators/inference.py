@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +22,15 @@ def by_local_day(readings: DataFrame, zone: Column, ts: str = "ts_ms") -> DataFr
     return readings.withColumn("day_ts", times.local_midnight(F.col(ts), zone))
 
 
-def classified_windows(readings: DataFrame, model, classes: Sequence[str], meta: dict, device_hz: float, keys: Sequence[str] = ("device_id", "day_ts"), ts: str = "ts_ms", acc_unit: str = "ms2", gyro_unit: str = "dps", layout: int = 193, chosen: Sequence[int] | None = None, minimum: float = 0.0, pause_ms: int = 2000) -> DataFrame:
+def classified_windows(readings: DataFrame, model, classes: Sequence[str], meta: dict, device_hz: float, keys: Sequence[str] = ("device_id", "day_ts"), ts: str = "ts_ms", acc_unit: str = "ms2", gyro_unit: str = "dps", layout: int | None = None, chosen: Sequence[int] | None = None, minimum: float = 0.0, pause_ms: int = 2000) -> DataFrame:
     """keys, part_ms, idx, ts_ms, probs by classes, label and confidence of each full window of readings (keys, ts, the channels).
 
     part_ms is the time of the first reading after a pause of over pause_ms; idx begins anew with each.
 
     meta says the model's rate and windows (see signal.geometry) and its units acc_unit and gyro_unit, by default m/s² and
-    degrees a second; layout and chosen say which features it takes.
+    degrees a second. model is an object with predict_proba, or a fitted pipeline of models.py, which has all steps from
+    windows to classes. Which features it takes follows from the model and meta (see signal.layout_of) unless layout and
+    chosen say so.
     """
     shape = signal.geometry(meta, device_hz)
     scaled = units.scale(readings, acc_unit, gyro_unit, model_acc_unit=meta.get("acc_unit", "ms2"), model_gyro_unit=meta.get("gyro_unit", "dps"))
@@ -38,8 +41,13 @@ def classified_windows(readings: DataFrame, model, classes: Sequence[str], meta:
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1
         samples = scaled.select(*keys, number.alias("sample"), *signal.CHANNELS)
     windows = signal.window_arrays(islands.sliding_windows(samples, keys, ["sample"], shape["window"], shape["step"]), keys)
-    vectors = signal.features(windows, shape["hz"], layout, chosen=chosen)
-    found = signal.classify(vectors, model, classes, minimum).withColumnRenamed("window_idx", "idx")
+    if isinstance(model, Transformer):
+        found = model.transform(windows)
+    else:
+        if layout is None:
+            layout, chosen = signal.layout_of(model, meta)
+        found = signal.classify(signal.features(windows, shape["hz"], layout, chosen=chosen), model, classes, minimum)
+    found = found.withColumnRenamed("window_idx", "idx")
     return found.withColumn("ts_ms", F.col("part_ms") + F.floor(F.col("idx") * shape["step"] * 1000.0 / shape["hz"]).cast("long"))
 
 

@@ -200,6 +200,30 @@ def features(windows: DataFrame, hz: float, length: int = 193, channels: Sequenc
     return windows.mapInPandas(run, schema)
 
 
+def layout_of(model: object, meta: dict | None = None) -> tuple[int, list[int] | None]:
+    """Which vector a model takes, and which places of it: from its own number of features (n_features_in_ or numFeatures) and the feature_select of its metadata.
+
+    feature_select (indices, from_dim) is of models that were trained on some values of a longer vector: then from_dim
+    tells the vector. A model that doesn't say takes the longest one. What fits no layout, or not together, raises ValueError.
+    """
+    expected = getattr(model, "n_features_in_", getattr(model, "numFeatures", None))
+    said = (meta or {}).get("feature_select")
+    if not said:
+        length, chosen = max(LAYOUTS) if expected is None else int(expected), None
+    else:
+        try:
+            chosen, length = [int(k) for k in said["indices"]], int(said["from_dim"])
+        except (KeyError, TypeError, ValueError) as e:
+            raise ValueError(f"feature_select needs indices and from_dim: {e}") from e
+        if not chosen or min(chosen) < 0 or max(chosen) >= length:
+            raise ValueError("feature_select has places outside of its vector, or none")
+        if expected is not None and int(expected) != len(chosen):
+            raise ValueError(f"the model takes {expected} values, and feature_select gives {len(chosen)}")
+    if length not in LAYOUTS:
+        raise ValueError(f"no feature vector of {length}; known: {sorted(LAYOUTS)}")
+    return length, chosen
+
+
 def window_arrays(samples: DataFrame, keys: Sequence[str], index: str = "window_idx", position: str = "position", channels: Sequence[str] = CHANNELS) -> DataFrame:
     """Rows of sliding_windows() as one row a window with an array a channel."""
     each = F.array_sort(F.collect_list(F.struct(position, *channels)))
