@@ -31,6 +31,7 @@ class StableParams:
     enter: float = 0.5
     stay: float = 0.25
     gap_ms: int = 4000
+    shake_gap_ms: int = 3000
     min_windows: int = 2
     min_mean: float = 0.45
     single: float = 0.85
@@ -190,9 +191,17 @@ def _kept(df: DataFrame, keys: Sequence[str], flag: str, bout: str, p: Column, p
     return df.withColumn(flag, F.col(flag) & F.coalesce(keep, F.lit(False)))
 
 
-def _bouts(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, name: str, params: StableParams) -> DataFrame:
-    """A number for each bout of flag; windows without it have numbers as well."""
-    apart = F.coalesce(F.col("z0") - F.lag("z1").over(islands.ordered(keys, order)), F.lit(0))
+def _apart(keys: Sequence[str], order: Sequence[str]) -> Column:
+    """How far the zone of a window is from that of the window before."""
+    return F.coalesce(F.col("z0") - F.lag("z1").over(islands.ordered(keys, order)), F.lit(0))
+
+
+def _bouts(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, name: str, params: StableParams, whole: str | None = None) -> DataFrame:
+    """A number for each bout of flag; windows without it have numbers as well. Zones too far apart end a bout, but not within a run of `whole` (a flag), which hysteresis has found as one."""
+    apart = _apart(keys, order)
+    if whole:
+        w = islands.ordered(keys, order)
+        apart = F.when(F.col(whole) & F.coalesce(F.lag(whole).over(w), F.lit(False)), F.lit(0)).otherwise(apart)
     return islands.with_run(df, keys, order, F.col(flag), (apart, F.lit(params.gap_ms)), name=name)
 
 
@@ -233,19 +242,20 @@ def settle(out: DataFrame, keys: Sequence[str], order: Sequence[str], classes: S
             out = islands.hysteresis(out, keys, order, p[e], params.enter, params.stay, f"_in_{e}")
         flags = {e: F.col(f"_in_{e}") for e in events}
         shaken = F.col("label") == params.shake
+    whole = lambda e: f"_in_{e}" if algo == "stable" else None
     for e in events:
         out = out.withColumn(f"_{e}", flags[e])
     for e in events:
         out = islands.fill_gaps(out, keys, order, f"_{e}", params.gap_ms)
     if set(events) == {params.scratch, params.shake}:
         # A bout of shaking is judged as one, also where scratching takes windows out of its middle.
-        out = _bouts(out, keys, order, f"_{params.shake}", f"_bout_{params.shake}", params)
-        out = islands.absorb(out, keys, order, f"_{params.scratch}", F.coalesce(shaken, F.lit(False)))
+        out = _bouts(out, keys, order, f"_{params.shake}", f"_bout_{params.shake}", params, whole(params.shake))
+        out = islands.absorb(out, keys, order, f"_{params.scratch}", F.coalesce(shaken, F.lit(False)), (_apart(keys, order), F.lit(params.shake_gap_ms)))
         out = islands.fill_gaps(out, keys, order, f"_{params.scratch}", params.gap_ms)
         out = out.withColumn(f"_{params.shake}", F.col(f"_{params.shake}") & ~F.col(f"_{params.scratch}"))
     for e in events:
         if f"_bout_{e}" not in out.columns:
-            out = _bouts(out, keys, order, f"_{e}", f"_bout_{e}", params)
+            out = _bouts(out, keys, order, f"_{e}", f"_bout_{e}", params, whole(e))
         out = _kept(out, keys, f"_{e}", f"_bout_{e}", p[e], params, spec if e == params.scratch else None)
     final = F.col("state")
     for e in reversed(events):

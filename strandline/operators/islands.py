@@ -143,9 +143,9 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: st
     return df.withColumn(flag, F.col(flag) | F.coalesce(after - before <= gap_ms, F.lit(False)))
 
 
-def absorb(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, other: Column) -> DataFrame:
-    """Rows of `other` that touch flagged ones, directly or through each other, are flagged as well."""
-    runs = with_run(df, keys, order, F.col(flag) | other, name="_run")
+def absorb(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, other: Column, gap: tuple[Column, Column] | None = None) -> DataFrame:
+    """Rows of `other` that touch flagged ones, directly or through each other, are flagged as well. gap: (distance to the row before, most) at which rows still touch."""
+    runs = with_run(df, keys, order, F.col(flag) | other, gap, name="_run")
     any_flag = F.max(F.col(flag).cast("int")).over(Window.partitionBy(*keys, "_run")) == 1
     return runs.withColumn(flag, (F.col(flag) | other) & any_flag).drop("_run")
 

@@ -306,7 +306,27 @@ def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.viterbi(domain.windows(spark, sf_dir), SEQ, ORDER, CLASSES).select(*SEQ, "idx", "label", "decoded")
 
 
-@query()
+def _absorbed(source: str, least: int) -> str:
+    """CTEs that end in `absorbed`: source (idx, z0, z1, lab) with the label of each window once short runs are gone, one merge a step."""
+    size = "list_transform(runs, lambda x: x.b - x.a)"
+    return f"""ru as (
+  select *, sum(case when lab is distinct from plab then 1 else 0 end) over (partition by device_id, stretch order by idx) as r from (select *, lag(lab) over (partition by device_id, stretch order by idx) as plab from {source})
+), rl as (
+  select device_id, stretch, list(struct_pack(l := l, a := a, b := b, n := n) order by r) as runs from (select device_id, stretch, r, any_value(lab) as l, min(z0) as a, max(z1) as b, count(*) as n from ru group by device_id, stretch, r) group by device_id, stretch
+), ab as (
+  select device_id, stretch, runs, 0 as step from rl
+  union all
+  select device_id, stretch, list_concat(list_concat(list_slice(runs, 1, lo - 1), [struct_pack(l := lab, a := runs[lo].a, b := runs[hi].b, n := cast(list_sum(list_transform(list_slice(runs, lo, hi), lambda x: x.n)) as bigint))]), list_slice(runs, hi + 1, len(runs))), step + 1
+  from (select *, case when k > 1 and runs[k - 1].l = lab then k - 1 else k end as lo, case when k < len(runs) and runs[k + 1].l = lab then k + 1 else k end as hi
+    from (select *, case when k = 1 or k < len(runs) and runs[k + 1].b - runs[k + 1].a > runs[k - 1].b - runs[k - 1].a then runs[k + 1].l else runs[k - 1].l end as lab
+      from (select *, list_position({size}, list_min({size})) as k from ab where len(runs) > 1 and list_min({size}) < {least})))
+), un as (
+  select device_id, stretch, x.l as absorbed, sum(x.n) over (partition by device_id, stretch order by j) as upto, x.n as n
+  from (select device_id, stretch, unnest(runs) as x, generate_subscripts(runs, 1) as j from (select device_id, stretch, arg_max(runs, step) as runs from ab group by 1, 2))
+), absorbed as (select s.*, un.absorbed from {source} s join un on un.device_id = s.device_id and un.stretch = s.stretch and s.idx < un.upto and s.idx >= un.upto - un.n)"""
+
+
+@query(f"with recursive {WINDOWS_SQL}, zo as (select *, label as lab, {_ZONES} from win), {_absorbed('zo', 3000)} select device_id, stretch, idx, label, absorbed from absorbed")
 def absorb_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of under three seconds taken over by their neighbours."""
     w = islands.with_zone(domain.windows(spark, sf_dir), SEQ, ORDER, "ts_ms", 2000, 1000)
@@ -328,7 +348,15 @@ def stabilise_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(_stable(spark, sf_dir, "viterbi"))
 
 
-@query()
+@query(f"""with recursive {WINDOWS_SQL}, zo as (
+  select device_id, stretch, idx, ts_ms, label, [p_scratch, p_active, p_sleep, p_shake] as p, {_ZONES}, case when avg(p_active) over k >= avg(p_sleep) over k then 'active' else 'sleep' end as lab
+  from win window k as (partition by device_id, stretch order by idx rows between 3 preceding and 3 following)
+), {_absorbed('zo', 10000)}, hy as (
+  select *, {_RUN.format("p[1] >= 0.25", "c")} as c_run, {_RUN.format("p[4] >= 0.25", "h")} as h_run from (select *, lag(p[1] >= 0.25) over w as c, lag(p[4] >= 0.25) over w as h from absorbed window w as (partition by device_id, stretch order by idx))
+), flags as (
+  select device_id, stretch, idx, ts_ms, label, p, z0, z1, absorbed as state, label = 'shake' as shaken, p[1] >= 0.25 and max(case when p[1] >= 0.5 then 1 else 0 end) over (partition by device_id, stretch, c_run order by idx) = 1 as sc,
+    p[4] >= 0.25 and max(case when p[4] >= 0.5 then 1 else 0 end) over (partition by device_id, stretch, h_run order by idx) = 1 as sh from hy
+), {_PAINT} {_SEGMENTS}""")
 def stabilise_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments after smoothing and hysteresis."""
     return _segments(_stable(spark, sf_dir, "stable"))

@@ -336,3 +336,26 @@ def test_groups_in_pandas_keep_nulls(spark):
     df = pd.DataFrame({"d": [1, 1], "idx": [1, 0], "x": [2.0, 4.0]})
     out = signal.resample(spark.createDataFrame(df), ["d"], "idx", 2.0, 4.0, ("x",)).collect()
     assert [(r.sample, r.x) for r in sorted(out, key=lambda r: r.sample)] == [(0, 4.0), (1, 3.0)]
+
+
+def test_centre_zones_and_gaps(spark):
+    """Zones around centres leave gaps: one within a hysteresis bout ends nothing, and a shake over three seconds away is not taken in."""
+    from strandline.operators import decode
+
+    classes = ("scratch", "active", "shake")
+    p = {"s": [0.9, 0.05, 0.05], "a": [0.1, 0.85, 0.05], "h": [0.1, 0.1, 0.8]}
+    name = {"s": "scratch", "a": "active", "h": "shake"}
+
+    def final(text, times, algo):
+        rows = [(1, k, t, name[c], p[c]) for k, (c, t) in enumerate(zip(text, times, strict=True))]
+        df = spark.createDataFrame(rows, "d long, idx long, ts_ms long, label string, probs array<double>")
+        # A single sure window is no bout of its own here, so what is one bout shows.
+        params = decode.StableParams(single=2.0, smooth_windows=1, min_state_ms=0)
+        out = decode.stabilise(df, ("d",), ("idx",), classes, 1000, 500, params, algo, centre=True)
+        return "".join({"scratch": "s", "active": "a", "shake": "h"}[r.final] for r in out.orderBy("idx").collect())
+
+    near, far = [0, 500, 1000, 1500, 2000, 2500], [0, 500, 1000, 7000, 7500, 8000]
+    assert final("aassaa", [0, 500, 1000, 7000, 7500, 8000], "stable") == "aassaa"  # one hysteresis run
+    assert final("aassaa", [0, 500, 1000, 7000, 7500, 8000], "viterbi") == "aaaaaa"  # two bouts of one window each
+    assert final("assh" + "aa", near, "stable") == "asssaa" and final("assh" + "aa", [0, 500, 1000, 5000, 5500, 6000], "stable")[3] != "s"
+    assert final("aasshh", far[:2] + [6000, 6500, 7000, 7500], "viterbi") == "aassss"
