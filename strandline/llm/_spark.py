@@ -74,13 +74,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again: later steps neither recompute it nor depend on the executors that did."""
+def stored(df: DataFrame, name: str, keep: bool = False, **options: object) -> DataFrame:
+    """df, written to the shared folder as Parquet and read again: later steps neither recompute it nor depend on the executors that did. options: of the writer."""
     spark = df.sparkSession
     path, before = scratch(spark, name), spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     if _SCOPES.get() and not keep:

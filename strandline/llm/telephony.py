@@ -6,6 +6,10 @@ before within their block only, so numpy decodes the k-th sample of all blocks o
 Resampling is linear interpolation in whole numbers; to a lower rate the samples pass a windowed-sinc low-pass first, so
 that what the new rate can't hold is not folded back.
 
+The resampled samples are stored without loss, but not twice what can be told: at twice the rate every second sample is the mean of
+its neighbours, so the others are stored, and what the second ones differ from that mean where they do. Each codec's samples
+have a column of their own, as samples of one kind compress better together. What is read back are all samples.
+
 Defined results: a null payload is an empty one; bytes after the last whole ADPCM block are no samples; a file that is
 no WAV file of these codecs raises ValueError; rows with one id or a null id, and repeated rows, each stay a row; a text
 of any length is one file, and files are expanded about 2 MB at a time; an empty table gives no rows. Columns other than
@@ -22,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,7 +158,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(files, pa.binary())})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(source.mapInArrow(make, "doc_id long, n_bytes long, media binary"), "media")
+    return stored(source.mapInArrow(make, "doc_id long, n_bytes long, media binary"), "media", **_WRITER)
 
 
 def expand(files: list[bytes]) -> list[tuple[int, memoryview, int, np.ndarray]]:
@@ -182,11 +187,28 @@ def feature(codec: int, pcm: np.ndarray) -> str:
     return f"codec={NAMES[codec]};samples={len(pcm)};peak={peak};energy={energy};crossings={crossings}"
 
 
+def packed(pcm: np.ndarray) -> tuple[bytes, bytes | None]:
+    """16-bit samples as every second one, and the differences of the others from the mean of their neighbours (rounded down; the last sample is held), None where there are none."""
+    even, odd = pcm[::2].astype(np.int32), pcm[1::2].astype(np.int32)
+    rest = odd - ((even + np.append(even[1:], even[-1:])) >> 1)[: len(odd)]
+    return even.astype("<i2").tobytes(), rest.astype("<i4").tobytes() if rest.any() or len(odd) != len(even) else None
+
+
+def unpacked(even: bytes, rest: bytes | None) -> np.ndarray:
+    """The samples that packed() took; without differences there are as many second samples as first ones."""
+    first = np.frombuffer(even, "<i2").astype(np.int32)
+    mean = (first + np.append(first[1:], first[-1:])) >> 1
+    second = mean if rest is None else (more := np.frombuffer(rest, "<i4")) + mean[: len(more)]
+    out = np.empty(len(first) + len(second), "<i2")
+    out[::2], out[1::2] = first, second
+    return out
+
+
 _FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_crc32 long"
 
 
 def features(media: DataFrame, to_rate: int = 16000, with_pcm: bool = False) -> DataFrame:
-    """Digests and features of stored files; with_pcm adds pcm, the resampled 16-bit samples, as a column to store."""
+    """Digests and features of stored files; with_pcm adds the resampled 16-bit samples as packed() gives them: a column for each codec, and rest."""
     ready(media.sparkSession)
 
     def slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
@@ -200,26 +222,51 @@ def features(media: DataFrame, to_rate: int = 16000, with_pcm: bool = False) ->
         if held:
             yield first, held
 
+    def pieces(codec: int, raw: bytes) -> list[bytes | None]:
+        if not with_pcm:
+            return []
+        even, rest = packed(np.frombuffer(raw, "<i2"))
+        return [*(even if codec == c else None for c in NAMES), rest]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, files in slices(batch):
                 rows = []
                 for file, (codec, payload, rate, pcm) in zip(files, expand(files), strict=True):
                     raw = resample(pcm, rate, to_rate).astype("<i2").tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(codec, pcm), len(raw), zlib.crc32(raw), *([raw] if with_pcm else [])))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(codec, pcm), len(raw), zlib.crc32(raw), *pieces(codec, raw)))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=False)]
                 names = [x.split()[0] for x in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(files)), batch.column(1).slice(first, len(files)), *columns], names)
 
-    schema = _FEATURES + (", pcm binary" if with_pcm else "")
+    schema = _FEATURES + ("".join(f", pcm_{c} binary" for c in (*NAMES.values(), "rest")) if with_pcm else "")
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, schema)
 
 
+#: How tables of samples are written: level and bytes of a page.
+_WRITER = {"parquet.compression.codec.zstd.level": 12, "parquet.page.size": 8 << 20}
+
+
 def store_pcm(media: DataFrame, to_rate: int = 16000) -> DataFrame:
-    """features() with the resampled samples: a stored table, pcm_bytes and pcm_crc32 taken from what is read back."""
-    whole = features(media, to_rate, with_pcm=True).drop("pcm_bytes", "pcm_crc32")
-    return stored(whole, "pcm").withColumns({"pcm_bytes": F.length("pcm").cast("long"), "pcm_crc32": F.crc32("pcm")})
+    """features() with pcm, the resampled samples, from a stored table; pcm_bytes and pcm_crc32 are taken from what is read back."""
+    whole = stored(features(media, to_rate, with_pcm=True).drop("pcm_bytes", "pcm_crc32"), "pcm", **_WRITER)
+    packs = [f"pcm_{c}" for c in NAMES.values()]
+    others = [c for c in whole.columns if not c.startswith("pcm_")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Some MB at a time, so that what is unpacked is bounded.
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("even")), 0).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.append(np.flatnonzero(np.diff(sizes >> 22, prepend=0)), [0, batch.num_rows]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = batch.slice(a, b - a)
+                raw = [unpacked(x.as_py(), y.as_py()).tobytes() for x, y in zip(part.column("even"), part.column("rest"), strict=True)]
+                columns = [pa.array(map(len, raw), pa.int64()), pa.array(map(zlib.crc32, raw), pa.int64()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *columns], [*others, "pcm_bytes", "pcm_crc32", "pcm"])
+
+    held = whole.select(*others, F.coalesce(*packs).alias("even"), F.col("pcm_rest").alias("rest"))
+    return held.mapInArrow(read, f"{_FEATURES}, pcm binary")
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -490,6 +490,21 @@ def test_telephony_tables_and_blocks():
     assert (telephony.resample(np.full(100, 7, np.int16), 16_000, 8000) == 7).all()
 
 
+def test_samples_are_packed_without_loss(spark):
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 64, 1001):
+        pcm = rng.integers(-32768, 32768, n).astype("<i2")
+        assert (telephony.unpacked(*telephony.packed(pcm)) == pcm).all() and len(telephony.unpacked(*telephony.packed(pcm))) == n
+        double = telephony.resample(pcm, 8000, 16_000)
+        even, rest = telephony.packed(double)
+        assert rest is None and len(even) == len(double) and (telephony.unpacked(even, rest) == double).all()
+    # Whatever the rate, what is read back is what was resampled.
+    media = telephony.store_media(spark.createDataFrame([(k, "some text " * k) for k in range(90)], "doc_id long, text string"))
+    for rate in (8000, 11_025, 16_000, 24_000):
+        want = {r.doc_id: (r.pcm_bytes, r.pcm_crc32) for r in telephony.features(media, rate).collect()}
+        assert {r.doc_id: (r.pcm_bytes, r.pcm_crc32) for r in telephony.store_pcm(media, rate).collect()} == want
+
+
 def test_telephony_query_stores_its_samples(spark, docs, tmp_path):
     from strandline.llm._spark import shared_dir
 
@@ -499,7 +514,8 @@ def test_telephony_query_stores_its_samples(spark, docs, tmp_path):
     got = sorted(telephony.op1_telephony(spark, str(tmp_path)).select("payload_sha256", "pcm_bytes", "pcm_crc32").collect())
     new = {x.name.split("-")[0]: x for x in set(here.iterdir()) - before}
     files = [r.media for r in spark.read.parquet(str(new["media"])).collect()]
-    kept = {r.payload_sha256: r.pcm for r in spark.read.parquet(str(new["pcm"])).collect()}
+    held = spark.read.parquet(str(new["pcm"])).collect()
+    kept = {r.payload_sha256: telephony.unpacked(next(r[f"pcm_{c}"] for c in telephony.NAMES.values() if r[f"pcm_{c}"] is not None), r.pcm_rest).tobytes() for r in held}
     expected = []
     for _, payload, rate, pcm in telephony.expand(files):
         raw = telephony.resample(pcm, rate, 16000).astype("<i2").tobytes()
@@ -510,7 +526,7 @@ def test_telephony_query_stores_its_samples(spark, docs, tmp_path):
 
 
 def test_telephony_round_trip(spark, docs):
-    got = telephony.features(telephony.store_media(docs), with_pcm=True).collect()
+    got = telephony.store_pcm(telephony.store_media(docs)).collect()
     texts = {}
     for r in docs.collect():
         texts.setdefault(r.doc_id, []).append((r.text or "").encode())
