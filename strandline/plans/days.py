@@ -430,7 +430,7 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double"))
-    return domain.table(spark, sf_dir, "embeddings").select("vec_id", "label", x.alias("x"), F.slice(x, 1, 20).alias("a"), F.slice(x, 21, 20).alias("b"), F.slice(x, 41, 20).alias("c"))
+    return domain.table(spark, sf_dir, "embeddings").select("vec_id", "label", x.alias("x"), F.slice(x, 1, 22).alias("a"), F.slice(x, 22, 22).alias("b"), F.slice(x, 43, 22).alias("c"))
 
 
 _VEC = "e as (select vec_id, label, i, cast(embedding[i] as double) as x from (select *, unnest(range(1, 65)) as i from embeddings))"
@@ -449,7 +449,7 @@ def time_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", r("mean"), r("std"), s["min"].alias("low"), s["max"].alias("high"), r("rms"), r("skew", 5), r("kurtosis", 5), s["crossings"].alias("crossings"), r("iqr"), s["peaks"].alias("peaks"))
 
 
-@query(f"""with {_VEC}, p as (select a.vec_id, a.x as a, b.x as b, c.x as c from e a join e b on a.vec_id = b.vec_id and b.i = a.i + 20 join e c on a.vec_id = c.vec_id and c.i = a.i + 40 where a.i <= 20)
+@query(f"""with {_VEC}, p as (select a.vec_id, a.x as a, b.x as b, c.x as c from e a join e b on a.vec_id = b.vec_id and b.i = a.i + 21 join e c on a.vec_id = c.vec_id and c.i = a.i + 42 where a.i <= 22)
 select vec_id, round(coalesce(corr(a, b), 0), 6) as corr_ab, round(coalesce(corr(b, c), 0), 6) as corr_bc, round(avg(abs(a) + abs(b) + abs(c)), 6) as sma, round(avg(sqrt(a * a + b * b + c * c)), 6) as mean_size from p group by 1""")
 def cross_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations between axes, signal area and size."""
@@ -464,18 +464,21 @@ def jerk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", F.round(arrays.mean(j), 6).alias("mean"), F.round(arrays.std(j), 6).alias("std"), F.round(F.array_max(j), 6).alias("high"))
 
 
-@query("select vec_id, round(atan2(-x, sqrt(y * y + z * z)), 6) as pitch, round(atan2(y, z), 6) as roll from (select vec_id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z from embeddings)")
+@query(f"""with {_VEC}, t as (select vec_id, i, x, lead(x) over w as y, lead(x, 2) over w as z from e window w as (partition by vec_id order by i)) select vec_id, i as sample, round(atan2(-x, sqrt(y * y + z * z)), 6) as pitch, round(atan2(y, z), 6) as roll from t where z is not null""")
 def raw_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y, z = (F.col("x")[k] for k in range(3))
-    return _vectors(spark, sf_dir).select("vec_id", F.round(arrays.pitch(x, y, z), 6).alias("pitch"), F.round(arrays.roll(y, z), 6).alias("roll"))
+    """Pitch and roll of every three numbers in a row."""
+    each = _vectors(spark, sf_dir).select("vec_id", "x", F.explode(F.sequence(F.lit(1), F.size("x") - 2)).alias("sample"))
+    x, y, z = (F.element_at("x", F.col("sample") + k) for k in range(3))
+    return each.select("vec_id", "sample", F.round(arrays.pitch(x, y, z), 6).alias("pitch"), F.round(arrays.roll(y, z), 6).alias("roll"))
 
 
-@query("select vec_id, round(cast(embedding[1] as double) * 9.80665, 6) as ax, round(cast(embedding[2] as double) * 57.29577951308232, 5) as gx, cast(embedding[6] as double) as f5, cast(embedding[64] as double) as f63 from embeddings")
+@query(f"with {_VEC} select a.vec_id, a.i as place, round(a.x * 9.80665, 6) as ax, round(a.x * 57.29577951308232, 5) as gx, b.x as mirrored from e a join e b on b.vec_id = a.vec_id and b.i = 65 - a.i")
 def unit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units and chosen features."""
-    v = _vectors(spark, sf_dir).select("vec_id", F.col("x")[0].alias("ax"), F.col("x")[1].alias("gx"), arrays.choose(F.col("x"), [5, 63], 64).alias("f"))
+    """All numbers in other units, and beside them chosen ones: all of them, from the last on."""
+    chosen = arrays.choose(F.col("x"), list(range(63, -1, -1)), 64)
+    v = _vectors(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip(F.col("x"), chosen.alias("f"))).alias("k", "v")).select("vec_id", (F.col("k") + 1).alias("place"), F.col("v.x").alias("ax"), F.col("v.x").alias("gx"), F.col("v.f").alias("mirrored"))
     scaled = units.scale(v, "g", "rads", ("ax",), ("gx",))
-    return scaled.select("vec_id", R6("ax"), F.round("gx", 5).alias("gx"), F.col("f")[0].alias("f5"), F.col("f")[1].alias("f63"))
+    return scaled.select("vec_id", "place", R6("ax"), F.round("gx", 5).alias("gx"), "mirrored")
 
 
 @query(f"""with {domain.WINDOWS_SQL} select device_id, stretch, label, count(*) as n from win group by 1, 2, 3 union all select device_id, stretch, 'all', count(*) from win group by 1, 2""")
