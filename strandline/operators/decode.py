@@ -129,34 +129,40 @@ def absorb_short(labels: Sequence[str], z0: np.ndarray, z1: np.ndarray, least_ms
 ROWS_AT_ONCE = 50_000
 
 
+def whole_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole sequences, many short ones together, and where each begins; _first marks a sequence's first row. No more than a sequence beyond ROWS_AT_ONCE is held."""
+    held, rows = [], 0
+
+    def done(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        return table, np.flatnonzero(table["_first"].to_numpy())
+
+    for batch in batches:
+        begins = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+        if len(begins) and rows + begins[-1] >= ROWS_AT_ONCE:
+            yield done([*held, batch.slice(0, begins[-1])])
+            held, rows, batch = [], 0, batch.slice(begins[-1])
+        held.append(batch)
+        rows += batch.num_rows
+    if rows:
+        yield done(held)
+
+
 def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, columns: Sequence[str], labels_of) -> DataFrame:
     """df with a string column that labels_of(batch of `columns`, begins of sequences) gives.
 
     The window that marks the first row of each sequence deals out and sorts the rows; tasks then get whole sequences one
-    after another, many short ones together. No task holds more than a sequence beyond ROWS_AT_ONCE.
+    after another.
     """
     first = F.row_number().over(islands.ordered(keys, order)) == 1
     names = [f.name for f in df.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(parts).combine_chunks()
+        for table, begins in whole_sequences(batches):
             if table.num_rows:
-                labels = labels_of(table.select(columns), np.flatnonzero(table["_first"].to_numpy()))
+                labels = labels_of(table.select(columns), begins)
                 yield from table.select(names).append_column(name, pa.array(labels, pa.string())).to_batches()
 
-        for batch in batches:
-            begins = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
-            if len(begins) and rows + begins[-1] >= ROWS_AT_ONCE:
-                yield from done([*held, batch.slice(0, begins[-1])])
-                held, rows, batch = [], 0, batch.slice(begins[-1])
-            held.append(batch)
-            rows += batch.num_rows
-        if held:
-            yield from done(held)
-
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.withColumn("_first", first).mapInArrow(run, f"{fields}, `{name}` string")
 

@@ -40,7 +40,7 @@ def classified_windows(readings: DataFrame, model, classes: Sequence[str], meta:
     else:
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1
         samples = scaled.select(*keys, number.alias("sample"), *signal.CHANNELS)
-    windows = signal.window_arrays(islands.sliding_windows(samples, keys, ["sample"], shape["window"], shape["step"]), keys)
+    windows = signal.strided_windows(samples, keys, ["sample"], shape["window"], shape["step"])
     if isinstance(model, Transformer):
         found = model.transform(windows)
     else:

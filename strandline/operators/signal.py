@@ -10,9 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import decode, islands
+
 CHANNELS = ("ax", "ay", "az", "gx", "gy", "gz")
 FLAT = 1e-8
 #: What models call channels and features, in the order of the vector.
@@ -224,6 +227,37 @@ def layout_of(model: object, meta: dict | None = None) -> tuple[int, list[int] |
     return length, chosen
 
 
+#: Windows that are handed on at once.
+_WINDOWS = 4000
+
+
+def strided_windows(samples: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, step: int, index: str = "window_idx", channels: Sequence[str] = CHANNELS) -> DataFrame:
+    """keys, window_idx and an array a channel of each full window of `size` samples, one every `step`: what sliding_windows() and window_arrays() give.
+
+    Whole sequences are cut by places within their arrays, so samples are sorted once and neither multiplied nor shuffled again.
+    """
+    first = F.row_number().over(islands.ordered(keys, order)) == 1
+    rows = samples.withColumn("_first", first).select(*keys, *[F.col(c).cast("double").alias(c) for c in channels], "_first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in decode.whole_sequences(batches):
+            length = np.diff(np.append(begins, table.num_rows))
+            count = np.maximum(0, (length - size) // step + 1)
+            place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            row = np.repeat(begins, count)
+            values = [table[c].to_numpy() for c in channels]
+            for a in range(0, len(place), _WINDOWS):
+                k, r = place[a : a + _WINDOWS], row[a : a + _WINDOWS]
+                at = ((r + k * step)[:, None] + np.arange(size)).ravel()
+                offsets = pa.array(np.arange(0, len(at) + 1, size), pa.int32())
+                arrays = [pa.ListArray.from_arrays(offsets, pa.array(v[at])) for v in values]
+                own = table.select(list(keys)).take(pa.array(r)).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(k, pa.int64()), *arrays], [*keys, index, *channels])
+
+    types = dict(samples.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"`{index}` long", *(f"`{c}` array<double>" for c in channels)]))
+
+
 def window_arrays(samples: DataFrame, keys: Sequence[str], index: str = "window_idx", position: str = "position", channels: Sequence[str] = CHANNELS) -> DataFrame:
     """Rows of sliding_windows() as one row a window with an array a channel."""
     each = F.array_sort(F.collect_list(F.struct(position, *channels)))

@@ -359,3 +359,23 @@ def test_centre_zones_and_gaps(spark):
     assert final("aassaa", [0, 500, 1000, 7000, 7500, 8000], "viterbi") == "aaaaaa"  # two bouts of one window each
     assert final("assh" + "aa", near, "stable") == "asssaa" and final("assh" + "aa", [0, 500, 1000, 5000, 5500, 6000], "stable")[3] != "s"
     assert final("aasshh", far[:2] + [6000, 6500, 7000, 7500], "viterbi") == "aassss"
+
+
+def test_windows_by_places_are_those_by_rows(spark, monkeypatch):
+    import random
+
+    from strandline.operators import decode, islands, signal
+
+    monkeypatch.setattr(signal, "_WINDOWS", 5)
+    monkeypatch.setattr(decode, "ROWS_AT_ONCE", 40)
+    rng = random.Random(9)
+    rows = [(s, "x", k, *[rng.choice([None, rng.random()]) if s == 3 else rng.random() for _ in range(6)]) for s, n in enumerate([1, 7, 8, 9, 40, 41, 100, 0, 16]) for k in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "d long, g string, k long, ax double, ay double, az double, gx double, gy double, gz double").repartition(3)
+    keys = ("d", "g")
+    for size, step in ((8, 4), (8, 8), (5, 3), (16, 20)):
+        by_rows = signal.window_arrays(islands.sliding_windows(df, keys, ["k"], size, step), keys)
+        by_places = signal.strided_windows(df, keys, ["k"], size, step)
+        whole = lambda df: sorted(repr((r.d, r.g, r.window_idx, [list(r[c]) for c in signal.CHANNELS])).replace("None", "nan") for r in df.collect())
+        assert whole(by_places) == whole(by_rows)
+    assert signal.strided_windows(df.limit(0), keys, ["k"], 8, 4).count() == 0
