@@ -88,7 +88,7 @@ def latest(spark: SparkSession, path: str, partition: str, before: int | None =
     if before is not None:
         every = every.where(F.col("v") < before)
     newest = every.groupBy(partition).agg(F.max("v").alias("v"))  # a row a partition
-    return every.join(F.broadcast(newest), [partition, "v"]).drop("v")
+    return every.join(newest, [partition, "v"]).drop("v")
 
 
 def upsert_each_batch(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], partition: str = "day_ts") -> Callable[[DataFrame, int], None]:
@@ -103,7 +103,7 @@ def upsert_each_batch(path: str, merge: Callable[[DataFrame | None, DataFrame],
         spark = batch.sparkSession
         before = latest(spark, path, partition, number)
         if before is not None:
-            before = before.join(F.broadcast(batch.select(partition).distinct()), partition, "left_semi")  # a row a partition
+            before = before.join(batch.select(partition).distinct(), partition, "left_semi")
         merge(before, batch).write.mode("overwrite").partitionBy(partition).parquet(f"{path}/v={number}")
 
     return write
