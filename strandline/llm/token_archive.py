@@ -154,7 +154,9 @@ def write_archives(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id
 
     ranged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ranged.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    # Dealt by more than the id, so that rows of one id, or of none, are many tasks' work.
+    order = ["id", "mark", "place"]
+    ranged = ranged.withColumn("mark", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("mark", "place")
     return stored(ranged.mapInArrow(write, MANIFEST), "manifest")
 
 
