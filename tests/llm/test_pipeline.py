@@ -37,6 +37,8 @@ def corpus():
         if k % 11 == 8:
             text = "the same line\n" * 60
         rows.append((500 - 3 * k, text))
+    # A text that is a piece of work of its own.
+    rows.append((9500, "\n".join(" ".join([*rng.choices(vocabulary, k=11), f"w{k}."]) for k in range(9000))))
     rows += [(9000, ""), (9001, None), (9002, "short"), (9003, passage), (None, rows[0][1]), (rows[0][0], rows[0][1])]
     return [(i, t, "en", "web", None if t is None else len(t)) for i, t in rows]
 
