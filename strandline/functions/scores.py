@@ -25,6 +25,11 @@ class Thresholds:
 DEFAULT = Thresholds()
 
 
+def round_even(c: Column, places: int) -> Column:
+    """A double rounded half to even after it is multiplied by its power of ten, as SQL's round_even does; bround() looks at its decimal digits instead. No zero has a sign."""
+    return F.rint(c * 10.0**places) / 10.0**places + 0.0
+
+
 def phase(valid_days: Column, limits: Thresholds = DEFAULT) -> Column:
     a, b, c = limits.phase_days
     return F.when(valid_days < a, 0).when(valid_days < b, 1).when(valid_days < c, 2).otherwise(3)

@@ -19,10 +19,10 @@ def with_zscore(days: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """
     out = days.withColumn("data_quality", F.when(F.col("wear_minutes") < limits.min_wear_minutes, 1).otherwise(0))
     out = out.withColumn("eval_phase", F.when(F.col("baseline_mean").isNull(), 0).otherwise(scores.phase(F.col("valid_days"), limits)))
-    effect = F.when(F.col("neck_temp").isNotNull(), F.bround(F.col("temp_coef") * (F.col("neck_temp") - limits.reference_temperature), 2)).otherwise(0.0)
+    effect = F.when(F.col("neck_temp").isNotNull(), scores.round_even(F.col("temp_coef") * (F.col("neck_temp") - limits.reference_temperature), 2)).otherwise(0.0)
     out = out.withColumn("temp_effect", effect)
     std = F.greatest(F.col("baseline_std"), F.lit(limits.std_floor))
-    z = F.bround((F.col("scratch_count") - F.col("baseline_mean") - F.col("temp_effect")) / std, 3)
+    z = scores.round_even((F.col("scratch_count") - F.col("baseline_mean") - F.col("temp_effect")) / std, 3)
     usable = (F.col("data_quality") == 0) & (F.col("eval_phase") >= 1)
     out = out.withColumn("zscore", F.when(usable, z)).withColumn("threshold_z", scores.by_phase(F.col("eval_phase"), limits.z))
     return out.withColumn("is_abnormal", F.coalesce(F.col("zscore") > F.col("threshold_z"), F.lit(False)))

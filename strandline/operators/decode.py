@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scores
 from . import islands, intervals
 
 
@@ -290,7 +291,7 @@ def candidates(df: DataFrame, found: DataFrame, keys: Sequence[str], order: Sequ
     inside = marked.withColumn("_a", F.min(free).over(bout)).withColumn("_b", F.max(free).over(bout)).withColumn("_n", F.count(free).over(bout))
 
     def bouts(windows: DataFrame, run: str, reason: str) -> DataFrame:
-        out = windows.groupBy(*keys, run).agg(F.min("z0").alias("start_ms"), F.max("z1").alias("end_ms"), F.max("_p").alias("conf_max"), F.avg("_p").alias("conf_mean"), F.count("*").alias("n_windows"), F.bround(F.avg("_spec"), 3).alias("spec"))
+        out = windows.groupBy(*keys, run).agg(F.min("z0").alias("start_ms"), F.max("z1").alias("end_ms"), F.max("_p").alias("conf_max"), F.avg("_p").alias("conf_mean"), F.count("*").alias("n_windows"), scores.round_even(F.avg("_spec"), 3).alias("spec"))
         return out.drop(run).withColumn("reason", F.lit(reason))
 
     whole = F.col("_n") >= params.candidate_windows

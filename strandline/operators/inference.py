@@ -13,7 +13,7 @@ from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import labels, times, units
+from ..functions import labels, scores, times, units
 from . import decode, islands, signal
 
 
@@ -61,6 +61,6 @@ def behaviour(windows: DataFrame, classes: Sequence[str], window_ms: int, stride
     stable = decode.stabilise(windows, parts, ["idx"], classes, window_ms, stride_ms, params, algo)
     found = decode.segments(stable, parts, ["idx"], classes)
     found = found.withColumn("behavior", F.try_element_at(labels.literal_map(codes), F.col("final"))).where("behavior is not null")
-    found = found.select(*keys, F.col("start_ms").alias("ts_start"), F.col("end_ms").alias("ts_end"), "behavior", F.bround("conf_mean", 4).alias("confidence"), "n_windows")
+    found = found.select(*keys, F.col("start_ms").alias("ts_start"), F.col("end_ms").alias("ts_end"), "behavior", scores.round_even(F.col("conf_mean"), 4).alias("confidence"), "n_windows")
     joined = islands.coalesce_events(found, keys, totals=("n_windows",)).drop("n_events")
     return joined.withColumn("behavior_label", labels.name_of(F.col("behavior")))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import scores
+
 
 def ordered(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -60,14 +62,14 @@ def merge_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], labe
     """Windows of one label with no gap between become events; an event ends a window after its last one began."""
     w = ordered(keys, order)
     runs = with_run(df, keys, order, F.col(label), (F.coalesce(F.col(ts) - F.lag(ts).over(w), F.lit(0)), gap))
-    grouped = runs.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min(ts).alias("start_ms"), (F.max(ts) + window_ms).alias("end_ms"), F.bround(F.avg(confidence), 4).alias("confidence"), F.count("*").alias("n_windows"))
+    grouped = runs.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min(ts).alias("start_ms"), (F.max(ts) + window_ms).alias("end_ms"), scores.round_even(F.avg(confidence), 4).alias("confidence"), F.count("*").alias("n_windows"))
     return grouped.drop("run")
 
 
 def legacy_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, index: str, confidence: str, window: int, step: int) -> DataFrame:
     """Runs as events in samples, as older versions cut them: all but the last end where the next run's first window ends."""
     runs = with_run(df, keys, order, F.col(label))
-    grouped = runs.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min(index).alias("_first"), F.max(index).alias("_last"), F.bround(F.avg(confidence), 4).alias("confidence"), F.count("*").alias("n_windows"))
+    grouped = runs.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min(index).alias("_first"), F.max(index).alias("_last"), scores.round_even(F.avg(confidence), 4).alias("confidence"), F.count("*").alias("n_windows"))
     following = F.lead("_first").over(ordered(keys, ["run"]))
     return grouped.withColumn("start_sample", F.col("_first") * step).withColumn("end_sample", F.coalesce(following, F.col("_last")) * step + window).drop("_first", "_last")
 
@@ -85,7 +87,7 @@ def coalesce_events(events: DataFrame, keys: Sequence[str], code: str = "behavio
 
     def fold(a: Column, x: Column) -> Column:
         d0, d1 = F.greatest(a["e"] - a["s"], F.lit(1)), F.greatest(x["e"] - x["s"], F.lit(1))
-        mean = F.bround((a["c"] * d0 + x["c"] * d1) / (d0 + d1), 4)
+        mean = scores.round_even((a["c"] * d0 + x["c"] * d1) / (d0 + d1), 4)
         return F.struct(a["s"].alias("s"), F.greatest(a["e"], x["e"]).alias("e"), mean.alias("c"))
 
     first = F.col("_e")[0]
@@ -161,7 +163,7 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, p: Column, spec: str | None = None) -> DataFrame:
     """Runs of the final label with their zones, confidences and mean spectral share."""
     runs = with_run(df.withColumn("_p", p), keys, order, F.col(label))
-    share = F.bround(F.avg(spec), 3) if spec else F.lit(None).cast("double")
+    share = scores.round_even(F.avg(spec), 3) if spec else F.lit(None).cast("double")
     return runs.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min("z0").alias("start_ms"), F.max("z1").alias("end_ms"), F.max("_p").alias("conf_max"), F.avg("_p").alias("conf_mean"), F.count("*").alias("n_windows"), share.alias("spec"))
 
 

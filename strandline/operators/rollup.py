@@ -63,7 +63,7 @@ def wear_minutes(behavior: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def summary(daily_rows: DataFrame, alert_level: str = "alert_level", loose: str = "loose_min") -> DataFrame:
     """Shares of worn time and their traffic lights; shares are null on days without worn time."""
     wear = F.col("wear_minutes")
-    share = lambda c: F.when(wear > 0, F.bround(F.try_divide(F.col(c), wear), 3))
+    share = lambda c: F.when(wear > 0, scores.round_even(F.try_divide(F.col(c), wear), 3))
     out = daily_rows.withColumn("sleep_ratio", share("sleep_min")).withColumn("active_ratio", share("move_min"))
     out = out.withColumn("off_min", F.greatest(F.lit(0), 1440 - wear - F.coalesce(F.col(loose), F.lit(0))))
     return (
@@ -75,7 +75,7 @@ def summary(daily_rows: DataFrame, alert_level: str = "alert_level", loose: str
 
 def environment(readings: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Means of the readings of a whole day, of those that are there: 2, 1 and 2 places."""
-    mean = lambda c, places: F.bround(F.avg(c), places).alias(c)
+    mean = lambda c, places: scores.round_even(F.avg(c), places).alias(c)
     return readings.groupBy(*keys).agg(mean("env_temp", 2), mean("env_humidity", 1), mean("neck_temp", 2))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import labels
+from ..functions import labels, scores
 from ..operators import decode, islands
 from .incremental import upsert_each_batch
 
@@ -177,7 +177,7 @@ def behaviour_of_blocks(decided: DataFrame, classes: Sequence[str], key: str = "
     keys = (key, "day_ts", "part_ms", "block")
     found = decode.segments(decode.settle(decided, keys, ["idx"], classes, params), keys, ["idx"], classes)
     found = found.withColumn("behavior", F.try_element_at(labels.literal_map(codes), F.col("final"))).where("behavior is not null")
-    return found.select(key, "day_ts", F.col("start_ms").alias("ts_start"), F.col("end_ms").alias("ts_end"), "behavior", F.bround("conf_mean", 4).alias("confidence"), "n_windows")
+    return found.select(key, "day_ts", F.col("start_ms").alias("ts_start"), F.col("end_ms").alias("ts_end"), "behavior", scores.round_even(F.col("conf_mean"), 4).alias("confidence"), "n_windows")
 
 
 def store_behaviour(path: str, classes: Sequence[str], key: str = "device_id", params: decode.StableParams = decode.StableParams(), codes: dict[str, int] = labels.CODES) -> Callable[[DataFrame, int], None]:
