@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -188,9 +188,14 @@ def absorb_short_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return _in_order(df, keys, order, name, [state, "z0", "z1"], labels_of)
 
 
-def _kept(df: DataFrame, keys: Sequence[str], flag: str, bout: str, p: Column, params: StableParams, spec: str | None) -> DataFrame:
+def _whole_bout(keys: Sequence[str], order: Sequence[str], bout: str) -> WindowSpec:
+    """All rows of a bout in their order, so that means of doubles, and what is at a limit, don't depend on how rows arrive."""
+    return islands.ordered((*keys, bout), order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _kept(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, bout: str, p: Column, params: StableParams, spec: str | None) -> DataFrame:
     """flag, only for bouts whose flagged windows are long and sure enough, or very sure once."""
-    of = Window.partitionBy(*keys, bout)
+    of = _whole_bout(keys, order, bout)
     own = lambda c: F.when(F.col(flag), c)
     keep = ((F.count(own(p)).over(of) >= params.min_windows) & (F.avg(own(p)).over(of) >= params.min_mean)) | (F.max(own(p)).over(of) >= params.single)
     if spec and params.spectral_min > 0:
@@ -263,7 +268,7 @@ def settle(out: DataFrame, keys: Sequence[str], order: Sequence[str], classes: S
     for e in events:
         if f"_bout_{e}" not in out.columns:
             out = _bouts(out, keys, order, f"_{e}", f"_bout_{e}", params, whole(e))
-        out = _kept(out, keys, f"_{e}", f"_bout_{e}", p[e], params, spec if e == params.scratch else None)
+        out = _kept(out, keys, order, f"_{e}", f"_bout_{e}", p[e], params, spec if e == params.scratch else None)
     final = F.col("state")
     for e in reversed(events):
         final = F.when(F.col(f"_{e}"), e).otherwise(final)
@@ -286,7 +291,7 @@ def candidates(df: DataFrame, found: DataFrame, keys: Sequence[str], order: Sequ
     low = islands.with_run(islands.fill_gaps(low, keys, order, "_low", params.gap_ms), keys, order, F.col("_low"), name="_id")
     low = low.withColumn("_spec", F.col(spec).cast("double") if spec else F.lit(None).cast("double"))
     marked = intervals.mark_overlap(low, found, keys, order, ("z0", "z1"), ("start_ms", "end_ms"))
-    bout = Window.partitionBy(*keys, "_id")
+    bout = _whole_bout(keys, order, "_id")
     free = F.when(F.col("_low") & ~F.col("taken"), F.col("z0"))
     inside = marked.withColumn("_a", F.min(free).over(bout)).withColumn("_b", F.max(free).over(bout)).withColumn("_n", F.count(free).over(bout))
 

@@ -40,13 +40,12 @@ def classified_windows(readings: DataFrame, model, classes: Sequence[str], meta:
     else:
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1
         samples = scaled.select(*keys, number.alias("sample"), *signal.CHANNELS)
-    windows = signal.strided_windows(samples, keys, ["sample"], shape["window"], shape["step"])
     if isinstance(model, Transformer):
-        found = model.transform(windows)
+        found = model.transform(signal.strided_windows(samples, keys, ["sample"], shape["window"], shape["step"]))
     else:
         if layout is None:
             layout, chosen = signal.layout_of(model, meta)
-        found = signal.classify(signal.features(windows, shape["hz"], layout, chosen=chosen), model, classes, minimum)
+        found = signal.classified_windows(samples, keys, ["sample"], shape["window"], shape["step"], shape["hz"], model, classes, layout, chosen, minimum)
     found = found.withColumnRenamed("window_idx", "idx")
     return found.withColumn("ts_ms", F.col("part_ms") + F.floor(F.col("idx") * shape["step"] * 1000.0 / shape["hz"]).cast("long"))
 
