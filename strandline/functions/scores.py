@@ -30,6 +30,11 @@ def round_even(c: Column, places: int) -> Column:
     return F.rint(c * 10.0**places) / 10.0**places + 0.0
 
 
+def round_half(c: Column, places: int) -> Column:
+    """A double rounded half away from zero after it is multiplied by its power of ten, as SQL's round does; round() with places looks at its decimal digits instead."""
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def phase(valid_days: Column, limits: Thresholds = DEFAULT) -> Column:
     a, b, c = limits.phase_days
     return F.when(valid_days < a, 0).when(valid_days < b, 1).when(valid_days < c, 2).otherwise(3)

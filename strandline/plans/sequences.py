@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scores
 from ..operators import decode, intervals, islands
 from . import domain
 from .domain import BEHAVIOR_SQL, CLASSES, SEQ, WINDOWS_SQL
@@ -12,7 +13,7 @@ from .domain import BEHAVIOR_SQL, CLASSES, SEQ, WINDOWS_SQL
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 ORDER = ("idx",)
-R6 = lambda c: F.round(c, 6).alias(c)
+R6 = lambda c: scores.round_half(F.col(c), 6).alias(c)
 
 
 def query(sql: str | None = None):
@@ -133,7 +134,7 @@ def hysteresis_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("probs")[0]
     marked = islands.hysteresis(w, SEQ, ORDER, p, 0.5, 0.25)
     numbered = islands.with_run(marked.withColumn("_stay", p >= 0.25), SEQ, ORDER, F.col("_stay")).where("in_bout")
-    return numbered.groupBy(*SEQ, "run").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.round(F.max(p), 6).alias("conf_max"))
+    return numbered.groupBy(*SEQ, "run").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), scores.round_half(F.max(p), 6).alias("conf_max"))
 
 
 _ZONED = "z as (select *, ts_ms as z0, coalesce(lead(ts_ms) over (partition by device_id, stretch order by idx), ts_ms + 2000) as z1 from h)"
@@ -223,7 +224,7 @@ from n where idx // 4 <= (n - 4) // 4 and n >= 4 group by 1, 2, 3""")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of four rows, full ones alone."""
     s = islands.sliding_windows(domain.windows(spark, sf_dir), SEQ, ORDER, 4, 4)
-    return s.groupBy(*SEQ, "window_idx").agg(F.min("ts_ms").alias("start_ms"), F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
+    return s.groupBy(*SEQ, "window_idx").agg(F.min("ts_ms").alias("start_ms"), scores.round_half(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
 
 
 @query(f"""with {WINDOWS_SQL}, n as (select *, count(*) over (partition by device_id, stretch) as n from win), k as (select unnest(range(0, 100000)) as window_idx)
@@ -232,7 +233,7 @@ from n join k on window_idx * 2 <= idx and idx < window_idx * 2 + 5 and window_i
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of five rows, one every two rows."""
     s = islands.sliding_windows(domain.windows(spark, sf_dir), SEQ, ORDER, 5, 2)
-    return s.groupBy(*SEQ, "window_idx").agg(F.min("ts_ms").alias("start_ms"), F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
+    return s.groupBy(*SEQ, "window_idx").agg(F.min("ts_ms").alias("start_ms"), scores.round_half(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
 
 
 @query(f"""with {BEHAVIOR_SQL}, c as (select device_id, day_ts, ts_start, ts_end, case behavior when 0 then 1 else behavior end as behavior, round(confidence, 2) as confidence from behavior),
@@ -380,7 +381,7 @@ _CANDIDATES = f"""{_VITERBI}, {_FLAGS}, {_PAINT}, found as (
 def _candidates(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
     stable = _stable(spark, sf_dir, "viterbi")
     found = decode.segments(stable, SEQ, ORDER, CLASSES).where("final = 'scratch'")
-    return decode.candidates(stable, found, SEQ, ORDER, F.col("probs")[0], most=most, spec="missing").withColumn("conf_max", F.round("conf_max", 6)).withColumn("conf_mean", F.round("conf_mean", 6))
+    return decode.candidates(stable, found, SEQ, ORDER, F.col("probs")[0], most=most, spec="missing").withColumn("conf_max", R6("conf_max")).withColumn("conf_mean", R6("conf_mean"))
 
 
 @query(f"{_CANDIDATES} select * from ranked")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import times
+from ..functions import scores, times
 from ..operators import inference, signal
 from . import domain, sequences
 
@@ -177,7 +177,7 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_SAMPLES} select device_id, day_ts, stretch as part_ms, idx, ts_ms, label, round(greatest(p_scratch, p_active, p_sleep, p_shake), 6) as confidence from win")
 def classified_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of a device's local day to classes of windows: units, resampling, features, a model."""
-    return _classified(spark, sf_dir).select("device_id", "day_ts", "part_ms", "idx", "ts_ms", "label", F.round("confidence", 6).alias("confidence"))
+    return _classified(spark, sf_dir).select("device_id", "day_ts", "part_ms", "idx", "ts_ms", "label", scores.round_half(F.col("confidence"), 6).alias("confidence"))
 
 
 _BEHAVIOUR = f"{_CLASSIFIED}, {sequences._FLAGS}, {sequences._PAINT}, beh as ({sequences._SEGMENTS})".replace("ts_ms + 2000", "ts_ms + 1000").replace("round(avg(p[list_position(['scratch', 'active', 'sleep', 'shake'], final)]), 6)", "round_even(avg(p[list_position(['scratch', 'active', 'sleep', 'shake'], final)]), 4)")

@@ -379,3 +379,20 @@ def test_windows_by_places_are_those_by_rows(spark, monkeypatch):
         whole = lambda df: sorted(repr((r.d, r.g, r.window_idx, [list(r[c]) for c in signal.CHANNELS])).replace("None", "nan") for r in df.collect())
         assert whole(by_places) == whole(by_rows)
     assert signal.strided_windows(df.limit(0), keys, ["k"], 8, 4).count() == 0
+
+
+def test_means_of_candidates_are_rounded_as_the_sql_does(spark, tmp_path):
+    import duckdb
+    from oracle import difference
+
+    from strandline.plans import sequences
+
+    values = [19, 21, 22, 15, 22, 23, 19, 16]  # their mean probability is a hair under 0.3971875, and 397187.5 once it is multiplied
+    events = [(k, 1_704_672_000 + k, 1, "error", 1 + v / 100, "") for k, v in enumerate(values)]
+    spark.createDataFrame(events, "event_id long, ts long, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(1,)], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("scratch_candidates", "surest_candidates"):
+        assert [r.conf_mean for r in sequences.QUERIES[name](spark, str(tmp_path)).collect()] == [0.397188]
+        assert difference(spark, con, str(tmp_path), sequences.QUERIES[name], sequences.ORACLES[name]) == ""
