@@ -128,6 +128,13 @@ def absorb_short(labels: Sequence[str], z0: np.ndarray, z1: np.ndarray, least_ms
 
 #: Rows of whole sequences that are worked on at once.
 ROWS_AT_ONCE = 50_000
+#: Windows that a task sorts: some 0.2 kB each, in each sort of settle().
+ROWS_A_TASK = 200_000
+
+
+def tasks_for(rows: int, least: int) -> int:
+    """How many tasks so many windows take, so that what a task holds doesn't grow with them."""
+    return max(least, -(-rows // ROWS_A_TASK))
 
 
 def whole_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -149,8 +156,8 @@ def whole_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Tabl
         yield done(held)
 
 
-def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, columns: Sequence[str], labels_of) -> DataFrame:
-    """df with a string column that labels_of(batch of `columns`, begins of sequences) gives.
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, columns: Sequence[str], labels_of, tasks: int | None = None) -> DataFrame:
+    """df with a string column that labels_of(batch of `columns`, begins of sequences) gives, dealt to `tasks` by keys if given.
 
     The window that marks the first row of each sequence deals out and sorts the rows; tasks then get whole sequences one
     after another.
@@ -165,10 +172,11 @@ def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
                 yield from table.select(names).append_column(name, pa.array(labels, pa.string())).to_batches()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.withColumn("_first", first).mapInArrow(run, f"{fields}, `{name}` string")
+    out = df.withColumn("_first", first).mapInArrow(run, f"{fields}, `{name}` string")
+    return out.repartition(tasks, *keys) if tasks else out
 
 
-def viterbi(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], switch_cost: float = 3.0, probs: str = "probs", name: str = "decoded") -> DataFrame:
+def viterbi(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], switch_cost: float = 3.0, probs: str = "probs", name: str = "decoded", tasks: int | None = None) -> DataFrame:
     """The most likely class of each window given its sequence; every row has a probability for each class."""
     names = np.array(classes, object)
 
@@ -176,16 +184,16 @@ def viterbi(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes: S
         values = table[probs].combine_chunks().flatten().to_numpy().astype(np.float64)
         return names[viterbi_paths(values.reshape(table.num_rows, -1), begins, switch_cost)]
 
-    return _in_order(df, keys, order, name, [probs], labels_of)
+    return _in_order(df, keys, order, name, [probs], labels_of, tasks)
 
 
-def absorb_short_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, least_ms: int = 10_000, name: str = "absorbed") -> DataFrame:
+def absorb_short_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, least_ms: int = 10_000, name: str = "absorbed", tasks: int | None = None) -> DataFrame:
     def labels_of(table: pa.Table, begins: np.ndarray) -> list[str]:
         labels, z0, z1 = table[state].to_pylist(), table["z0"].to_numpy(), table["z1"].to_numpy()
         ends = np.append(begins[1:], len(labels))
         return [x for a, b in zip(begins.tolist(), ends.tolist(), strict=True) for x in absorb_short(labels[a:b], z0[a:b], z1[a:b], least_ms)]
 
-    return _in_order(df, keys, order, name, [state, "z0", "z1"], labels_of)
+    return _in_order(df, keys, order, name, [state, "z0", "z1"], labels_of, tasks)
 
 
 def _whole_bout(keys: Sequence[str], order: Sequence[str], bout: str) -> WindowSpec:
@@ -217,17 +225,18 @@ def _bouts(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str,
     return islands.with_run(df, keys, order, F.col(flag), (apart, F.lit(params.gap_ms)), name=name)
 
 
-def stabilise(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], window_ms: int, stride_ms: int, params: StableParams = StableParams(), algo: str = "viterbi", centre: bool = False, spec: str | None = None) -> DataFrame:
+def stabilise(df: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], window_ms: int, stride_ms: int, params: StableParams = StableParams(), algo: str = "viterbi", centre: bool = False, spec: str | None = None, tasks: int | None = None) -> DataFrame:
     """df (with ts_ms, label and probs in the order of classes) with z0, z1 and the final label of every window.
 
     algo: `viterbi` decodes the whole sequence; `stable` smooths states, absorbs short ones and finds bouts by hysteresis.
+    tasks: how many share the sequences (see tasks_for), the session's own count without it.
     """
     out = islands.with_zone(df, keys, order, "ts_ms", window_ms, stride_ms, centre)
     if algo == "viterbi":
-        out = viterbi(out, keys, order, classes, params.switch_cost)
+        out = viterbi(out, keys, order, classes, params.switch_cost, tasks=tasks)
     elif algo != "stable":
         raise ValueError(f"algo {algo}")
-    return settle(out, keys, order, classes, params, algo, spec).select(*df.columns, "z0", "z1", "final")
+    return settle(out, keys, order, classes, params, algo, spec, tasks).select(*df.columns, "z0", "z1", "final")
 
 
 def _kinds(classes: Sequence[str], params: StableParams) -> tuple[list[str], list[tuple[str, int]]]:
@@ -236,7 +245,7 @@ def _kinds(classes: Sequence[str], params: StableParams) -> tuple[list[str], lis
     return events, [(c, k) for k, c in enumerate(classes) if c not in events]
 
 
-def settle(out: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], params: StableParams = StableParams(), algo: str = "viterbi", spec: str | None = None) -> DataFrame:
+def settle(out: DataFrame, keys: Sequence[str], order: Sequence[str], classes: Sequence[str], params: StableParams = StableParams(), algo: str = "viterbi", spec: str | None = None, tasks: int | None = None) -> DataFrame:
     """out (with z0, z1, label, probs, and for viterbi decoded) with the final label of every window."""
     events, states = _kinds(classes, params)
     p = {e: F.col("probs")[list(classes).index(e)] for e in events}
@@ -249,7 +258,7 @@ def settle(out: DataFrame, keys: Sequence[str], order: Sequence[str], classes: S
         shaken = (F.col("label") == params.shake) | (F.col("decoded") == params.shake)
     else:
         out = islands.moving_state(out, keys, order, "probs", states, params.smooth_windows, "_smooth")
-        out = absorb_short_runs(out, keys, order, "_smooth", params.min_state_ms, "state").drop("_smooth")
+        out = absorb_short_runs(out, keys, order, "_smooth", params.min_state_ms, "state", tasks).drop("_smooth")
         for e in events:
             out = islands.hysteresis(out, keys, order, p[e], params.enter, params.stay, f"_in_{e}")
         flags = {e: F.col(f"_in_{e}") for e in events}
@@ -262,7 +271,8 @@ def settle(out: DataFrame, keys: Sequence[str], order: Sequence[str], classes: S
     if set(events) == {params.scratch, params.shake}:
         # A bout of shaking is judged as one, also where scratching takes windows out of its middle.
         out = _bouts(out, keys, order, f"_{params.shake}", f"_bout_{params.shake}", params, whole(params.shake))
-        out = islands.absorb(out, keys, order, f"_{params.scratch}", F.coalesce(shaken, F.lit(False)), (_apart(keys, order), F.lit(params.shake_gap_ms)))
+        out = islands.absorb(out, keys, order, f"_{params.scratch}", F.coalesce(shaken, F.lit(False)), (_apart(keys, order), F.lit(params.shake_gap_ms)), run="_together")
+        order = ("_together", *order)
         out = islands.fill_gaps(out, keys, order, f"_{params.scratch}", params.gap_ms)
         out = out.withColumn(f"_{params.shake}", F.col(f"_{params.shake}") & ~F.col(f"_{params.scratch}"))
     for e in events:

@@ -131,10 +131,12 @@ def moving_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], probs
 
 def hysteresis(df: DataFrame, keys: Sequence[str], order: Sequence[str], p: Column, enter: float, stay: float, name: str = "in_bout") -> DataFrame:
     """Whether a row is in a bout: a run of p >= stay, from its first p >= enter on."""
-    runs = with_run(df.withColumn("_stay", p >= stay), keys, order, F.col("_stay"), name="_run")
-    w = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    entered = F.max((p >= enter).cast("int")).over(w) == 1
-    return runs.withColumn(name, F.col("_stay") & entered).drop("_stay", "_run")
+    w = ordered(keys, order)
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = df.withColumn("_stay", p >= stay).withColumn("_at", F.row_number().over(w))
+    # The last row with p >= enter lies behind the last one outside; by places, so that the rows stay in the one order.
+    entered = F.max(F.when(p >= enter, F.col("_at"))).over(until) > F.coalesce(F.max(F.when(~F.coalesce("_stay", F.lit(False)), F.col("_at"))).over(until), F.lit(0))
+    return numbered.withColumn(name, F.when(F.col("_stay").isNotNull(), F.col("_stay") & F.coalesce(entered, F.lit(False)))).drop("_stay", "_at")
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, gap_ms: int) -> DataFrame:
@@ -145,11 +147,13 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: st
     return df.withColumn(flag, F.col(flag) | F.coalesce(after - before <= gap_ms, F.lit(False)))
 
 
-def absorb(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, other: Column, gap: tuple[Column, Column] | None = None) -> DataFrame:
-    """Rows of `other` that touch flagged ones, directly or through each other, are flagged as well. gap: (distance to the row before, most) at which rows still touch."""
-    runs = with_run(df, keys, order, F.col(flag) | other, gap, name="_run")
-    any_flag = F.max(F.col(flag).cast("int")).over(Window.partitionBy(*keys, "_run")) == 1
-    return runs.withColumn(flag, (F.col(flag) | other) & any_flag).drop("_run")
+def absorb(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, other: Column, gap: tuple[Column, Column] | None = None, run: str | None = None) -> DataFrame:
+    """Rows of `other` that touch flagged ones, directly or through each other, are flagged as well. gap: (distance to the row before, most) at which rows still touch. run keeps the numbers of such runs: rows then lie in the order (run, *order), which needs no further sort."""
+    number = run or "_run"
+    runs = with_run(df, keys, order, F.col(flag) | other, gap, name=number)
+    whole = ordered((*keys, number), order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = runs.withColumn(flag, (F.col(flag) | other) & (F.max(F.col(flag).cast("int")).over(whole) == 1))
+    return marked if run else marked.drop(number)
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:

@@ -50,9 +50,10 @@ def behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("device_id", "day_ts", "event_id", F.col("ts_ms").alias("ts_start"), F.least(F.coalesce(following, cap), cap).alias("ts_end"), code.alias("behavior"), F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"))
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows a second apart, in the order of events: idx, ts_ms, label, probs by CLASSES."""
+def windows(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """Windows a second apart, in the order of events: idx, ts_ms, label, probs by CLASSES. tasks: how many share the sequences."""
     e = events(spark, sf_dir)
+    e = e.repartition(tasks, *SEQ) if tasks else e
     idx = F.row_number().over(islands.ordered(SEQ, ("ts_ms", "event_id"))) - 1
     label = F.try_element_at(labels.literal_map(CLASS_OF), F.col("event_type"))
     sure = 0.25 + 0.75 * (F.col("value") - F.floor("value"))

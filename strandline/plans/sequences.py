@@ -335,7 +335,9 @@ def absorb_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stable(spark: SparkSession, sf_dir: str, algo: str) -> DataFrame:
-    return decode.stabilise(domain.windows(spark, sf_dir), SEQ, ORDER, CLASSES, 2000, 1000, algo=algo)
+    tasks = decode.tasks_for(domain.table(spark, sf_dir, "events").count(), spark.sparkContext.defaultParallelism)
+    w = domain.windows(spark, sf_dir, tasks).select(*SEQ, *ORDER, "ts_ms", "label", "probs", "missing")
+    return decode.stabilise(w, SEQ, ORDER, CLASSES, 2000, 1000, algo=algo, tasks=tasks)
 
 
 def _segments(stable: DataFrame) -> DataFrame:

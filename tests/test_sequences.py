@@ -396,3 +396,15 @@ def test_means_of_candidates_are_rounded_as_the_sql_does(spark, tmp_path):
     for name in ("scratch_candidates", "surest_candidates"):
         assert [r.conf_mean for r in sequences.QUERIES[name](spark, str(tmp_path)).collect()] == [0.397188]
         assert difference(spark, con, str(tmp_path), sequences.QUERIES[name], sequences.ORACLES[name]) == ""
+
+
+def test_stable_takes_few_sorts_and_tasks_by_rows(spark, capsys):
+    assert decode.tasks_for(100, 4) == 4 and decode.tasks_for(36_000_000, 4) == 180
+    w = windows(spark, [(1, 9), (2, 4), (0, 3), (2, 2), (0, 9)], FULL)
+    run = lambda **kw: decode.stabilise(w, ["device_id"], ["idx"], FULL, 2000, 1000, algo="stable", **kw)
+    assert sorted(map(tuple, run(tasks=7).collect())) == sorted(map(tuple, run().collect()))
+    capsys.readouterr()
+    run(tasks=7).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(device_id" in plan and ", 7), REPARTITION_BY_NUM" in plan
+    assert plan.count("- Sort [") <= 5
