@@ -408,3 +408,37 @@ def test_stable_takes_few_sorts_and_tasks_by_rows(spark, capsys):
     plan = capsys.readouterr().out
     assert "hashpartitioning(device_id" in plan and ", 7), REPARTITION_BY_NUM" in plan
     assert plan.count("- Sort [") <= 5
+
+
+@pytest.mark.parametrize("size,step", [(16, 8), (5, 5), (4, 7)])
+def test_windows_are_cut_while_a_sequence_comes(spark, monkeypatch, size, step):
+    import pyarrow as pa
+
+    samples = spark.createDataFrame([], "d long, sample long, ax double, ay double, az double, gx double, gy double, gz double")
+    caught = []
+    monkeypatch.setattr(type(samples), "mapInArrow", lambda self, run, schema: caught.append(run))
+    signal.strided_windows(samples, ["d"], ["sample"], size, step)
+
+    lengths = [3, 60_000, size, 1, 20_000, 40, 17, 9_000]
+    d = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.concatenate([np.arange(n) for n in lengths])
+    taken = []
+
+    def batches(many):
+        table = pa.table({"d": d, **{c: (d * 1e6 + at) for c in signal.CHANNELS}, "_first": at == 0})
+        for b in table.to_batches(max_chunksize=many):
+            taken.append(b.num_rows)
+            yield b
+
+    wanted = [(s, k, s * 1e6 + k * step) for s, n in enumerate(lengths) for k in range(max(0, (n - size) // step + 1))]
+    for many in (10_000, 13_001):
+        taken.clear()
+        out = caught[0](batches(many))
+        first = next(out)
+        assert len(taken) == 1  # the sequence of 60,000 samples is not waited for
+        got = pa.Table.from_batches([first, *out])
+        ax = np.stack(got["ax"].to_numpy())
+        assert list(zip(got["d"].to_pylist(), got["window_idx"].to_pylist(), ax[:, 0].tolist())) == wanted
+        assert (np.diff(ax, axis=1) == 1).all() and ax.shape[1] == size
+    few = caught[0](b for b in pa.table({"d": d[:70], **{c: d[:70] * 1e6 + at[:70] for c in signal.CHANNELS}, "_first": at[:70] == 0}).to_batches(max_chunksize=3))
+    assert [tuple(x) for r in few for x in zip(r["d"].to_pylist(), r["window_idx"].to_pylist())] == [(1, k) for k in range((67 - size) // step + 1)]
