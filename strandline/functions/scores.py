@@ -35,6 +35,11 @@ def round_half(c: Column, places: int) -> Column:
     return F.round(c * 10.0**places) / 10.0**places
 
 
+def round_decimal(c: Column, places: int) -> Column:
+    """A double rounded half to even on the decimal that it is written as, to 18 places: what is beyond them is left by sums of doubles, and half stays half."""
+    return F.bround(c.cast("decimal(30,18)"), places).cast("double")
+
+
 def phase(valid_days: Column, limits: Thresholds = DEFAULT) -> Column:
     a, b, c = limits.phase_days
     return F.when(valid_days < a, 0).when(valid_days < b, 1).when(valid_days < c, 2).otherwise(3)

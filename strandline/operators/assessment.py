@@ -45,7 +45,7 @@ def with_streak(days: DataFrame, limits: Thresholds = DEFAULT, device: str = "de
     def mean_of(n: int) -> Column:
         earlier = by_number.rangeBetween(-(n - 1), -1)
         total, count = F.coalesce(F.sum(stored).over(earlier).cast("double"), F.lit(0.0)), F.count(stored).over(earlier)
-        return F.bround((total + F.col("zscore")) / (count + 1), 3)
+        return scores.round_decimal((total + F.col("zscore")) / (count + 1), 3)
 
     # Rows without a z are set apart from the numbers that the range looks back to.
     out = out.withColumn("_number", F.when(has, F.col("_valid")).otherwise(F.lit(-1000) - F.col("_valid")))
