@@ -201,7 +201,7 @@ def _whole_bout(keys: Sequence[str], order: Sequence[str], bout: str) -> WindowS
     return islands.ordered((*keys, bout), order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def _kept(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, bout: str, p: Column, params: StableParams, spec: str | None) -> DataFrame:
+def _kept(df: DataFrame, keys: Sequence[str], flag: str, bout: str, p: Column, params: StableParams, spec: str | None, order: Sequence[str] = ()) -> DataFrame:
     """flag, only for bouts whose flagged windows are long and sure enough, or very sure once."""
     of = _whole_bout(keys, order, bout)
     own = lambda c: F.when(F.col(flag), c)
@@ -278,7 +278,7 @@ def settle(out: DataFrame, keys: Sequence[str], order: Sequence[str], classes: S
     for e in events:
         if f"_bout_{e}" not in out.columns:
             out = _bouts(out, keys, order, f"_{e}", f"_bout_{e}", params, whole(e))
-        out = _kept(out, keys, order, f"_{e}", f"_bout_{e}", p[e], params, spec if e == params.scratch else None)
+        out = _kept(out, keys, f"_{e}", f"_bout_{e}", p[e], params, spec if e == params.scratch else None, order)
     final = F.col("state")
     for e in reversed(events):
         final = F.when(F.col(f"_{e}"), e).otherwise(final)
